@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_mix, disclosure, hilbert_shards, line_quality
+from . import block_mix, disclosure, hilbert_shards, histogram_topk, line_quality, pair_bpe, shared, simhash_trie, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = shared.local_folder(spark, "token-files")
+    parts = token_files.write(_read(spark, sf_dir, "documents"), at, tokenizer("byte_bpe_50k.json"), 2)
+    return token_files.read(parts, at)
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.assign(_read(spark, sf_dir, "documents"))
 
@@ -25,13 +38,26 @@ def op5_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_mix.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_topk.search(_read(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash_trie.components(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = disclosure.find(_read(spark, sf_dir, "documents"))
     number = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return rows.select("doc_id", *[number(k).alias(f"n_{kind}") for k, kind in enumerate(disclosure.KINDS[:4])], F.sha2(disclosure.joined(F.col("base")), 256).alias("base_sha256"), disclosure.joined(F.sort_array(F.concat("base", "added"))).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op4_line_quality, op5_block_mix, op9_disclosure)}
+def op10_pair_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_bpe.digest(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_hilbert_shards, op4_line_quality, op5_block_mix, op7_histogram_topk, op8_simhash_trie, op9_disclosure, op10_pair_bpe)}
 
 _QUALITY_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -75,4 +101,12 @@ e AS (SELECT *, quota // greatest(source_size, 1) AS epochs, start + quota - sou
 SELECT doc_id, size, source_size, target, (size * epochs + greatest(0, least(place + size, stop, source_size) - greatest(place, start)) + greatest(0, least(place + size, stop - source_size) - greatest(place, 0)))::BIGINT AS taken FROM e
 """
 
-ORACLES = {"op4_line_quality": _QUALITY_SQL, "op5_block_mix": _MIX_SQL}
+_TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+ORACLES = {"op7_histogram_topk": _TOPK_SQL, "op4_line_quality": _QUALITY_SQL, "op5_block_mix": _MIX_SQL}
