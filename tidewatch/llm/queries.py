@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_mix, disclosure, hilbert_shards, histogram_topk, line_quality, pair_bpe, shared, simhash_trie, token_files
+from . import block_mix, disclosure, hilbert_shards, histogram_topk, line_join, line_quality, pair_bpe, shared, simhash_trie, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_mix.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_join.removed_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_links", "removed")
+
+
 def op7_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_topk.search(_read(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -57,7 +61,7 @@ def op10_pair_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_bpe.digest(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_hilbert_shards, op4_line_quality, op5_block_mix, op7_histogram_topk, op8_simhash_trie, op9_disclosure, op10_pair_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_hilbert_shards, op4_line_quality, op5_block_mix, op6_line_join, op7_histogram_topk, op8_simhash_trie, op9_disclosure, op10_pair_bpe)}
 
 _QUALITY_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
