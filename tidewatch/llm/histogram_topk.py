@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from . import shared
 
 BLOCK, BINS, ENOUGH = 1024, 512, 64
@@ -66,7 +67,7 @@ def _save(at: str, block: int, **arrays) -> None:
 def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
-    base = shared.table(quantised(vectors), "topk-vectors")
+    base = shared.table(quantised(ship(vectors)), "topk-vectors")
     chosen = base.filter(F.col("vec_id") % every == 0)
     n_queries = chosen.count()
     blocks = max(1, -(-n_queries // BLOCK))

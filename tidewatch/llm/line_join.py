@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from . import shared
 from .words import text_of
 
@@ -50,7 +51,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> list[np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(n, base, np.uint64)]).astype(np.uint64), dtype=np.uint64) for base in (_P, _PINV)]
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]), dtype=np.uint64) for base in (_P, _PINV)]
     return _POWERS
 
 
@@ -113,7 +114,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, np.ndarray
 
 def _scan(docs: DataFrame) -> DataFrame:
     text = text_of("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return ship(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def _survey(docs: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .token_files import _byte_letters
 
 #: Words that a worker's cache holds at most, and characters of text that one index covers.
@@ -218,7 +219,7 @@ def _count(ids: str) -> int:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return ship(docs).select("doc_id", F.col("text").cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:

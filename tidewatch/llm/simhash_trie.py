@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from . import shared
 
 BITS, SHINGLE, SEED = 64, 4, 42
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = np.asarray([fingerprint(t.as_py() or "") for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(task, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return ship(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(task, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
 def _errors(x: np.ndarray) -> np.ndarray:

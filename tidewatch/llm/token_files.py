@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from . import shared
 
 #: Pieces that a worker's cache holds at most.
@@ -130,7 +131,7 @@ def write(docs: DataFrame, directory: str, tokenizer: str, end_id: int) -> DataF
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": pa.array([len(lens)], pa.int64()), "n_tokens": pa.array([sum(lens)], pa.int64())})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = ship(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     counts = shared.table(rows.mapInArrow(task, "part int, n_docs long, n_tokens long"), "token-parts")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
