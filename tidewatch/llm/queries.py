@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_mix, disclosure, hilbert_shards, histogram_topk, line_join, line_quality, pair_bpe, shared, simhash_trie, token_files
+from . import block_mix, disclosure, hilbert_shards, histogram_topk, line_join, line_quality, pair_bpe, shared, simhash_trie, token_files, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.assign(_read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_quality.score(_read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_removed")
@@ -61,7 +65,7 @@ def op10_pair_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_bpe.digest(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_hilbert_shards, op4_line_quality, op5_block_mix, op6_line_join, op7_histogram_topk, op8_simhash_trie, op9_disclosure, op10_pair_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_hilbert_shards, op3_toxicity, op4_line_quality, op5_block_mix, op6_line_join, op7_histogram_topk, op8_simhash_trie, op9_disclosure, op10_pair_bpe)}
 
 _QUALITY_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
