@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shared
-from .words import n_words, text_of
+from .words import n_words, text_of, words
 
 SPLIT = 256
 BLOCKS = 65_536
@@ -63,13 +63,13 @@ def seats(goal: DataFrame, shards: int = 8, blocks: int = BLOCKS) -> DataFrame:
 
 
 def plan(docs: DataFrame, shards: int = 8, blocks: int = BLOCKS, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(documents, sources). Documents: doc_id, source, size, place (first word's place in its source), source_size,
+    """(documents, sources). Documents: doc_id, h (hash of the text), source, size, place (first word's place in its source), source_size,
     target, quota (words), start and end (words of the partial epoch, from a seeded block; beyond the source's end it
     wraps), epochs (whole ones), late and early (words of the partial epoch before and after it wraps), taken.
     Sources: source, shard, blocks."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     named = F.when(F.col("source").isNull(), "t").otherwise(F.concat(F.lit("s"), "source"))  # never null, in the same order
-    meta = docs.select("doc_id", named.alias("source"), n_words(text_of("text")).alias("size"), key.alias("key"))
+    meta = docs.select("doc_id", F.xxhash64(text_of("text")).alias("h"), named.alias("source"), n_words(text_of("text")).alias("size"), key.alias("key"))
     meta = shared.table(meta.withColumn("bucket", F.conv(F.substring("key", 1, 2), 16, 10).cast("int")), "mix-meta")
     goal = shared.table(targets(meta.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs), "mix-targets")
     dealt = shared.table(seats(goal, shards, blocks), "mix-seats")
@@ -80,18 +80,37 @@ def plan(docs: DataFrame, shards: int = 8, blocks: int = BLOCKS, weights: tuple[
     goal = goal.select("source", "source_size", "target", "quota", F.floor(F.col("unit") * F.pmod(drawn, F.greatest(F.lit(1).cast("long"), F.floor(F.col("source_size") / F.col("unit"))))).cast("long").alias("start"))
     sums = meta.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.select("source", "bucket", (F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("base"))
-    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "h").rowsBetween(W.unboundedPreceding, 0)
     placed = meta.withColumn("upto", F.sum("size").over(inside)).join(sums, ["source", "bucket"])
-    placed = placed.select("doc_id", "source", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("place")).join(goal, "source")
+    placed = placed.select("doc_id", "h", "source", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("place")).join(goal, "source")
     overlap = lambda lo, hi: F.greatest(F.lit(0).cast("long"), F.least(F.col("place") + F.col("size"), hi) - F.greatest(F.col("place"), lo))
     placed = placed.withColumn("epochs", F.expr("quota div greatest(source_size, 1L)")).withColumn("end", F.expr("start + quota - source_size * epochs"))
     placed = placed.withColumn("late", overlap(F.col("start"), F.least("end", "source_size"))).withColumn("early", overlap(F.lit(0).cast("long"), F.col("end") - F.col("source_size")))
     original = F.when(F.col("source") != "t", F.expr("substring(source, 2)"))
     deal = dealt.select(original.alias("source"), "shard", (F.col("seats") - F.coalesce(F.lag("seats").over(W.partitionBy("source").orderBy("shard")), F.lit(0))).alias("blocks"))
-    return placed.select("doc_id", original.alias("source"), "size", "place", "source_size", "target", "quota", "start", "end", "epochs", "late", "early", (F.col("size") * F.col("epochs") + F.col("late") + F.col("early")).alias("taken")), deal
+    return placed.select("doc_id", "h", original.alias("source"), "size", "place", "source_size", "target", "quota", "start", "end", "epochs", "late", "early", (F.col("size") * F.col("epochs") + F.col("late") + F.col("early")).alias("taken")), deal
 
 
 def mix(docs: DataFrame, shards: int = 8, blocks: int = BLOCKS, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken per document."""
     rows, _ = plan(docs, shards, blocks, weights, max_epochs, seed)
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "place")
+
+
+def apply(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: ``docs`` with a row per whole epoch of a document and one per part of it, where a block begins or
+    ends inside it; a part's text is its words joined by a space. Documents of no words are not in a mix."""
+    rows, _ = plan(docs, **options)
+    part = lambda lo, n: F.struct(lo.cast("int").alias("lo"), n.cast("int").alias("n"))
+    whole = F.when(F.col("epochs") > 0, F.array_repeat(part(F.lit(0), F.col("size")), F.col("epochs").cast("int"))).otherwise(F.array().cast("array<struct<lo:int,n:int>>"))
+    late = part(F.greatest(F.lit(0).cast("long"), F.col("start") - F.col("place")), F.col("late"))
+    pieces = F.filter(F.concat(whole, F.array(late, part(F.lit(0), F.col("early")))), lambda x: x["n"] > 0)
+    rows = rows.select(F.col("doc_id").alias("tidewatch_id"), F.col("h").alias("tidewatch_h"), F.col("size").alias("tidewatch_size"), F.explode(pieces).alias("tidewatch_x"))
+    own = docs.withColumn("tidewatch_g", F.xxhash64(text_of("text"))).dropDuplicates(["doc_id", "tidewatch_g"])
+    rows = own.join(rows, F.col("doc_id").eqNullSafe(F.col("tidewatch_id")) & (F.col("tidewatch_g") == F.col("tidewatch_h")))
+    cut = F.col("tidewatch_x.n") < F.col("tidewatch_size")
+    text = F.array_join(F.slice(words(text_of("text")), F.col("tidewatch_x.lo") + 1, F.col("tidewatch_x.n")), " ")
+    out = {c: F.col(c) for c in docs.columns} | {"text": F.when(cut, text).otherwise(F.col("text"))}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(cut, F.char_length(text).cast("long")).otherwise(F.col("n_chars").cast("long"))
+    return rows.select(*[v.alias(c) for c, v in out.items()])
