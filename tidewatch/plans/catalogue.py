@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import drift_queries  # noqa: F401
+from .base import ORACLES, QUERIES
+
 FLAGSHIP = "DR16_catdrift_predict"
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
