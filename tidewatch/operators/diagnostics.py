@@ -25,7 +25,7 @@ def acf(df: DataFrame, by: list[str], order: str, value: str, nlags: int) -> Dat
     rows = _numbered(df, by, order, value).withColumn("z", F.col("y") - F.avg("y").over(whole))
     w = whole.orderBy("i")
     lags = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("z") * F.lag("z", k).over(w)).alias("p")) for k in range(nlags + 1)])
-    long = rows.select(*by, "n", F.explode(lags).alias("x")).groupBy(*by, F.col("x.lag").alias("lag")).agg(F.sum("x.p").alias("c"), F.max("n").alias("n"))
+    long = rows.withColumn("lags", lags).select(*by, "n", F.explode("lags").alias("x")).groupBy(*by, F.col("x.lag").alias("lag")).agg(F.sum("x.p").alias("c"), F.max("n").alias("n"))
     zero = F.max(F.when(F.col("lag") == 0, F.col("c"))).over(whole)
     return long.withColumn("acf", ratio(F.col("c"), zero)).filter(F.col("lag") < F.col("n")).select(*by, "lag", "acf", (1.96 / F.sqrt("n")).alias("band"), "n")
 

@@ -274,7 +274,7 @@ def pami(df: DataFrame, by: list[str], order: str, value: str, taus: list[int],
     w = W.partitionBy(*by).orderBy("i")
     p = _patterns(df, by, order, value, m, delay)
     pairs = F.array(*[F.struct(F.lit(t).alias("tau"), F.lead("p", t).over(w).alias("z")) for t in taus])
-    rows = p.select(*by, "p", F.explode(pairs).alias("x")).select(*by, F.col("x.tau").alias("tau"), "p", F.col("x.z").alias("z")).filter("z is not null")
+    rows = p.withColumn("pairs", pairs).select(*by, "p", F.explode("pairs").alias("x")).select(*by, F.col("x.tau").alias("tau"), "p", F.col("x.z").alias("z")).filter("z is not null")
     by = [*by, "tau"]
     joint = rows.groupBy(*by, "p", "z").agg(F.count("*").alias("c"))
     n = F.sum("c").over(W.partitionBy(*by))
