@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import drift_queries, series_queries  # noqa: F401
+from . import drift_queries, series_queries, table_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 FLAGSHIP = "DR16_catdrift_predict"
