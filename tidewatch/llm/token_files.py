@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ from ..functions.ship import ship
 from . import shared
 
 #: Pieces that a worker's cache holds at most.
-CACHED = 400_000
+CACHED = 700_000
+_MARKS = (",", ".", ";")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -41,38 +43,66 @@ def _byte_letters() -> dict[int, str]:
     return letters | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in letters)}
 
 
+class _Bare(dict):
+    """Maps a piece that no space precedes to its ids as bytes."""
+
+    def __init__(self, owner: PieceEncoder):
+        self.owner = owner
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > CACHED:
+            self.clear()
+        found = self[piece] = self.owner.pieces("", piece)
+        return found
+
+
 class PieceEncoder(dict):
     """Maps a piece (text after a space) to its ids as bytes; missing pieces are encoded by the library."""
 
-    def __init__(self, path: str, kind: str = ""):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = kind or ("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = "<u2" if self.code == "H" else "<u4"
         self.model, self.letters = self.tokenizer.model, str.maketrans(_byte_letters())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd: dict[str, tuple[bool, bool]] = {}  # pieces that are empty or have a space at an end
+        self.bare = _Bare(self)
+
+    def pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        """Ids of what the pre-tokenizer leaves in one."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1")
+        return [t.id for t in self.model.tokenize(word.translate(self.letters))]
+
+    def pieces(self, space: str, piece: str) -> bytes:
+        """Ids of a piece after ``space``; letters, and letters with a mark behind, need no pre-tokenizer."""
+        if piece.isascii() or (piece and max(piece) < "ɐ"):
+            if piece.isalpha():
+                return self.pack(self._word(space + piece))
+            if piece[-1:] in _MARKS and piece[:-1].isalpha():
+                return self.pack(self._word(space + piece[:-1]) + self._word(piece[-1]))
+        return self.whole(space + piece)
 
     def __missing__(self, piece: str) -> bytes:
+        if piece.count("\n") == 1:
+            left, right = piece.split("\n")
+            if left and right and not left[-1].isspace() and not right[0].isspace() and not piece[0].isspace() and not piece[-1].isspace():
+                return self[left] + self.bare["\n"] + self.bare[right]  # the words either side are cached, not the pair
         if len(self) > CACHED:
             self.clear()
             self.odd.clear()
-        if piece < "ɐ" and piece.isalpha() and max(piece) < "ɐ":
-            found = np.asarray(self._word(" " + piece), self.kind).tobytes()
-        elif piece[-1:] in ",.;" and piece[:-1].isalpha() and max(piece) < "ɐ":
-            found = np.asarray(self._word(" " + piece[:-1]) + self._word(piece[-1]), self.kind).tobytes()
-        else:
-            found = self.whole(" " + piece)
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                self.odd[piece] = (not piece or piece[0].isspace(), not piece or piece[-1].isspace())
-        self[piece] = found
+        found = self[piece] = self.pieces(" ", piece)
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            self.odd[piece] = (not piece or piece[0].isspace(), not piece or piece[-1].isspace())
         return found
 
     def encode(self, text: str) -> bytes:
@@ -85,7 +115,7 @@ class PieceEncoder(dict):
             ends = [(not first or first[0].isspace(), not first or first[-1].isspace()), *(self.odd.get(p, (False, False)) for p in pieces)]
             if any(a[1] and b[0] for a, b in zip(ends, ends[1:])):
                 return self.whole(text)
-        return self.whole(first) + found
+        return self.bare[first] + found
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -111,12 +141,12 @@ def write(docs: DataFrame, directory: str, tokenizer: str, end_id: int) -> DataF
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        base, end = f"{directory}/part-{part:06d}", np.asarray([end_id], encoder(tokenizer).kind).tobytes()
+        base, end = f"{directory}/part-{part:06d}", enc.pack([end_id])
         own, lens, ids, gone = f"{base}.bin.{TaskContext.get().taskAttemptId()}", [], [], []
         with open(own, "wb") as f:
             for batch in batches:
-                for text in batch.column("text"):
-                    got = enc.encode(text.as_py() or "") + end
+                for text in batch.column("text").to_pylist():
+                    got = enc.encode(text or "") + end
                     lens.append(len(got) // len(end))
                     f.write(got)
                 known = batch.column("doc_id")
