@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ship import ship
 from . import shared
+from .words import text_of
 
 BITS, SHINGLE, SEED = 64, 4, 42
 #: Fingerprints that one task's prefix holds on average, node pairs walked at once, and pairs compared directly.
@@ -58,14 +59,15 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, h (hash of the text), fp (the fingerprint as a signed long)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.asarray([fingerprint(t.as_py() or "") for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(found)], ["doc_id", "h", "fp"])
 
-    return ship(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(task, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    rows = ship(docs).select("doc_id", F.xxhash64(text_of("text")).alias("h"), text_of("text").alias("text"))
+    return rows.mapInArrow(task, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, fp long")
 
 
 def _errors(x: np.ndarray) -> np.ndarray:
@@ -204,17 +206,21 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, budget: int = 4) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links)."""
+    """doc_id, h, fp, component_id (smallest doc_id reachable over links), first (whether the row is the component's
+    first by id, nulls last, and hash of the text)."""
     rows = shared.table(fingerprints(docs), "simhash")
-    distinct = shared.table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    n = distinct.count()
-    roots = stars(links(distinct, n, budget))
+    place = F.struct(F.col("doc_id").isNull().alias("gone"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
+    distinct = shared.table(rows.groupBy("fp").agg(F.min(place).alias("first")), "simhash-distinct")
+    roots = stars(links(distinct, distinct.count(), budget))
     named = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    lead = named.select("fp", "root").join(named.groupBy("root").agg(F.min("first").alias("lead")), "root").select("fp", "lead")
+    found = rows.join(lead, "fp")
+    return found.select("doc_id", "h", "fp", F.col("lead.doc_id").alias("component_id"), (place == F.col("lead")).alias("first"))
 
 
 def keep_first(docs: DataFrame, budget: int = 4) -> DataFrame:
-    """One document of each component stays: the one with the smallest id (one row, if that is repeated)."""
-    kept = components(docs, budget).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component stays: the first by id (one row, if that is repeated)."""
+    kept = components(docs, budget).filter("first").select(F.col("doc_id").alias("tidewatch_id"), F.col("h").alias("tidewatch_g")).distinct()
+    own = docs.withColumn("tidewatch_h", F.xxhash64(text_of("text")))
+    rows = own.join(kept, F.col("doc_id").eqNullSafe(F.col("tidewatch_id")) & (F.col("tidewatch_h") == F.col("tidewatch_g")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "tidewatch_h"]).drop("tidewatch_h")
