@@ -74,7 +74,7 @@ def plan(docs: DataFrame, shards: int = 8, blocks: int = BLOCKS, weights: tuple[
     goal = shared.table(targets(meta.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs), "mix-targets")
     dealt = shared.table(seats(goal, shards, blocks), "mix-seats")
     quota = dealt.filter(F.col("shard") == shards).select("source", "seats")
-    goal = goal.join(quota, "source", "left").withColumn("unit", F.greatest(F.lit(1.0), F.sum("source_size").over(W.partitionBy()) / blocks))  # words in a block
+    goal = goal.join(quota, "source", "left").withColumn("unit", F.greatest(F.lit(1e-9), F.sum("source_size").over(W.partitionBy()) / blocks))  # words in a block
     goal = goal.withColumn("quota", F.least(F.col("source_size") * max_epochs, F.round(F.coalesce("seats", F.lit(0)) * F.col("unit")).cast("long")))
     drawn = F.expr(f"cast(conv(substring(md5(concat('{seed}/', source)), 1, 13), 16, 10) as bigint)")
     goal = goal.select("source", "source_size", "target", "quota", F.floor(F.col("unit") * F.pmod(drawn, F.greatest(F.lit(1).cast("long"), F.floor(F.col("source_size") / F.col("unit"))))).cast("long").alias("start"))

@@ -101,7 +101,7 @@ base AS (SELECT source, target, count(*) OVER () AS n, floor(target * {block_mix
 cand AS (SELECT source, target, greatest(0, rounded - n) AS first, unnest(range(greatest(0, rounded - n), rounded + n + 1)) AS seat FROM base),
 place AS (SELECT *, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, source, seat) AS place FROM cand),
 seats AS (SELECT source, max(first) + count(*) FILTER (place <= {block_mix.BLOCKS} - (SELECT sum(greatest(0, rounded - n)) FROM base)) AS seats FROM place GROUP BY source),
-unit AS (SELECT greatest(1.0::DOUBLE, sum(source_size) / {block_mix.BLOCKS}::DOUBLE) AS unit FROM goal),
+unit AS (SELECT greatest(1e-9::DOUBLE, sum(source_size) / {block_mix.BLOCKS}::DOUBLE) AS unit FROM goal),
 q AS (SELECT source, source_size, target, least(source_size * 3, round(coalesce(seats, 0) * unit)::BIGINT) AS quota,
     floor(unit * (('0x' || substr(md5('7/' || source), 1, 13))::BIGINT % greatest(1, floor(source_size / unit)::BIGINT)))::BIGINT AS start FROM goal LEFT JOIN seats USING (source), unit),
 p AS (SELECT doc_id, source, size, (sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS place FROM m),
