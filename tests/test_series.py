@@ -112,3 +112,15 @@ def test_bootstrap_repeats(spark):
     rows = spark.createDataFrame([("a", k, float(k % 7)) for k in range(40)], "g string, t int, y double")
     one, two = (stats.BootstrapBCA().compute_interval(rows, ["g"], "y", n_resamples=200, order="t").first() for _ in range(2))
     assert one == two and one["lower"] < 2.9 < one["upper"]
+
+
+def test_ranks_without_sorting(spark, monkeypatch):
+    x = np.round(np.random.default_rng(8).normal(size=3000), 2)
+    rows = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    want = np.sort(x)
+    assert intervals.select_ranks(rows, "x", [0, 17, 1500, 2999], bins=8) == {k: want[k] for k in (0, 17, 1500, 2999)}
+    monkeypatch.setattr(intervals, "SMALL", 10)
+    assert intervals.exact_quantiles(rows, "x", [0.25, 0.5, 0.999]) == pytest.approx(np.quantile(x, [0.25, 0.5, 0.999]).tolist())
+    got = intervals.interval(rows, [], "x", "mad").first()
+    assert got["upper"] == pytest.approx(np.median(x) + 3 * np.median(abs(x - np.median(x))))
+    assert intervals.interval(rows.limit(0), [], "x", "auto").count() == 0

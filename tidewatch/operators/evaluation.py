@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import ratio
 from ..functions.special import t_test_power, t_test_size
+from .intervals import exact_quantiles
 
 #: Shares of treatment in an allocation, and error rates of conformal sets.
 SPLITS = (*(k / 100 for k in range(5, 50, 10)), 0.5, *(k / 100 for k in range(55, 100, 10)))
@@ -20,8 +21,8 @@ def reliability_curve(df: DataFrame, y: str, p: str, n_bins: int = 15) -> DataFr
     """bin, n, prob_true, prob_pred over quantile bins (the edge belongs to the lower bin); empty bins are left out."""
     if n_bins < 2:
         raise ValueError("n_bins is 2 or more")
-    cuts = df.agg(F.percentile(p, F.array(*[F.lit(float(q)) for q in np.linspace(0, 1, n_bins + 1)[1:-1]])).alias("cuts"))
-    rows = df.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("cuts", lambda e: e < F.col(p))))  # one row
+    cuts = [float(c) for c in exact_quantiles(df, p, np.linspace(0, 1, n_bins + 1)[1:-1].tolist()) if c is not None]
+    rows = df.withColumn("bin", F.size(F.filter(F.lit(cuts), lambda e: e < F.col(p))) if cuts else F.lit(0))
     return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg(F.col(y).cast("double")).alias("prob_true"), F.avg(p).alias("prob_pred"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,54 @@ from ..functions.ship import ship
 NAMED = ("auto", "stddev", "mad", "iqr")
 
 
+#: Up to so many rows a whole table's percentiles are one aggregate; beyond, ranks are found by refined histograms.
+SMALL = 1_000_000
+
+
+def select_ranks(df: DataFrame, value: str, ranks: list[int], bins: int = 1024) -> dict[int, float]:
+    """Exact values at 0-based ranks of a whole column, without sorting it: each round counts ``bins`` cells of the range
+    that holds a rank, per cell with least and greatest value, and goes on inside the cell; a task returns counts only."""
+    x = F.col(value).cast("double")
+    ends = df.filter(x.isNotNull()).agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    state = {r: (ends["lo"], ends["hi"], 0) for r in ranks}
+    found = {r: lo for r, (lo, hi, _) in state.items() if lo == hi}
+    while len(found) < len(ranks):
+        spans = sorted({state[r][:2] for r in ranks if r not in found})
+        inside = [F.when((x >= lo) & (x <= hi), F.struct(F.lit(k).alias("k"), F.least(F.lit(bins - 1).cast("long"), F.floor((x - lo) / (hi - lo) * bins)).alias("b"), x.alias("x"))) for k, (lo, hi) in enumerate(spans)]
+        cells = df.select(F.explode(F.filter(F.array(*inside), lambda c: c.isNotNull())).alias("c")).groupBy("c.k", "c.b").agg(F.count("*").alias("n"), F.min("c.x").alias("lo"), F.max("c.x").alias("hi")).collect()  # spans x bins rows at most
+        for r in ranks:
+            if r in found:
+                continue
+            lo, hi, below = state[r]
+            for c in sorted((c for c in cells if c["k"] == spans.index((lo, hi))), key=lambda c: c["b"]):
+                if r < below + c["n"]:
+                    state[r] = (c["lo"], c["hi"], below)
+                    if c["lo"] == c["hi"]:
+                        found[r] = c["lo"]
+                    break
+                below += c["n"]
+    return found
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: list[float]) -> list[float | None]:
+    """Linearly interpolated quantiles of a whole column."""
+    n = df.filter(F.col(value).isNotNull()).count()
+    if n <= SMALL:
+        return list(df.agg(F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(q)) for q in qs])).alias("q")).first()["q"] or [None] * len(qs))
+    at = [q * (n - 1) for q in qs]
+    held = select_ranks(df, value, sorted({int(a) for a in at} | {min(n - 1, int(a) + 1) for a in at}))
+    return [held[int(a)] + (a - int(a)) * (held[min(n - 1, int(a) + 1)] - held[int(a)]) for a in at]
+
+
+def whole_order_statistic(df: DataFrame, value: str, q: float, side: str) -> float | None:
+    """order_statistic of a whole column, as a number."""
+    n = df.filter(F.col(value).isNotNull()).count()
+    if not n:
+        return None
+    rank = math.floor(q * (n - 1) + 1e-9) if side == "lower" else math.ceil(q * (n - 1) - 1e-9)
+    return select_ranks(df, value, [rank])[rank]
+
+
 def order_statistic(df: DataFrame, by: list[str], value: str, q: float, side: str, name: str) -> DataFrame:
     """The value at 0-based rank floor or ceil of q (n - 1): numpy's ``lower`` and ``higher`` quantiles."""
     w = W.partitionBy(*by)
@@ -44,6 +93,8 @@ def interval(df: DataFrame, by: list[str], value: str, method="auto") -> DataFra
     ranges), "auto" (one of these by skewness, kurtosis and variation), ("quantile", lo, hi), a pair of bounds, or a
     function from a numpy array to a pair, run once per group. None as a bound gives NULL.
     """
+    if not by and (method in NAMED if isinstance(method, str) else isinstance(method, (tuple, list)) and len(method) == 3):
+        return _whole(df.select(F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull()), value, method)
     df, by = keyed(df, by)
     df = df.select(*by, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
     if callable(method):
@@ -78,6 +129,29 @@ def interval(df: DataFrame, by: list[str], value: str, method="auto") -> DataFra
     return stats.withColumn("method", kind).select(*by, "method", (centre - spread).alias("lower"), (centre + spread).alias("upper"))
 
 
+def _whole(df: DataFrame, value: str, method) -> DataFrame:
+    """interval() of a whole column: a few numbers reach the driver, and no task holds the column."""
+    spark, schema = df.sparkSession, "method string, lower double, upper double"
+    if not isinstance(method, str):
+        return spark.createDataFrame([("quantile", *[None if q is None else whole_order_statistic(df, value, q, s) for q, s in zip(method[1:], ("lower", "higher"))])], schema)
+    v = F.col(value)
+    row = df.agg(F.avg(v).alias("m"), F.stddev_pop(v).alias("s"), F.skewness(v).alias("sk"), F.kurtosis(v).alias("ku")).first()
+    if row["m"] is None:
+        return spark.createDataFrame([], schema)
+    kind = method
+    if method == "auto":
+        kind = df.limit(1).select(_auto(*[F.lit(row[k]).cast("double") for k in ("m", "s", "sk", "ku")])).first()[0]
+    if kind == "stddev":
+        centre, spread = row["m"], 3 * row["s"]
+    elif kind == "mad":
+        centre = exact_quantiles(df, value, [0.5])[0]
+        spread = 3 * exact_quantiles(df.select(F.abs(v - centre).alias(value)), value, [0.5])[0]
+    else:
+        lo, centre, hi = exact_quantiles(df, value, [0.25, 0.5, 0.75])
+        spread = 1.5 * (hi - lo)
+    return spark.createDataFrame([(kind, centre - spread, centre + spread)], schema)
+
+
 def from_expressions(df: DataFrame, by: list[str], value: str, center: Callable[[Column], Column], spread: Callable[[Column], Column], factor: float = 3.0) -> DataFrame:
     """Interval center +- factor * spread of two aggregate expressions."""
     df, by = keyed(df, by)

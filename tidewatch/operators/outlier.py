@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import validate
-from .intervals import interval, order_statistic
+from .intervals import exact_quantiles, interval, whole_order_statistic
 
 STRATEGIES = ("auto", "fd", "doane", "scott", "stone", "rice", "sturges", "sqrt")
 _TINY = 1e-9
@@ -34,7 +34,7 @@ def bin_counts(df: DataFrame, columns: list[str], nbins: int | str) -> dict[str,
     if nbins not in STRATEGIES:
         raise ValueError(f"nbins is an integer or one of {', '.join(STRATEGIES)}")
     v = [F.col(c).cast("double") for c in columns]
-    aggs = [a.alias(f"{n}{k}") for k, x in enumerate(v) for n, a in (("n", F.count(x)), ("lo", F.min(x)), ("hi", F.max(x)), ("s", F.stddev_pop(x)), ("g", F.skewness(x)), ("q", F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))))]
+    aggs = [a.alias(f"{n}{k}") for k, x in enumerate(v) for n, a in (("n", F.count(x)), ("lo", F.min(x)), ("hi", F.max(x)), ("s", F.stddev_pop(x)), ("g", F.skewness(x)))]
     row = df.agg(*aggs).first()
     kinds = dict(df.dtypes)
     out = {}
@@ -43,7 +43,7 @@ def bin_counts(df: DataFrame, columns: list[str], nbins: int | str) -> dict[str,
         if not n or span == 0:
             out[c] = 1
             continue
-        q = row[f"q{k}"]
+        q = exact_quantiles(df, c, [0.25, 0.75]) if nbins in ("auto", "fd") else (0.0, 0.0)
         fd, sturges = 2 * (q[1] - q[0]) * n ** (-1 / 3), span / (math.log2(n) + 1)
         if nbins == "stone":
             out[c] = _stone(df, c, n, row[f"lo{k}"], span)
@@ -144,8 +144,8 @@ class _Binned:
         """decision_function() and outlier: whether the score is over the quantile (higher rank) of training scores."""
         if not self.fitted:
             raise ValueError("fit before predicting")
-        limit = order_statistic(self._training().withColumn("_g", F.lit(1)), ["_g"], "score", quantile, "higher", "_limit").select("_limit")
-        return self.decision_function(df).crossJoin(F.broadcast(limit)).withColumn("outlier", F.col("score") > F.col("_limit")).drop("_limit")  # one row
+        limit = whole_order_statistic(self._training(), "score", quantile, "higher")
+        return self.decision_function(df).withColumn("outlier", F.col("score") > F.lit(limit))
 
 
 class HBOS(_Binned):
@@ -163,9 +163,7 @@ class HBOS(_Binned):
         n = {c: found.get(c, found[numeric[0]]) for c in numeric}
         v = {c: F.col(c).cast("double") for c in numeric}
         if self.dynamic_bins:
-            aggs = [F.percentile(x, F.array(*[F.lit(float(p)) for p in np.linspace(0, 1, n[c] + 1)])).alias(c) for c, x in v.items()]
-            row = df.agg(*aggs).first() if aggs else {}
-            edges = {c: sorted(set(row[c])) for c in numeric}
+            edges = {c: sorted(set(exact_quantiles(df, c, np.linspace(0, 1, n[c] + 1).tolist()))) for c in numeric}
         else:
             row = df.agg(*[a.alias(f"{k}{i}") for i, x in enumerate(v.values()) for k, a in (("lo", F.min(x)), ("hi", F.max(x)))]).first() if v else {}
             edges = {}
@@ -277,6 +275,5 @@ class PCAReconstructionError:
     def predict(self, df: DataFrame, quantile: float = 0.99) -> DataFrame:
         if self.model is None:
             raise ValueError("fit before predicting")
-        scores = self.decision_function(self.training).select(F.lit(1).alias("_g"), "score")
-        limit = order_statistic(scores, ["_g"], "score", quantile, "higher", "_limit").select("_limit")
-        return self.decision_function(df).crossJoin(F.broadcast(limit)).withColumn("outlier", F.col("score") > F.col("_limit")).drop("_limit")  # one row
+        limit = whole_order_statistic(self.decision_function(self.training).select("score"), "score", quantile, "higher")
+        return self.decision_function(df).withColumn("outlier", F.col("score") > F.lit(limit))

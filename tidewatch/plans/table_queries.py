@@ -158,8 +158,8 @@ _LIMIT = "(SELECT score FROM (SELECT score, row_number() OVER (ORDER BY score) -
 def OU9_hbos_predict(spark, sf):
     rows = _features(spark, sf)
     scored = outlier.HBOS().fit(rows, categorical=["l_returnflag"], nbins=_BINS).decision_function(rows)
-    limit = intervals.order_statistic(scored.select(F.lit(1).alias("g"), "score"), ["g"], "score", 0.99, "higher", "limit").select("limit")
-    return scored.crossJoin(F.broadcast(limit)).groupBy((F.round("score", 4) > F.round("limit", 4)).alias("outlier")).agg(F.count("*").alias("n"))  # one row
+    limit = F.lit(intervals.whole_order_statistic(scored, "score", 0.99, "higher"))
+    return scored.groupBy((F.round("score", 4) > F.round(limit, 4)).alias("outlier")).agg(F.count("*").alias("n"))
 
 
 @query()
