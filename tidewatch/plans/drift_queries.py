@@ -206,6 +206,11 @@ def DR11_wasserstein(spark, sf):
     return wasserstein(both, ["k"], "x", "w", "ws")
 
 
+@query(f"WITH {_con_values('old', 'old')} SELECT id, {R('x', 'x')}, {R('c / sum(c) OVER (PARTITION BY id)', 'w')} FROM (SELECT id, x::FLOAT::DOUBLE AS x, count(*) AS c FROM old GROUP BY ALL)")
+def DR10_condrift_reference(spark, sf):
+    return _con(spark, sf, "expanding")[0].reference
+
+
 _FREQS = {"D": "date_trunc('day', ts)", "W": "date_trunc('week', ts) + INTERVAL 6 DAY", "ME": "date_trunc('month', ts) + INTERVAL 1 MONTH - INTERVAL 1 DAY", "MS": "date_trunc('month', ts)", "QS": "date_trunc('quarter', ts)", "h": "date_trunc('hour', ts)", "15min": "time_bucket(INTERVAL 15 MINUTE, ts)"}
 
 

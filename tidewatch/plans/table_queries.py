@@ -216,6 +216,20 @@ def AGG16_histogram(spark, sf):
     return rows.groupBy(outlier.histogram_bin(F.col("l_quantity"), edges).alias("bin")).agg(F.count("*").alias("n"))
 
 
+@query("WITH e AS (SELECT list_sort(list_distinct(quantile_cont(l_extendedprice, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM lineitem) SELECT least(len(list_filter((SELECT e FROM e), lambda x: x <= l_extendedprice)) - 1, 4)::INTEGER AS bin, count(*) AS n FROM lineitem GROUP BY 1")
+def AGG17_percentile_histogram(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    edges = sorted(set(intervals.exact_quantiles(rows, "l_extendedprice", [k / 5 for k in range(6)])))
+    return rows.groupBy(outlier.histogram_bin(F.col("l_extendedprice"), edges).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_totalprice > max(o_totalprice) FILTER (r = ceil(0.99 * (n - 1) - 1e-9)) OVER (PARTITION BY o_orderstatus) AS flag FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) - 1 AS r, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)")
+def PRJ11_quantile_flag(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    limit = intervals.order_statistic(rows, ["o_orderstatus"], "o_totalprice", 0.99, "higher", "limit")
+    return rows.join(limit, "o_orderstatus").select("o_orderkey", (F.col("o_totalprice") > F.col("limit")).alias("flag"))
+
+
 @query("WITH s AS (SELECT count(*) AS n, max(l_extendedprice) - min(l_extendedprice) AS span, stddev_pop(l_extendedprice) AS sd, quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25) AS iqr FROM lineitem) SELECT r AS rule, greatest(1, ceil(span / w))::INTEGER AS bins FROM (SELECT span, unnest(['sqrt', 'sturges', 'rice', 'fd', 'scott', 'auto']) AS r, unnest([span / sqrt(n), span / (log2(n) + 1), span / (2 * power(n, 1 / 3.0::DOUBLE)), 2 * iqr * power(n, -1 / 3.0::DOUBLE), power(24 * sqrt(pi()) / n, 1 / 3.0::DOUBLE) * sd, least(2 * iqr * power(n, -1 / 3.0::DOUBLE), span / (log2(n) + 1))]) AS w FROM s)")
 def AGG18_bin_rules(spark, sf):
     rows = table(spark, sf, "lineitem")
@@ -307,6 +321,11 @@ def AS4_to_10_association(spark, sf):
     return TransactionAnalyzer().fit(_baskets(spark, sf)).association(*_lists(spark, sf))
 
 
+@query(f"WITH {_COUNTS} SELECT a, c, na, nc, nac, n FROM q")
+def JN8_cooccurrence(spark, sf):
+    return TransactionAnalyzer().fit(_baskets(spark, sf)).counts(*_lists(spark, sf))
+
+
 @query(f"WITH {_COUNTS} SELECT a, c, {R('s / (sa * sc)', 'value')} FROM m")
 def AS11_correlation_matrix(spark, sf):
     return TransactionAnalyzer().fit(_baskets(spark, sf)).correlation_matrix(*_lists(spark, sf), "lift")
