@@ -79,7 +79,8 @@ def judged(text: Column) -> Column:
 def score(docs: DataFrame, max_loss: float = 0.5, pass_through: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lines_removed, loss
     (share of word characters lost with them), clean_text, and the columns named in ``pass_through``."""
-    rows = docs.select("doc_id", *[F.col(c).alias(f"own_{c}") for c in pass_through], judged(text_of("text")).alias("j"))
+    # Through an explode, so that a filter on the verdict is not pushed below and judges every text twice.
+    rows = docs.select("doc_id", *[F.col(c).alias(f"own_{c}") for c in pass_through], F.explode(F.array(judged(text_of("text")))).alias("j"))
     failed = (F.col("j.w.n_words") < 50) | (100 * F.col("j.w.n_repeat_words") > 50 * F.col("j.w.n_words"))
     loss = F.when(F.col("j.c.word_chars") == 0, F.lit(0.0)).otherwise(1 - _solid(F.col("j.clean.text")) / F.greatest(F.lit(1), F.col("j.c.word_chars")))
     rows = rows.withColumn("base_failed", failed).withColumn("loss", loss)
