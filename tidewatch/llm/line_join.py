@@ -14,7 +14,8 @@ which identify a token: sets are exact up to a collision of those.
 Rarity needs no token table. Every document adds to a sketch of ``CELLS`` counters, whose size is fixed and which tasks
 map from the shared folder; any order gives the same matches, a rough one only a few more candidates. Postings travel as
 packed columns, a row per task and bucket, so the engine moves few rows. The sets of candidate classes are fetched by
-one more scan through a bitmap of those classes. No text is shuffled, nothing per line reaches the driver.
+one more scan through a bitmap of those classes and lie once in block files of the shared folder; pairs travel as two
+numbers and are verified against the two blocks a task maps. No text is shuffled, nothing per line reaches the driver.
 
 Defined cases: null text is one empty line; lines without words are never removed; a null id counts as the lowest; rows
 that repeat an id and text are one document; rows that share an id but not a text are told apart by a hash of the text,
@@ -39,13 +40,13 @@ from .words import text_of
 
 CELLS, BLOCKS = 1 << 22, 16
 #: Bytes of text hashed at once, entries held before they are sent, pairs compared at once.
-CHUNK, HELD, PAIRS = 1 << 21, 1 << 19, 1 << 21
+CHUNK, HELD, PAIRS = 1 << 16, 1 << 17, 1 << 18
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += np.uint64(32)
-_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_VALUE = np.arange(1, 257, dtype=np.uint64)
+_VALUE[65:91] += np.uint64(32)  # A-Z count as a-z
+_WORD = ~np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _POWERS: list[np.ndarray] = []
 
 
@@ -64,13 +65,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def hashed_words(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     """58-bit token and line number of every word of ``buf``."""
     raw = np.frombuffer(buf, np.uint8)
-    gap = _SPACE[raw]
-    edge = np.diff(gap.astype(np.int8), prepend=1, append=1)
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _powers(len(raw))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[raw] + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
+    n = len(raw)
+    word = np.zeros(n + 2, bool)
+    np.take(_WORD, raw, out=word[1:-1])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[0::2], edges[1::2]
+    up, down = _powers(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.take(_VALUE, raw, out=sums[1:])
+    sums[1:] *= up[:n]
+    np.cumsum(sums, out=sums)
     h = (sums[ends] - sums[starts]) * down[starts]
-    return _mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(6), np.searchsorted(np.flatnonzero(raw == 10), starts)
+    breaks = np.searchsorted(starts, np.flatnonzero(raw == 10))
+    line = np.repeat(np.arange(len(breaks) + 1), np.diff(np.concatenate([[0], breaks, [len(starts)]])))
+    return _mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(6), line
 
 
 def line_sets(buf: bytes, level: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,19 +131,28 @@ def _survey(docs: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.int64)
+        counts, held, n_held = np.zeros(CELLS, np.uint32), [], 0
         for batch in batches:
-            ids, hashes = batch.column("doc_id"), batch.column("h").to_numpy()
+            made = []
             for lo, hi, buf, first in _chunks(batch):
                 token, line, _ = line_sets(buf)
-                counts += np.bincount((token & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                held.append((token & np.uint64(CELLS - 1)).astype(np.int32))
+                n_held += len(token)
+                if n_held > CELLS // 4:
+                    counts += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
+                    held, n_held = [], 0
                 _, own, sizes, cls = classes_of(token, line)
                 n = first[-1]
                 c, size, has = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, bool)
                 c[own], size[own], has[own] = cls.view(np.int64), sizes, True
                 row = np.repeat(np.arange(hi - lo), np.diff(first))
-                none = [pa.nulls(n, k) for k in kinds[5:]]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + lo)), pa.array(hashes[lo + row]), pa.array((np.arange(n) - first[row]).astype(np.int32)), pa.array(c, mask=~has), pa.array(size), *none], names)
+                made.append((row + lo, (np.arange(n) - first[row]).astype(np.int32), c, has, size))
+            if made:
+                row, place, c, has, size = (np.concatenate(x) for x in zip(*made))
+                none = [pa.nulls(len(row), k) for k in kinds[5:]]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), batch.column("h").take(pa.array(row)), pa.array(place), pa.array(c, mask=~has), pa.array(size), *none], names)
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
         if counts.any():
             salt = TaskContext.get().partitionId()
             wide = CELLS // BLOCKS
@@ -143,7 +160,7 @@ def _survey(docs: DataFrame) -> DataFrame:
             cols = [pa.nulls(BLOCKS, k) for k in kinds[:5]] + [pa.array(range(BLOCKS), pa.int32()), pa.array([salt] * BLOCKS, pa.int32()), pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return shared.table(_scan(docs).mapInArrow(task, "doc_id long, h long, line int, cls long, n int, block int, salt int, data binary"), "line-survey")
+    return shared.table(_scan(docs).mapInArrow(shared.trimmed(task), "doc_id long, h long, line int, cls long, n int, block int, salt int, data binary"), "line-survey")
 
 
 def _write_levels(survey: DataFrame, at: str) -> None:
@@ -191,7 +208,7 @@ def _postings(docs: DataFrame, at: str, buckets: int) -> DataFrame:
 
         def send() -> pa.RecordBatch:
             bucket, *cols = (np.concatenate(c) for c in zip(*held))
-            by = np.lexsort((cols[1], cols[0], bucket))
+            by = np.lexsort((cols[1], (bucket.astype(np.uint64) << np.uint64(32)) | cols[0]))
             bucket, cols = bucket[by], [c[by] for c in cols]
             new = np.ones(len(bucket), bool)  # copies of a line within a task are sent once
             new[1:] = (bucket[1:] != bucket[:-1]) | (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
@@ -222,7 +239,7 @@ def _postings(docs: DataFrame, at: str, buckets: int) -> DataFrame:
         if held:
             yield send()
 
-    return _scan(docs).mapInArrow(task, "bucket int, n long, data binary")
+    return _scan(docs).mapInArrow(shared.trimmed(task), "bucket int, n long, data binary")
 
 
 def bucket_pairs(tok, cls, sig, size, pos) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -267,7 +284,7 @@ def _candidates(postings: DataFrame, buckets: int) -> DataFrame:
                 both = np.unique(np.stack([a, b], axis=1), axis=0).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    return postings.repartition(buckets, "bucket").mapInArrow(task, "a long, b long").distinct()
+    return postings.repartition(buckets, "bucket").mapInArrow(shared.trimmed(task), "a long, b long").distinct()
 
 
 def _write_bitmap(wanted: DataFrame, at: str, bits: int) -> None:
@@ -291,7 +308,7 @@ def _write_bitmap(wanted: DataFrame, at: str, bits: int) -> None:
             spot = _mix(batch.column("cls").to_numpy().view(np.uint64)) >> np.uint64(64 - bits)
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array((spot // np.uint64(wide)).astype(np.int32))], ["cls", "block"])
 
-    wanted.mapInArrow(place, "cls long, block int").repartition(BLOCKS, "block").mapInArrow(task, "n long").agg(F.sum("n")).first()
+    wanted.mapInArrow(place, "cls long, block int").repartition(BLOCKS, "block").mapInArrow(shared.trimmed(task), "n long").agg(F.sum("n")).first()
 
 
 def _sets(docs: DataFrame, at: str, bits: int) -> DataFrame:
@@ -303,32 +320,85 @@ def _sets(docs: DataFrame, at: str, bits: int) -> DataFrame:
         on = np.concatenate([np.fromfile(p, "u1") if os.path.exists(p) else np.zeros(wide // 8, "u1") for p in parts])
         sent: set[int] = set()
         for batch in batches:
+            keys, data = [], []
             for _, _, buf, _ in _chunks(batch):
                 token, line, _ = line_sets(buf)
                 begins, _, sizes, cls = classes_of(token, line)
                 spot = (_mix(cls) >> np.uint64(64 - bits)).astype(np.int64) if len(begins) else begins
                 hit = np.flatnonzero((on[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1)
-                keys, data = [], []
                 for k, c in zip(hit.tolist(), cls[hit].view(np.int64).tolist()):
                     if c not in sent:
                         sent.add(c)
                         keys.append(c)
                         data.append(token[begins[k] : begins[k] + sizes[k]].tobytes())
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["cls", "data"])
-                if len(sent) > HELD:
-                    sent.clear()
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["cls", "data"])
+            if len(sent) > HELD:
+                sent.clear()
+
+    return _scan(docs).mapInArrow(shared.trimmed(task), "cls long, data binary")
+
+
+def _block(cls: np.ndarray, blocks: int) -> np.ndarray:
+    return (_mix(cls.view(np.uint64) ^ np.uint64(_P)) % np.uint64(blocks)).astype(np.int32)
+
+
+def _write_sets(sets: DataFrame, at: str, blocks: int) -> None:
+    """Files of the candidates' sets, by a hash of the class: sorted classes, offsets, tokens."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_block(batch.column("cls").to_numpy(), blocks))], ["cls", "data", "block"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[int, bytes]] = defaultdict(dict)
+        for batch in batches:
+            for block, c, data in zip(batch.column("block").to_pylist(), batch.column("cls").to_pylist(), batch.column("data")):
+                if c not in held[block]:
+                    held[block][c] = data.as_py()
+        for block in list(held):
+            own = sorted(held.pop(block).items())
+            _save(f"{at}/{block:06d}.off", np.cumsum([0] + [len(d) // 8 for _, d in own]).astype("<i8").tobytes())
+            _save(f"{at}/{block:06d}.tok", b"".join(d for _, d in own))
+            _save(f"{at}/{block:06d}.cls", np.asarray([c for c, _ in own], "<i8").tobytes())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
+
+    sets.mapInArrow(place, "cls long, data binary, block int").repartition(blocks, "block").mapInArrow(shared.trimmed(task), "n long").agg(F.sum("n")).first()
+
+
+def _verified(pairs: DataFrame, at: str, blocks: int) -> DataFrame:
+    """The pairs whose sets reach the threshold. Pairs meet by their two blocks of sets, which a task maps."""
 
-    return _scan(docs).mapInArrow(task, "cls long, data binary")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [pa.array(_block(batch.column(c).to_numpy(), blocks)) for c in ("a", "b")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *both], ["a", "b", "x", "y"])
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[int, tuple] = {}
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            keep.append(9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * (len(p) + len(q)))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        def sets(block: int):
+            if block not in opened:
+                if len(opened) >= 4:
+                    opened.clear()
+                opened[block] = tuple(np.memmap(f"{at}/{block:06d}.{k}", kind, "r") for k, kind in (("cls", "<i8"), ("off", "<i8"), ("tok", "<u8")))
+            return opened[block]
+
+        for batch in batches:
+            a, b, x, y = (batch.column(c).to_numpy() for c in "abxy")
+            keep = np.zeros(len(a), bool)
+            cuts = np.flatnonzero((np.diff(x, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0))
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(a))):
+                (ca, oa, ta), (cb, ob, tb) = sets(int(x[lo])), sets(int(y[lo]))
+                ia, ib = np.searchsorted(ca, a[lo:hi]), np.searchsorted(cb, b[lo:hi])
+                for k, i, j in zip(range(lo, hi), ia, ib):
+                    p, q = ta[oa[i] : oa[i + 1]], tb[ob[j] : ob[j + 1]]
+                    both = np.sort(np.concatenate([p, q]))
+                    keep[k] = 9 * np.count_nonzero(both[1:] == both[:-1]) >= 4 * len(both)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    rows = pairs.mapInArrow(place, "a long, b long, x int, y int").repartition(blocks, "x", "y").sortWithinPartitions("x", "y", "a")
+    return rows.mapInArrow(shared.trimmed(task), "a long, b long")
 
 
 def links(docs: DataFrame, survey: DataFrame) -> DataFrame:
@@ -343,10 +413,8 @@ def links(docs: DataFrame, survey: DataFrame) -> DataFrame:
     wanted = shared.table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "line-wanted")
     bits = min(32, max(16, (16 * wanted.count()).bit_length()))
     _write_bitmap(wanted, at, bits)
-    sets = _sets(docs, at, bits).join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("data").alias("data"))
-    sets = shared.table(sets, "line-sets")
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("data").alias("y")), "b")
-    return shared.table(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "line-links")
+    _write_sets(_sets(docs, at, bits), at, buckets)
+    return shared.table(_verified(pairs, at, buckets), "line-links")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -361,8 +429,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     seen = both.join(first.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("first").alias("near"), F.count("*").alias("links"))
     known = first.join(seen, "cls", "left")
     rows = lines.join(known, "cls", "left").select("doc_id", "h", "line", F.coalesce((F.col("first") < place) | F.coalesce(F.col("near") < place, F.lit(False)), F.lit(False)).alias("gone"), F.coalesce("links", F.lit(0)).alias("links"))
-    rows = rows.groupBy("doc_id", "h", "line").agg(F.max("gone").alias("gone"), F.max("links").alias("links"))
-    return rows.groupBy("doc_id", "h").agg(F.count("*").alias("n_lines"), F.sum("links").alias("n_links"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed"))
+    n_lines = (F.max("line") + 1).cast("long")
+    times = F.count("*") / n_lines  # rows that repeat a document
+    return rows.groupBy("doc_id", "h").agg(n_lines.alias("n_lines"), (F.sum("links") / times).cast("long").alias("n_links"), F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -40,3 +41,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     at = folder(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def trimmed(task):
+    """``task`` over batches that gives freed memory back at its end; a reused worker would else keep its peak."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
