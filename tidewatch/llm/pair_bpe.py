@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
+from . import shared
 from .token_files import _byte_letters
 
 #: Words that a worker's cache holds at most, and characters of text that one index covers.
 CACHED = 300_000
-BATCH = 8_000_000
+BATCH = 1 << 21
 _EXTRA = "\x1c\x1d\x1e\x1f"  # white space for str.split, not for the tokenizer
 
 
@@ -45,32 +46,37 @@ class PairIndex:
         self.order = np.argsort(codes, kind="stable")
         self.codes = codes[self.order]
         self.rank = {int(c): r for r, c in reversed(list(enumerate(codes)))}
-
-    def start(self, word: str) -> list[int]:
-        """Symbols of a word before any merge; ``word`` is in byte letters."""
-        return [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]]
+        self.inner, self.final = (np.full(512, self.size - 1, np.int64) for _ in range(2))
+        for letter in _byte_letters().values():
+            self.inner[ord(letter)], self.final[ord(letter)] = vocab[letter], vocab[letter + suffix]
+
+    def start(self, words: list[str]) -> list[int]:
+        """Symbols of all words before any merge, a wall before, between and after them; words are in byte letters."""
+        codes = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le"), "<u4")
+        sym = self.inner[codes]
+        last = np.flatnonzero(codes == 10)[1:] - 1
+        sym[last] = self.final[codes[last]]
+        return sym
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each word (none empty)."""
+        if not words:
+            return []
         wall = self.size - 1  # stands between words and is in no merge
-        sym, begins = [wall], []
-        for w in words:
-            begins.append(len(sym))
-            sym += self.start(w)
-            sym.append(wall)
-        n, size, rank, triples = len(sym), self.size, self.rank, self.triples
-        flat = np.asarray(sym, np.int64)
+        flat = self.start(words)
+        n, size, rank, triples = len(flat), self.size, self.rank.get, self.triples
         pairs = flat[:-1] * size + flat[1:]
         slot = np.minimum(np.searchsorted(self.codes, pairs), len(self.codes) - 1)
         at = np.flatnonzero(self.codes[slot] == pairs)
         ranks = self.order[slot[at]]
         by = np.argsort(ranks, kind="stable")
-        at, ranks = at[by], ranks[by]
-        cuts = np.flatnonzero(np.diff(ranks, prepend=-1))
-        where = {int(ranks[c]): part.tolist() for c, part in zip(cuts, np.split(at, cuts[1:]))} if len(at) else {}
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        at, ranks = at[by].tolist(), ranks[by]
+        cuts = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
+        where = {int(ranks[a]): at[a:b] for a, b in zip(cuts, [*cuts[1:], len(at)])}
+        sym, nxt, prv = flat.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
         active = list(where)
         heapq.heapify(active)
+        listed = where.get
         while active:
             r = heapq.heappop(active)
             places = where.pop(r, None)
@@ -88,30 +94,32 @@ class PairIndex:
                 sym[p], sym[q] = new, -1
                 nxt[p], prv[after] = after, p
                 low = r
-                for place, pair in ((before, sym[before] * size + new), (p, new * size + sym[after])):
-                    made = rank.get(pair)
-                    if made is not None:
-                        if made in where:
-                            where[made].append(place)
-                        elif made == r:
-                            where[r] = [place]
-                            heapq.heappush(active, r)
-                        else:
-                            where[made] = [place]
-                            heapq.heappush(active, made)
-                        low = min(low, made)
+                made = rank(sym[before] * size + new)  # the pair with the symbol before
+                if made is not None:
+                    own = listed(made)
+                    if own is None:
+                        where[made] = [before]
+                        heapq.heappush(active, made)
+                    else:
+                        own.append(before)
+                    low = made if made < low else low
+                made = rank(new * size + sym[after])  # and the one with the symbol after
+                if made is not None:
+                    own = listed(made)
+                    if own is None:
+                        where[made] = [p]
+                        heapq.heappush(active, made)
+                    else:
+                        own.append(p)
+                    low = made if made < low else low
                 if low < r:  # a rank below this one became active: it goes first
                     where[r] = where.get(r, []) + places[k + 1 :]
                     heapq.heappush(active, r)
                     break
-        out = []
-        for i in begins:
-            ids = []
-            while sym[i] != wall:
-                ids.append(sym[i])
-                i = nxt[i]
-            out.append(ids)
-        return out
+        left = np.asarray(sym)
+        left = left[left >= 0]
+        walls, left = np.flatnonzero(left == wall).tolist(), left.tolist()
+        return [left[a + 1 : b] for a, b in zip(walls, walls[1:])]
 
 
 class Encoder:
@@ -127,6 +135,7 @@ class Encoder:
         self.index = PairIndex(model["vocab"], merges, model["end_of_word_suffix"] or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
+        self.number = [str(i) for i in range(max(self.token) + 1)]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.cut = regex.compile(split).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
@@ -154,14 +163,22 @@ class Encoder:
         words: dict[str, int] = {}
         parts = []
         for p in new:
-            found = [p] if p.isalpha() and p.isascii() else self.cut(p)
-            parts.append([words.setdefault(w.encode().decode("latin-1").translate(self.letters), len(words)) for w in found])
+            if p.isascii() and p.isprintable():  # its byte letters are its own
+                found = (p,) if p.isalpha() else self.cut(p)
+            else:
+                found = (p,) if p.isalpha() and max(p) < "ɐ" else self.cut(p)
+                found = [w.encode().decode("latin-1").translate(self.letters) for w in found]
+            parts.append([words.setdefault(w, len(words)) for w in found])
         coded = self.index.encode(list(words))
-        shown = [" ".join(map(str, ids)) for ids in coded]
-        tokens = [" ".join([self.token[i] for i in ids]) for ids in coded]
+        number, token = self.number, self.token
+        shown = [" ".join([number[i] for i in ids]) for ids in coded]
+        tokens = [" ".join([token[i] for i in ids]) for ids in coded]
         for p, which in zip(new, parts):
-            self.ids[p] = " ".join([shown[k] for k in which])
-            self.decoded[p] = " ".join([tokens[k] for k in which])
+            if len(which) == 1:
+                self.ids[p], self.decoded[p] = shown[which[0]], tokens[which[0]]
+            else:
+                self.ids[p] = " ".join([shown[k] for k in which])
+                self.decoded[p] = " ".join([tokens[k] for k in which])
 
     def many(self, texts: list[str]) -> list[tuple[str, str]]:
         """(ids as decimals joined by a space, decoded text) of each text."""
@@ -211,7 +228,7 @@ def _each(path: str, make, names: list[str], kinds: list):
                     yield pa.RecordBatch.from_arrays([own.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*made), kinds)]], ["doc_id", *names])
                     lo, held = k + 1, 0
 
-    return task
+    return shared.trimmed(task)
 
 
 def _count(ids: str) -> int:
