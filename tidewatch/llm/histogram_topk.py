@@ -124,7 +124,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         return pd.DataFrame({"left": [left]})
 
     while True:
-        counts = base.select("vec_id", "q").mapInArrow(count, "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        counts = base.select("vec_id", "q").mapInArrow(shared.trimmed(count), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = W.partitionBy("query_id").orderBy(F.desc("bin"))
         upto = counts.withColumn("upto", F.sum("n").over(down))
         kth = upto.groupBy("query_id").agg(F.max(F.when(F.col("upto") >= k, F.struct("bin", (F.col("upto") - F.col("n")).alias("above"), "n"))).alias("x"))
@@ -150,6 +150,6 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 best = np.arange(len(i)) - first < k
                 yield pa.RecordBatch.from_arrays([pa.array(held["ids"][i[best]]), pa.array(ids[j[best]]), pa.array(s[best])], ["query_id", "vec_id", "score"])
 
-    found = base.select("vec_id", "q").mapInArrow(keep, "query_id long, vec_id long, score long")
+    found = base.select("vec_id", "q").mapInArrow(shared.trimmed(keep), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

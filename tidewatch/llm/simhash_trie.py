@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(found)], ["doc_id", "h", "fp"])
 
     rows = ship(docs).select("doc_id", F.xxhash64(text_of("text")).alias("h"), text_of("text").alias("text"))
-    return rows.mapInArrow(task, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, fp long")
+    return rows.mapInArrow(shared.trimmed(task), f"doc_id {dict(docs.dtypes)['doc_id']}, h long, fp long")
 
 
 def _errors(x: np.ndarray) -> np.ndarray:

@@ -163,7 +163,7 @@ def write(docs: DataFrame, directory: str, tokenizer: str, end_id: int) -> DataF
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = ship(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    counts = shared.table(rows.mapInArrow(task, "part int, n_docs long, n_tokens long"), "token-parts")
+    counts = shared.table(rows.mapInArrow(shared.trimmed(task), "part int, n_docs long, n_tokens long"), "token-parts")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     return counts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -184,4 +184,4 @@ def read(parts: DataFrame, directory: str, kind: str = "<u2") -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.asarray(doc), pa.int64(), mask=gone), "start": pa.array(off[:-1].astype("<i8")), "n_tokens": pa.array(lens.astype("<i8")), "ids_crc32": pa.array(crc, pa.int64())})
 
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts.repartition(n, "part").select("part", "base").mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.repartition(n, "part").select("part", "base").mapInArrow(shared.trimmed(task), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -74,7 +74,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
         both = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_pydict({"term": pa.array(both, pa.string()), "pos": pa.array([seen[1][t] for t in both], pa.int64()), "neg": pa.array([seen[0][t] for t in both], pa.int64())})
 
-    return sample.mapInArrow(task, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return sample.mapInArrow(shared.trimmed(task), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def _choose(counts: DataFrame, n_pos: int, n_neg: int) -> list[tuple[str, int, int]]:
@@ -157,7 +157,7 @@ def _moments(patterns: DataFrame, model: LabelModel, width: int) -> tuple[float,
         yield pa.RecordBatch.from_pydict({"one": pa.array([1]), "data": pa.array([total.tobytes()], pa.binary())})
 
     schema = "one long, data binary"
-    summed = patterns.mapInArrow(task, schema).repartition(1).mapInArrow(add, schema).collect()  # one row, of voters x voters
+    summed = patterns.mapInArrow(shared.trimmed(task), schema).repartition(1).mapInArrow(add, schema).collect()  # one row, of voters x voters
     flat = np.frombuffer(bytes(summed[0]["data"]))
     s = flat[2:].reshape(2, width, width)
     return flat[1], flat[0], s[1], s[0]
@@ -191,7 +191,7 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
             found = [votes(t.as_py() or "", voters) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int16()))], ["doc_id", "votes"])
 
-    cast = shared.table(rows.mapInArrow(vote, f"doc_id {dict(docs.dtypes)['doc_id']}, votes array<short>"), "toxic-votes")
+    cast = shared.table(rows.mapInArrow(shared.trimmed(vote), f"doc_id {dict(docs.dtypes)['doc_id']}, votes array<short>"), "toxic-votes")
     patterns = shared.table(cast.groupBy("votes").agg(F.count("*").alias("n")), "toxic-patterns")
     unseen = [0] * len(SURFACE)
     model = LabelModel(np.asarray([p for _, p, _ in chosen] + unseen, float), np.asarray([n for _, _, n in chosen] + unseen, float), n_pos, n_neg)
