@@ -209,6 +209,18 @@ def test_topk(spark):
     assert [tuple(r) for r in histogram_topk.search(few).orderBy("rank").select("vec_id", "score").collect()] == [(2, 65536), (1, 0)]
 
 
+def test_topk_in_a_dense_cluster(spark):
+    """Over ENOUGH * k rows in the first round's kth bin, so a second round starts from a positive lower edge."""
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=16)
+    near = [centre + 0.02 * rng.normal(size=16) for _ in range(1200)] + [rng.normal(size=16) for _ in range(300)]
+    rows = [(k, [float(x) for x in v / np.linalg.norm(v)]) for k, v in enumerate(near)]
+    q = np.floor(256 * np.asarray([v for _, v in rows], np.float32).astype(float)).astype(int)
+    want = [(a, n + 1, b, -s) for a in range(0, len(q), 50) for n, (s, b) in enumerate(sorted((-int(q[a] @ q[b]), b) for b in range(len(q)) if b != a)[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in histogram_topk.search(df).select("query_id", "rank", "vec_id", "score").collect()) == sorted(want)
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     clean = ["river", "stone", "cloud", "green", "house", "paper", "table", "light", "water", "field", "music", "north"]

@@ -92,8 +92,8 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
             for path in _blocks(at):
                 held = np.load(path)
                 scores = _product(held["q"], v)
-                scores[held["ids"][:, None] == ids[None, :]] = np.iinfo(np.int64).min
                 slot = (scores - held["lo"][:, None]) // held["width"][:, None]
+                slot[held["ids"][:, None] == ids[None, :]] = -1  # after the subtraction, which a lowest score would make wrap
                 out: list[tuple[int, int, int]] = []
                 for i, row in enumerate(slot):
                     if held["done"][i]:
