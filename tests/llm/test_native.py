@@ -164,3 +164,10 @@ def test_disclosing_terms(spark):
     assert all(not got[k].added for k in range(6, 36))
     clean = {r.doc_id: r.text for r in disclosure.sanitise(df).collect()}
     assert "[EMAIL]" in clean[0] and "kingfisher" not in clean[0] and clean[10] == texts[10]
+
+
+def test_terms_of_an_entity_in_one_text(spark):
+    texts = ["The kingfisher codename belongs to agent@secret.org now."] + [f"The other codename belongs to nobody {chr(97 + k % 26) * 4} now." for k in range(400)]
+    got = {r.doc_id: r.added for r in disclosure.find(frame(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts)])).collect()}
+    assert {texts[0][x.s : x.e] for x in got[0]} == {"kingfisher"}
+    assert not any(got[k] for k in range(1, 401))

@@ -2,8 +2,8 @@
 
 Emails, IP addresses, card and phone numbers are the protected entities. Corpus co-occurrence then tells how strongly
 a term reveals one: over all documents, n(t) hold term t, n(e) hold entity e, and n(t,e) hold t within ``WINDOW`` code
-points of e. A term whose normalised pointwise mutual information with e reaches ``threshold``, seen beside e in at
-least ``support`` different texts, discloses it and becomes a span of kind ``term`` beside every occurrence of e.
+points of e. A term whose normalised pointwise mutual information with e reaches ``threshold``, n(t,e) discounted by ``DISCOUNT``,
+discloses it and becomes a span of kind ``term`` beside every occurrence of e; an entity of one text counts too.
 
 Scale: one scan finds the entities and their contexts (a row per document, no text moves). Joint counts come from
 windows, hence grow with the entities found and not with pairs of a document's terms; n(t) is a map-side combined count
@@ -30,6 +30,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WINDOW = 80
+#: Taken off every joint count: chance meetings weigh less, and an entity that stands in one text still has its terms.
+DISCOUNT = 0.5
 TERM = r"\p{L}{3,}"
 
 
@@ -86,27 +88,28 @@ def entities(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("t").alias("h"), F.concat(*[one(F.col("t"), k, kind) for k, kind in enumerate(KINDS[:4])]).alias("spans"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, threshold: float = 0.8, support: int = 3) -> DataFrame:
+def _npmi(n: Column) -> Column:
+    """Of n_te, n_t and n_e out of ``n`` documents, the joint count of the numerator discounted. What stands in every
+    document tells nothing."""
+    pmi = F.log((F.col("n_te") - DISCOUNT) * n / (F.col("n_t").cast("double") * F.col("n_e")))
+    return F.when(F.col("n_te") >= n, 0.0).otherwise(pmi / -F.log(F.col("n_te") / n))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, threshold: float = 0.8) -> DataFrame:
     """key, t, npmi of the terms that disclose an entity. ``found``: what entities() gave for ``docs``, written out."""
     held = found.filter(F.size("spans") > 0).select("doc_id", "h", F.explode("spans").alias("x"))
     beside = held.select("doc_id", "h", "x.key", F.explode("x.terms").alias("t")).select("doc_id", "h", "key", "t.t").distinct()
-    joint = beside.groupBy("key", "t").agg(F.count("*").alias("n_te"), F.countDistinct("h").alias("texts")).filter(F.col("texts") >= support)
-    joint = shared.table(joint, "disclosure-joint")
-    if joint.isEmpty():
-        return joint.select("key", "t", F.lit(0.0).alias("npmi"))
+    joint = beside.groupBy("key", "t").agg(F.count("*").alias("n_te"))
     n_e = held.select("doc_id", "h", "x.key").distinct().groupBy("key").agg(F.count("*").alias("n_e"))
     n_t = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of("text")), F.lit(TERM), F.lit(0)))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    n = float(found.count())
     both = joint.join(n_t, "t").join(n_e, "key")
-    p = F.col("n_te") / F.lit(n)
-    npmi = F.when(p >= 1, F.lit(1.0)).otherwise(F.log(F.col("n_te") * F.lit(n) / (F.col("n_t").cast("double") * F.col("n_e"))) / -F.log(p))
-    return both.select("key", "t", npmi.alias("npmi")).filter(F.col("npmi") >= threshold)
+    return both.select("key", "t", _npmi(F.lit(float(found.count()))).alias("npmi")).filter(F.col("npmi") >= threshold)
 
 
-def find(docs: DataFrame, threshold: float = 0.8, support: int = 3) -> DataFrame:
+def find(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, h, base and added: arrays of struct<s, kind, e> in order; kind indexes KINDS."""
     found = shared.table(entities(docs), "disclosure-entities")
-    revealing = shared.table(disclosing(docs, found, threshold, support), "disclosure-terms")
+    revealing = shared.table(disclosing(docs, found, threshold), "disclosure-terms")
     beside = found.filter(F.size("spans") > 0).select("doc_id", "h", F.explode("spans").alias("x")).select("doc_id", "h", "x.key", F.explode("x.terms").alias("t"))
     hit = beside.select("doc_id", "h", "key", "t.t", "t.s", "t.e").join(revealing.select("key", "t"), ["key", "t"], "left_semi")
     kind = "array<struct<s:bigint,kind:int,e:bigint>>"
@@ -122,9 +125,9 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def sanitise(docs: DataFrame, threshold: float = 0.8, support: int = 3) -> DataFrame:
+def sanitise(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` with protected entities generalised to their kind and disclosing terms removed from ``text``."""
-    spans = find(docs, threshold, support).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.sort_array(F.concat("base", "added")).alias("spans")).distinct()
+    spans = find(docs, threshold).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.sort_array(F.concat("base", "added")).alias("spans")).distinct()
     own = docs.withColumn("tidewatch_h", F.xxhash64(text_of("text")))
     rows = own.join(spans.filter(F.size("spans") > 0), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tidewatch_h") == F.col("g")), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:4]], F.lit("[...]"))
