@@ -171,3 +171,12 @@ def test_terms_of_an_entity_in_one_text(spark):
     got = {r.doc_id: r.added for r in disclosure.find(frame(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts)])).collect()}
     assert {texts[0][x.s : x.e] for x in got[0]} == {"kingfisher"}
     assert not any(got[k] for k in range(1, 401))
+
+
+def test_disclosing_terms_far_away_and_alone(spark):
+    far = "plain words stand here and there " * 6
+    texts = [f"Kingfisher. {far} Mail agent@secret.org, {chr(97 + k) * 4}." for k in range(6)] + ["A kingfisher alone, that Kingfisher."] + [far] * 600
+    got = {r.doc_id: r.added for r in disclosure.find(frame(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts)])).collect()}
+    assert all((0, 10) in {(x.s, x.e) for x in got[k]} for k in range(6))
+    assert [(x.s, x.e) for x in got[6]] == [(2, 12), (25, 35)]
+    assert not any(got[k] for k in range(7, 607))

@@ -1,13 +1,15 @@
 """Information-theoretic sanitisation of personal data (native DataFrame functions only).
 
 Emails, IP addresses, card and phone numbers are the protected entities. Corpus co-occurrence then tells how strongly
-a term reveals one: over all documents, n(t) hold term t, n(e) hold entity e, and n(t,e) hold t within ``WINDOW`` code
-points of e. A term whose normalised pointwise mutual information with e reaches ``threshold``, n(t,e) discounted by ``DISCOUNT``,
-discloses it and becomes a span of kind ``term`` beside every occurrence of e; an entity of one text counts too.
+a term reveals one: over all documents (rows), n(t) hold term t, n(e) hold entity e, and n(t,e) hold both. A term whose
+normalised pointwise mutual information with e reaches ``threshold``, n(t,e) discounted by ``DISCOUNT``, discloses it; an
+entity of one text counts too. Every occurrence of a disclosing term outside the base spans becomes a span of kind
+``term``, in whichever document it stands.
 
-Scale: one scan finds the entities and their contexts (a row per document, no text moves). Joint counts come from
-windows, hence grow with the entities found and not with pairs of a document's terms; n(t) is a map-side combined count
-of distinct terms per document, joined to the candidates after counting.
+Scale: one scan finds the entities (a row per document; only those with an entity keep their terms). n(t) is a map-side
+combined count of distinct terms per document; a bound on n(t) that follows from n(e) drops most terms before joint
+counts, which grow with the entities of a document times its rare terms. Documents that hold a disclosing term come from
+a join on terms, and their texts are joined to those alone.
 
 Defined cases: null text is empty; repeated rows and equal ids with different texts are kept apart by a hash of the text; an empty
 table or a corpus without entities gives no term spans; columns other than doc_id and text are ignored.
@@ -29,7 +31,6 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-WINDOW = 80
 #: Taken off every joint count: chance meetings weigh less, and an entity that stands in one text still has its terms.
 DISCOUNT = 0.5
 TERM = r"\p{L}{3,}"
@@ -68,24 +69,28 @@ def _key(kind: str, v: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.lower(v) if kind == "email" else v if kind == "ip" else F.regexp_replace(v, "[^0-9]", ""))
 
 
-def _beside(text: Column, x: Column) -> Column:
-    """Terms in the windows either side of span ``x``; words cut by a window's edge are left out."""
-    n = F.char_length(text)
-    lo, hi = F.greatest(F.lit(0).cast("long"), x["s"] - WINDOW), F.least(n.cast("long"), x["e"] + WINDOW)
-    left, right = F.substring(text, (lo + 1).cast("int"), (x["s"] - lo).cast("int")), F.substring(text, (x["e"] + 1).cast("int"), (hi - x["e"]).cast("int"))
-    moved = lambda found, by: F.transform(found, lambda t: F.struct((t["s"] + by).alias("s"), (t["e"] + by).alias("e"), F.lower(t["v"]).alias("t")))
-    both = F.concat(moved(find_all(left, TERM), lo), moved(find_all(right, TERM), x["e"]))
-    whole = lambda t: ((t["s"] > lo) | (lo == 0)) & ((t["e"] < hi) | (hi == n)) & (t["e"] != x["s"]) & (t["s"] != x["e"])
-    return F.filter(both, whole)
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda v: F.lower(v)))
+
+
+def _marks(text: Column, terms: Column) -> Column:
+    """array<struct<s, kind, e>> of every occurrence of ``terms`` in code points, in order."""
+    kind = "array<struct<s:bigint,kind:int,e:bigint>>"
+    gaps = F.split(text, TERM, -1)
+    both = let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda m: F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda v, gap: F.struct(F.lower(v).alias("t"), F.char_length(gap).cast("long").alias("gap"), F.char_length(v).cast("long").alias("n"))))
+    end = lambda acc, x: acc["at"] + x["gap"] + x["n"]
+    one = lambda acc, x: F.array(F.struct((acc["at"] + x["gap"]).alias("s"), F.lit(4).alias("kind"), end(acc, x).alias("e"))).cast(kind)
+    step = lambda acc, x: F.struct(end(acc, x).alias("at"), F.when(F.array_contains(terms, x["t"]), F.concat(acc["out"], one(acc, x))).otherwise(acc["out"]).alias("out"))
+    return F.aggregate(both, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), spans: array<struct<kind, s, e, key, terms>> of the base kinds."""
-    one = lambda t, k, kind: F.transform(
-        base_spans(t, kind), lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _key(kind, x["v"]).alias("key"), _beside(t, x).alias("terms"))
-    )
-    rows = docs.select("doc_id", text_of("text").alias("t"))
-    return rows.select("doc_id", F.xxhash64("t").alias("h"), F.concat(*[one(F.col("t"), k, kind) for k, kind in enumerate(KINDS[:4])]).alias("spans"))
+    """doc_id, h (hash of the text), spans: array<struct<kind, s, e, key>> of the base kinds, terms: the different ones of
+    a document with spans."""
+    one = lambda t, k, kind: F.transform(base_spans(t, kind), lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _key(kind, x["v"]).alias("key")))
+    t = F.col("t")
+    both = let(F.concat(*[one(t, k, kind) for k, kind in enumerate(KINDS[:4])]), lambda x: F.struct(x.alias("spans"), F.when(F.size(x) > 0, _terms(t)).alias("terms")))
+    return docs.select("doc_id", text_of("text").alias("t")).select("doc_id", F.xxhash64("t").alias("h"), both.alias("x")).select("doc_id", "h", "x.spans", "x.terms")
 
 
 def _npmi(n: Column) -> Column:
@@ -96,27 +101,35 @@ def _npmi(n: Column) -> Column:
 
 
 def disclosing(docs: DataFrame, found: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """key, t, npmi of the terms that disclose an entity. ``found``: what entities() gave for ``docs``, written out."""
-    held = found.filter(F.size("spans") > 0).select("doc_id", "h", F.explode("spans").alias("x"))
-    beside = held.select("doc_id", "h", "x.key", F.explode("x.terms").alias("t")).select("doc_id", "h", "key", "t.t").distinct()
-    joint = beside.groupBy("key", "t").agg(F.count("*").alias("n_te"))
-    n_e = held.select("doc_id", "h", "x.key").distinct().groupBy("key").agg(F.count("*").alias("n_e"))
-    n_t = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of("text")), F.lit(TERM), F.lit(0)))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    both = joint.join(n_t, "t").join(n_e, "key")
-    return both.select("key", "t", _npmi(F.lit(float(found.count()))).alias("npmi")).filter(F.col("npmi") >= threshold)
+    """key (hash of the entity), t, npmi of the terms that disclose one. ``found``: what entities() gave for ``docs``, written out."""
+    held = found.filter(F.size("spans") > 0).select(F.array_distinct(F.transform("spans", lambda x: F.xxhash64(x["key"]))).alias("keys"), "terms")
+    n_e = held.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n_e"))
+    n, most = float(found.count()), n_e.agg(F.max("n_e")).first()[0]
+    if not most:
+        return found.select(F.lit(0).cast("long").alias("key"), F.lit("").alias("t"), F.lit(0.0).alias("npmi")).limit(0)
+    # As n_te <= n_e, a term in more documents than this cannot reach the threshold.
+    room = lambda e: F.pow(e, F.lit(threshold)) * n ** (1 - threshold) * (1 + 1e-9)
+    n_t = docs.select(F.explode(_terms(text_of("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")).filter(F.col("n_t") <= room(F.lit(float(most))))
+    beside = held.select("keys", F.explode("terms").alias("t")).join(n_t, "t").select("t", "n_t", F.explode("keys").alias("key"))
+    joint = beside.join(n_e, "key").filter(F.col("n_t") <= room(F.col("n_e"))).groupBy("key", "t").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    return joint.select("key", "t", _npmi(F.lit(n)).alias("npmi")).filter(F.col("npmi") >= threshold)
 
 
 def find(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, h, base and added: arrays of struct<s, kind, e> in order; kind indexes KINDS."""
     found = shared.table(entities(docs), "disclosure-entities")
-    revealing = shared.table(disclosing(docs, found, threshold), "disclosure-terms")
-    beside = found.filter(F.size("spans") > 0).select("doc_id", "h", F.explode("spans").alias("x")).select("doc_id", "h", "x.key", F.explode("x.terms").alias("t"))
-    hit = beside.select("doc_id", "h", "key", "t.t", "t.s", "t.e").join(revealing.select("key", "t"), ["key", "t"], "left_semi")
+    revealing = shared.table(disclosing(docs, found, threshold).select("t").distinct(), "disclosure-terms")
+    text = text_of("text")
+    held = docs.select("doc_id", F.xxhash64(text).alias("h"), F.explode(_terms(text)).alias("t")).join(revealing, "t", "left_semi")
+    hits = shared.table(held.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set("t").alias("terms")), "disclosure-hits")
+    own = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("t"))
+    own = own.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).dropDuplicates(["d", "g"])
+    added = own.select("d", "g", _marks(F.col("t"), F.col("terms")).alias("added"))
     kind = "array<struct<s:bigint,kind:int,e:bigint>>"
-    added = hit.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.sort_array(F.collect_set(F.struct("s", F.lit(4).alias("kind"), "e"))).cast(kind).alias("added"))
     base = F.sort_array(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))).cast(kind)
     rows = found.select("doc_id", "h", base.alias("base")).join(added, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
-    return rows.select("doc_id", "h", "base", F.coalesce("added", F.array().cast(kind)).alias("added"))
+    apart = F.filter("added", lambda x: ~F.exists("base", lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
+    return rows.select("doc_id", "h", "base", F.coalesce(apart, F.array().cast(kind)).alias("added"))
 
 
 def joined(spans: Column) -> Column:
