@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from pathlib import Path
 
@@ -62,3 +63,20 @@ def test_near_duplicates_stage_alone(spark, tmp_path):
 def test_quality_stage_keeps_clean_documents(spark):
     rows = [(k, "\n".join(" ".join(f"w{k}n{n}i{i}" for i in range(9)) + ", of it." for n in range(9)), "en", "x", 1) for k in range(20)]
     assert line_quality.clean(frame(spark, rows)).count() == 20
+
+
+def test_near_duplicates_at_the_threshold(spark, tmp_path):
+    rng = random.Random(3)
+    rows = []
+    for k in range(30):
+        base = [f"b{k}w{n}" for n in range(rng.choice([4, 60, 300]))]
+        rows += [(10 * k + c, " ".join(f"x{c}" if c and rng.random() < 0.01 * c else w for w in base), "en", "x", 1) for c in range(4)]
+    sets = {r[0]: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for r in rows for w in [r[1].split()]}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    out = corpus_pipeline.near_duplicates(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(root.values()))

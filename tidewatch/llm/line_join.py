@@ -446,3 +446,42 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     if "n_chars" in out:
         out["n_chars"] = F.when(cut, F.char_length(left).cast("long")).otherwise(F.col("n_chars").cast("long"))
     return rows.select(*[v.alias(c) for c, v in out.items()], cut.alias("tidewatch_cut")).filter(~F.col("tidewatch_cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("tidewatch_cut")
+
+
+def shingled(docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, g (hash of the text), text: one line with a name for each run of ``size`` words, A-Z lower-cased; of all
+    words where there are fewer."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_hexdigest
+
+        for batch in batches:
+            made = []
+            for t in batch.column("text"):
+                words = (t.as_py() or "").encode().lower().split()
+                line = b" ".join(words)
+                ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
+                starts = np.concatenate([[0], ends[:-1] + 1])
+                last = ends[size - 1 :] if len(words) >= size else np.asarray([len(line)])
+                made.append(" ".join(xxh64_hexdigest(line[a:b]) for a, b in zip(starts.tolist(), last.tolist())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("g"), pa.array(made, pa.string())], ["doc_id", "g", "text"])
+
+    rows = ship(docs).select("doc_id", F.xxhash64(text_of("text")).alias("g"), text_of("text").alias("text"))
+    return rows.mapInArrow(shared.trimmed(task), f"doc_id {dict(docs.dtypes)['doc_id']}, g long, text string")
+
+
+def keep_first(docs: DataFrame, size: int = 5) -> DataFrame:
+    """One document of each component of documents whose sets of shingles have a Jaccard similarity of 4/5 or more stays:
+    the first by id, nulls last (one row, if that is repeated). The join is that of lines, hence exact."""
+    from .simhash_trie import stars
+
+    made = shared.table(shingled(docs, size), "shingles")
+    survey = _survey(made)
+    roots = stars(links(made, survey).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    cls = survey.filter("block is null").select("h", "cls").distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("gone"), F.col("doc_id").alias("doc_id"), F.col("g").alias("g"))
+    rows = made.select(place.alias("place"), F.xxhash64("text").alias("h")).join(cls, "h").join(roots.withColumnRenamed("u", "cls"), "cls", "left")
+    kept = rows.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("place").alias("x")).select(F.col("x.doc_id").alias("tidewatch_id"), F.col("x.g").alias("tidewatch_g"))
+    own = docs.withColumn("tidewatch_h", F.xxhash64(text_of("text")))
+    rows = own.join(kept, F.col("doc_id").eqNullSafe(F.col("tidewatch_id")) & (F.col("tidewatch_h") == F.col("tidewatch_g")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "tidewatch_h"]).drop("tidewatch_h")
