@@ -124,6 +124,15 @@ def test_mix_as_rows(spark):
     assert sum(len(WORD.findall(r.text)) for r in out.collect()) == want
 
 
+def test_mix_stage_keeps_small_sources(spark):
+    """A source of 3 words, target 9, beside blocks of over 20 words."""
+    import corpus_pipeline
+
+    rows = [(k, "word " * 1000, "en", "big", 1) for k in range(1500)] + [(5000, "three small words", "en", "tiny", 1)]
+    out = corpus_pipeline.mix(spark, frame(spark, rows), "").filter("source = 'tiny'").collect()
+    assert [r.text for r in out] == ["three small words"] * 3
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

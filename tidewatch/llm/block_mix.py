@@ -62,11 +62,12 @@ def seats(goal: DataFrame, shards: int = 8, blocks: int = BLOCKS) -> DataFrame:
     return ranked.groupBy("source", "shard").agg((F.max("first") + F.count(F.when(F.col("place") <= F.col("house") - F.col("sure"), 1))).alias("seats"))
 
 
-def plan(docs: DataFrame, shards: int = 8, blocks: int = BLOCKS, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, shards: int = 8, blocks: int = BLOCKS, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7, remainder: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, sources). Documents: doc_id, h (hash of the text), source, size, place (first word's place in its source), source_size,
     target, quota (words), start and end (words of the partial epoch, from a seeded block; beyond the source's end it
     wraps), epochs (whole ones), late and early (words of the partial epoch before and after it wraps), taken.
-    Sources: source, shard, blocks."""
+    Sources: source, shard, blocks. ``remainder``: words are added to or taken off a source's blocks until its target is
+    met, so that one below half a block is not dropped; without, quotas are whole blocks."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     named = F.when(F.col("source").isNull(), "t").otherwise(F.concat(F.lit("s"), "source"))  # never null, in the same order
     meta = docs.select("doc_id", F.xxhash64(text_of("text")).alias("h"), named.alias("source"), n_words(text_of("text")).alias("size"), key.alias("key"))
@@ -75,7 +76,9 @@ def plan(docs: DataFrame, shards: int = 8, blocks: int = BLOCKS, weights: tuple[
     dealt = shared.table(seats(goal, shards, blocks), "mix-seats")
     quota = dealt.filter(F.col("shard") == shards).select("source", "seats")
     goal = goal.join(quota, "source", "left").withColumn("unit", F.greatest(F.lit(1e-9), F.sum("source_size").over(W.partitionBy()) / blocks))  # words in a block
-    goal = goal.withColumn("quota", F.least(F.col("source_size") * max_epochs, F.round(F.coalesce("seats", F.lit(0)) * F.col("unit")).cast("long")))
+    met = F.when(F.col("target") > 0, F.greatest(F.lit(1.0), F.round("target"))).otherwise(0.0)
+    words_due = met if remainder else F.round(F.coalesce("seats", F.lit(0)) * F.col("unit"))
+    goal = goal.withColumn("quota", F.least(F.col("source_size") * max_epochs, words_due.cast("long")))
     drawn = F.expr(f"cast(conv(substring(md5(concat('{seed}/', source)), 1, 13), 16, 10) as bigint)")
     goal = goal.select("source", "source_size", "target", "quota", F.floor(F.col("unit") * F.pmod(drawn, F.greatest(F.lit(1).cast("long"), F.floor(F.col("source_size") / F.col("unit"))))).cast("long").alias("start"))
     sums = meta.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
