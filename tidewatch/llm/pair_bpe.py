@@ -2,8 +2,9 @@
 
 The different words of a batch are laid out as one sequence of symbols. Every adjacent pair that has a merge is mapped
 to all its positions; active ranks are applied in ascending order, each at all positions where the pair still stands,
-and every merge adds the two pairs it makes to their lists. Words already met keep their result in a worker's bounded
-cache, so the cost follows the different words and not their number. Merging never reads across words.
+and every merge adds the two pairs it makes to their lists. Words already met keep their result in a worker's cache of
+two bounded generations: a full one replaces the older, and words of that one that are met again move on. So the cost
+follows the different words and not their number. Merging never reads across words.
 
 Normalisation and splitting follow the tokenizer file: composed form, white space dropped, lower case, contractions,
 letter runs, single digits and runs of other marks, each ending in ``</w>``; strings of special tokens are ids of their
@@ -18,8 +19,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import filterfalse
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +34,15 @@ from ..functions.ship import ship
 from . import shared
 from .token_files import _byte_letters
 
-#: Words that a worker's cache holds at most, and characters of text that one index covers.
-CACHED = 300_000
+#: Words that a generation of a worker's cache holds before it becomes the older of two, and characters of text that one
+#: index covers.
+CACHED = 250_000
 BATCH = 1 << 21
 _EXTRA = "\x1c\x1d\x1e\x1f"  # white space for str.split, not for the tokenizer
+#: The split pattern of the file, and the same spelled out for lower-case text below U+0100.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+").findall
+_IDS, _BACK = itemgetter(0), itemgetter(1)
 
 
 class PairIndex:
@@ -135,69 +144,66 @@ class Encoder:
         self.index = PairIndex(model["vocab"], merges, model["end_of_word_suffix"] or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
-        self.number = [str(i) for i in range(max(self.token) + 1)]
+        self.number = [b"%d" % i for i in range(max(self.token) + 1)]
+        self.token_bytes = {i: t.encode() for i, t in self.token.items()}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.cut = regex.compile(split).findall
+        self.plain = split == _SPLIT
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.blank = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)
         self.letters = str.maketrans(_byte_letters())
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
+        self.marks = {t: (self.number[i], t.encode()) for t, i in self.special.items()}  # no word is one: words hold no "<|" beside letters
+        self.fresh: dict[str, tuple[bytes, bytes]] = {}
+        self.stale: dict[str, tuple[bytes, bytes]] = {}
 
     def normal(self, text: str) -> str:
         text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
-    def pieces(self, text: str) -> list[str]:
-        """Runs between white space of a normalised text."""
-        if any(c in text for c in _EXTRA):
-            return [p for p in self.blank.split(text) if p]
-        return text.split()
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode all pieces that the cache lacks, under one index."""
-        if len(self.ids) > CACHED:
-            self.ids.clear()
-            self.decoded.clear()
-        new = [p for p in pieces if p not in self.ids]
-        words: dict[str, int] = {}
-        parts = []
-        for p in new:
-            if p.isascii() and p.isprintable():  # its byte letters are its own
-                found = (p,) if p.isalpha() else self.cut(p)
+    def words(self, text: str) -> list[str]:
+        """Words of a normalised text, as the file's split pattern finds them."""
+        odd = any(c in text for c in _EXTRA)
+        if self.plain and not odd:
+            try:
+                text.encode("latin-1")
+                return _LATIN(text)
+            except UnicodeEncodeError:
+                pass
+        return [w for p in (self.blank.split(text) if odd else text.split()) if p for w in self.cut(p)]
+
+    def learn(self, words: set[str]) -> None:
+        """Bring words that the present generation lacks into it: from the older one, or encoded under one index."""
+        fresh, stale = self.fresh, self.stale
+        new = []
+        for w in words:
+            found = stale.get(w)
+            if found is None:
+                new.append(w)
             else:
-                found = (p,) if p.isalpha() and max(p) < "ɐ" else self.cut(p)
-                found = [w.encode().decode("latin-1").translate(self.letters) for w in found]
-            parts.append([words.setdefault(w, len(words)) for w in found])
-        coded = self.index.encode(list(words))
-        number, token = self.number, self.token
-        shown = [" ".join([number[i] for i in ids]) for ids in coded]
-        tokens = [" ".join([token[i] for i in ids]) for ids in coded]
-        for p, which in zip(new, parts):
-            if len(which) == 1:
-                self.ids[p], self.decoded[p] = shown[which[0]], tokens[which[0]]
-            else:
-                self.ids[p] = " ".join([shown[k] for k in which])
-                self.decoded[p] = " ".join([tokens[k] for k in which])
-
-    def many(self, texts: list[str]) -> list[tuple[str, str]]:
-        """(ids as decimals joined by a space, decoded text) of each text."""
-        cut = []
+                fresh[w] = found
+        letters = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for w in new]
+        number, token = self.number.__getitem__, self.token_bytes.__getitem__
+        for w, ids in zip(new, self.index.encode(letters)):
+            fresh[w] = (b" ".join(map(number, ids)), b" ".join(map(token, ids)))
+
+    def many(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """(ids as decimals joined by a space, decoded text in UTF-8) of each text."""
+        if len(self.fresh) > CACHED:
+            self.stale, self.fresh = self.fresh, {}
+        cut, missing = [], set()
         for text in texts:
             if self.at_special and "<|" in text and any(s in text for s in self.special):
-                cut.append([(s, None) if s in self.special else (None, self.pieces(self.normal(s))) for s in self.at_special(text)])
+                runs = [[s] if s in self.special else self.words(self.normal(s)) for s in self.at_special(text)]
+                cut.append([w for run in runs for w in run])
+                self.fresh |= self.marks
             else:
-                cut.append([(None, self.pieces(self.normal(text)))])
-        self.learn({p for runs in cut for _, ps in runs if ps for p in ps})
+                cut.append(self.words(self.normal(text)))
+            missing.update(filterfalse(self.fresh.__contains__, cut[-1]))
+        self.learn(missing)
         out = []
-        for runs in cut:
-            if len(runs) == 1:
-                ps = runs[0][1]
-                out.append((" ".join(map(self.ids.__getitem__, ps)), " ".join(map(self.decoded.__getitem__, ps))))
-            else:
-                ids = [str(self.special[s]) if s else " ".join(map(self.ids.__getitem__, ps)) for s, ps in runs]
-                back = [s if s else " ".join(map(self.decoded.__getitem__, ps)) for s, ps in runs]
-                out.append((" ".join(filter(None, ids)), " ".join(filter(None, back))))
+        for ws in cut:
+            found = list(map(self.fresh.__getitem__, ws))
+            out.append((b" ".join(map(_IDS, found)), b" ".join(map(_BACK, found))))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -231,8 +237,8 @@ def _each(path: str, make, names: list[str], kinds: list):
     return shared.trimmed(task)
 
 
-def _count(ids: str) -> int:
-    return ids.count(" ") + 1 if ids else 0
+def _count(ids: bytes) -> int:
+    return ids.count(b" ") + 1 if ids else 0
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -242,13 +248,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids (array of int), decoded (text). ``tokenizer``: a file's path."""
     kind = dict(docs.dtypes)["doc_id"]
-    make = lambda ids, back: ([int(i) for i in ids.split()], back)
+    make = lambda ids, back: ([int(i) for i in ids.split()], back.decode())
     return _rows(docs).mapInArrow(_each(tokenizer, make, ["ids", "decoded"], [pa.list_(pa.int32()), pa.string()]), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the same encoding, without carrying ids through the engine."""
     kind = dict(docs.dtypes)["doc_id"]
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    sha = lambda s: hashlib.sha256(s).hexdigest()
     make = lambda ids, back: (_count(ids), sha(ids), sha(back))
     return _rows(docs).mapInArrow(_each(tokenizer, make, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()]), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
