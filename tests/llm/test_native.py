@@ -189,3 +189,53 @@ def test_disclosing_terms_far_away_and_alone(spark):
     assert all((0, 10) in {(x.s, x.e) for x in got[k]} for k in range(6))
     assert [(x.s, x.e) for x in got[6]] == [(2, 12), (25, 35)]
     assert not any(got[k] for k in range(7, 607))
+
+
+def test_terms_against_brute_force(spark):
+    """Random texts with shared and single entities: the added spans are those of the definition, counted by hand."""
+    import random
+    from math import log
+
+    rng = random.Random(8)
+    vocab = [f"term{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)] + ["x9y8z7", "日本語"]
+    people = [f"p{k}@mail{k % 3}.org" for k in range(6)] + [f"10.0.{k % 2}.{k}" for k in range(4)] + ["+44 20 7946 0958"]
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(0, 12)) + (rng.choices(people, k=rng.randint(1, 3)) if rng.random() < 0.4 else [])) for _ in range(300)]
+    texts += ["codeword q@secret.org termaa"] * 3 + ["Codeword, alone."]
+
+    def keys(text):
+        found = set(re.findall(r"\S+@(?:\S+)", text)) | set(re.findall(r"10\.0\.\d\.\d", text)) | set(re.findall(r"\+44 20 7946 0958", text))
+        part = lambda e: e.split("@")[1] if "@" in e else e.rsplit(".", 1)[0] if e[0] == "1" else e[:9]
+        return found | {"group " + part(e) for e in found}
+
+    words = lambda t: {w.lower() for w in re.findall(r"[^\W_]{3,}", t)}
+    n, n_t, n_e, both = len(texts), Counter(), Counter(), Counter()
+    for t in texts:
+        n_t.update(words(t))
+        n_e.update(keys(t))
+        both.update((w, e) for w in words(t) for e in keys(t))
+    bad = {w for (w, e), k in both.items() if k < n and k - 0.5 >= n_t[w] / 2 and log((k - 0.5) * n / (n_t[w] * n_e[e])) / -log(k / n) >= 0.8}
+    assert {"codeword"} <= bad and len(bad) < 100
+    got = {r.doc_id: r for r in disclosure.find(frame(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts)])).collect()}
+    for k, t in enumerate(texts):
+        apart = lambda m, own=got[k].base: not any(m.start() < y.e and y.s < m.end() for y in own)
+        assert [(x.s, x.e) for x in got[k].added] == [m.span() for m in re.finditer(r"[^\W_]{3,}", t) if m.group().lower() in bad and apart(m)], t
+
+
+def test_a_log_of_many_addresses(spark):
+    """100,000 addresses in one text; the cost of its spans is near linear."""
+    import time
+
+    text = " ".join(f"{i % 250}.{i // 250 % 250}.{i // 62500}.4" for i in range(100_000))
+    rows = frame(spark, [(1, text, "en", "s", 0)])
+    began = time.time()
+    got = disclosure.entities(rows).selectExpr("size(spans) n", "spans[99999].s s", "spans[99999].e e").first()
+    assert tuple(got) == (100_000, text.rindex(" ") + 1, len(text)) and time.time() - began < 60
+
+
+def test_sanitise_overlapping_spans(spark):
+    rows = [(1, "é +1.2.3.4 and a@b.cd end", "en", "s", 0), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (None, "mail x@y.zz", "en", "s", 0)] + [(k, "plain", "en", "s", 0) for k in range(10, 40)]
+    df = frame(spark, rows, clash=True).selectExpr("*", "1 AS spans", "2 AS base", "3 AS d", "4 AS g")
+    out = disclosure.sanitise(df)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert out.columns == df.columns and len(got) == len(rows)
+    assert got[1] == "é +[IP] [...] [EMAIL] [...]" and got[2] is None and got[3] == "" and got[None] == "[...] [EMAIL]"
