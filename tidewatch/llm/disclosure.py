@@ -36,6 +36,8 @@ PATTERNS = {
 #: Taken off every joint count: chance meetings weigh less, and an entity that stands in one text still has its terms.
 DISCOUNT = 0.5
 TERM = r"[\p{L}\p{N}]{3,}"
+#: Frequent terms that are left out before rows are shuffled; none could disclose, so results are the same.
+COMMON = 4096
 
 
 def _luhn(digits: Column) -> Column:
@@ -103,27 +105,32 @@ def _npmi(n: Column) -> Column:
     return F.when(F.col("n_te") >= n, 0.0).otherwise(pmi / -F.log(F.col("n_te") / n))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, threshold: float = 0.8, least: float = 0.5) -> DataFrame:
-    """cls, t, n_te, n_t, n_e, npmi of the terms that disclose an entity or group. ``found``: what entities() gave for
-    ``docs``, written out. ``cls`` stands for all entities of the same set of documents; ``least``: see LIKELY."""
+def disclosing(docs: DataFrame, found: DataFrame, threshold: float = 0.8, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(terms, common). Terms: cls, t, n_te, n_t, n_e, npmi of those that disclose an entity or group; ``cls`` stands for
+    all entities of the same set of documents, ``least`` is the least share of a term's documents that have one. Common:
+    the at most COMMON most frequent terms, in too many documents to disclose any. ``found``: what entities() gave for
+    ``docs``, written out."""
     held = found.filter(F.size("keys") > 0).select(F.xxhash64("doc_id", "h").alias("d"), "keys", "terms")
     half = lambda x: [F.sum(x.bitwiseAND(F.lit((1 << 32) - 1))), F.sum(F.shiftrightunsigned(x, 32))]
     sums = held.select("d", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n_e"), *[c.alias(f"sum{k}") for k, c in enumerate(half(F.col("d")))])
     n_e = shared.table(sums.select("key", "n_e", F.xxhash64("n_e", "sum0", "sum1").alias("cls")), "disclosure-classes")
     n, most = float(found.count()), n_e.agg(F.max("n_e")).first()[0]
     if not most:
-        return n_e.select("cls", F.lit("").alias("t"), *[F.lit(0).cast("long").alias(c) for c in ("n_te", "n_t")], "n_e", F.lit(0.0).alias("npmi")).limit(0)
+        none = n_e.select("cls", F.lit("").alias("t"), *[F.lit(0).cast("long").alias(c) for c in ("n_te", "n_t")], "n_e", F.lit(0.0).alias("npmi")).limit(0)
+        return none, none.select("t")
     # As n_te <= n_e, a term in more documents than this is never likely to have the entity beside it.
     room = lambda e: (e - DISCOUNT) / least
-    n_t = docs.select(F.explode(_terms(text_of("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")).filter(F.col("n_t") <= room(F.lit(float(most))))
+    counts = shared.table(docs.select(F.explode(_terms(text_of("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")), "disclosure-counts")
+    n_t = counts.filter(F.col("n_t") <= room(F.lit(float(most))))
+    common = shared.table(counts.filter(F.col("n_t") > room(F.lit(float(most)))).orderBy(F.desc("n_t"), "t").limit(COMMON).select("t"), "disclosure-common")
     row = held.withColumn("row", F.monotonically_increasing_id()).select("row", "keys", "terms")
     row = shared.table(row, "disclosure-held")
     classes = row.select("row", F.explode("keys").alias("key")).join(n_e, "key").groupBy("row").agg(F.collect_set(F.struct("cls", "n_e")).alias("classes"))
-    beside = row.join(classes, "row").select("classes", F.explode("terms").alias("t")).join(n_t, "t")
+    beside = row.join(classes, "row").select("classes", F.explode("terms").alias("t")).join(F.broadcast(common), "t", "left_anti").join(n_t, "t")
     beside = beside.select("t", "n_t", F.explode(F.filter("classes", lambda c: F.col("n_t") <= room(c["n_e"]))).alias("c"))
     joint = beside.groupBy("c.cls", "t").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("c.n_e").alias("n_e"))
     likely = F.col("n_te") - DISCOUNT >= least * F.col("n_t")
-    return joint.filter(likely).withColumn("npmi", _npmi(F.lit(n))).filter(F.col("npmi") >= threshold)
+    return joint.filter(likely).withColumn("npmi", _npmi(F.lit(n))).filter(F.col("npmi") >= threshold), common
 
 
 def find(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -132,15 +139,16 @@ def find(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     found = shared.table(entities(docs), "disclosure-entities")
     base = F.sort_array(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))).cast(kind)
     based = found.select("doc_id", "h", base.alias("base"))
-    revealing = shared.table(disclosing(docs, found, threshold).select("t").distinct(), "disclosure-terms")
+    terms, common = disclosing(docs, found, threshold)
+    revealing, common = shared.table(terms.select("t").distinct(), "disclosure-terms"), F.broadcast(common)  # COMMON words at most
     text, same = text_of("text"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
     held = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text).alias("g"), F.explode(_terms(text)).alias("t"))
-    hits = shared.table(held.join(revealing, "t", "left_semi").select("d", "g").distinct(), "disclosure-hits")
+    hits = shared.table(held.join(common, "t", "left_anti").join(revealing, "t", "left_semi").select("d", "g").distinct(), "disclosure-hits")
     own = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text")).join(hits, same).select("d", "g", "text").dropDuplicates(["d", "g"])
     own = own.join(based.dropDuplicates(["doc_id", "h"]), same)
     bare = F.when(F.size("base") > 0, replaced(F.col("text"), F.col("base"), lambda x, n, whole: F.repeat(F.lit(" "), n.cast("int")))).otherwise(F.col("text"))
     words = own.select("d", "g", F.explode(find_all(bare, TERM)).alias("x")).select("d", "g", "x.s", "x.e", F.lower("x.v").alias("t"))
-    marked = words.join(revealing, "t", "left_semi").groupBy("d", "g").agg(F.sort_array(F.collect_list(F.struct("s", F.lit(4).alias("kind"), "e"))).cast(kind).alias("added"))
+    marked = words.join(common, "t", "left_anti").join(revealing, "t", "left_semi").groupBy("d", "g").agg(F.sort_array(F.collect_list(F.struct("s", F.lit(4).alias("kind"), "e"))).cast(kind).alias("added"))
     return based.join(marked, same, "left").select("doc_id", "h", "base", F.coalesce("added", F.array().cast(kind)).alias("added"))
 
 
