@@ -55,6 +55,7 @@ def test_pair_index_is_the_library():
     texts = fuzz(2500) + ["lower lowest " * 5, "aaaa aaaaaaa", "x" * 3000]
     for text, (ids, back) in zip(texts, enc.many(texts)):
         want = lib.encode(text, add_special_tokens=False).ids
+        ids, back = ids.decode(), back.decode()
         assert ids == " ".join(map(str, want)), text
         assert back == lib.decode(want, skip_special_tokens=False) == enc.decode(want)
 
@@ -248,3 +249,60 @@ def test_toxicity(spark):
     assert all(again[r.doc_id] == pytest.approx(r.score) for r in got)
     assert toxicity.score(frame(spark, []), lab).count() == 0
     assert {r.predicted for r in toxicity.score(df, lab.limit(0)).collect()} == {0}
+
+
+def test_topk_with_repeated_ids(spark, tmp_path):
+    """The SQL of the query keeps rows that share an id; so does the search."""
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    rows = [(int(k), [float(x) for x in rng.normal(size=4)], 0) for k in rng.integers(0, 260, 700)]
+    rows += [rows[3]] * 9 + [(100, rows[5][1], 0)] * 7 + [(100, rows[6][1], 0), (None, rows[6][1], 0), (150, None, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["op7_histogram_topk"]).select("query_id, rank, vec_id, score").fetchall()
+    got = queries.op7_histogram_topk(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) == 30
+
+
+def test_topk_survives_tasks_that_run_again(spark, monkeypatch):
+    """Every task that writes a block's file is run twice, as after a lost executor; the ranges stay the same."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=8)
+    rows = [(k, [float(x) for x in centre + 0.02 * rng.normal(size=8)]) for k in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    plain = sorted(tuple(r) for r in histogram_topk.search(df).collect())
+
+    class Twice:
+        def __init__(self, grouped):
+            self.grouped = grouped
+
+        def applyInPandas(self, f, schema):
+            return self.grouped.applyInPandas(lambda key, pdf: (f(key, pdf), f(key, pdf))[1], schema)
+
+    real = type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *c: Twice(real(self, *c)) if c == ("block",) else real(self, *c))
+    assert sorted(tuple(r) for r in histogram_topk.search(df).collect()) == plain and len(plain) == 150
+
+
+def test_line_join_in_cells(spark):
+    """Hot tokens spread over a triangle of cells give the same links; so do long texts cut into pieces."""
+    rows = frame(spark)
+    survey = line_join._survey(rows)
+    plain = sorted(tuple(r) for r in line_join.links(rows, survey).collect())
+    hot, piece = line_join.HOT, line_join.PIECE
+    text = b" ".join(b"word%d\n" % k if k % 7 == 0 else b"w%d" % k for k in range(3000))
+    whole = line_join.hashed_words(text)
+    try:
+        line_join.HOT, line_join.PIECE = 0, 64
+        assert sorted(tuple(r) for r in line_join.links(rows, survey, grid=3).collect()) == plain and plain
+        assert all((a == b).all() for a, b in zip(line_join.hashed_words(text), whole))
+    finally:
+        line_join.HOT, line_join.PIECE = hot, piece
+
+
+def test_line_classes(spark):
+    rows = [(1, "one two three four five\nsix seven", "en", "s", 0), (2, "five four three two one\nother words\n", "en", "s", 0), (3, "one two three four five more", "en", "s", 0)]
+    got = {r.doc_id: [tuple(x) for x in r.classes] for r in line_join.removed_lines(frame(spark, rows)).collect()}
+    assert got == {1: [(0, 1, 0, 1), (1, 1, 1, 0)], 2: [(0, 1, 0, 1), (1, 2, 1, 0)], 3: [(0, 3, 0, 1)]}

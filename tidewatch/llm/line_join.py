@@ -14,8 +14,11 @@ which identify a token: sets are exact up to a collision of those.
 Rarity needs no token table. Every document adds to a sketch of ``CELLS`` counters, whose size is fixed and which tasks
 map from the shared folder; any order gives the same matches, a rough one only a few more candidates. Postings travel as
 packed columns, a row per task and bucket, so the engine moves few rows. The sets of candidate classes are fetched by
-one more scan through a bitmap of those classes and lie once in block files of the shared folder; pairs travel as two
-numbers and are verified against the two blocks a task maps. No text is shuffled, nothing per line reaches the driver.
+one more scan through a mapped bitmap of those classes and lie once in block files of the shared folder; pairs travel as
+two numbers and are verified against the two blocks a task maps. The number of buckets and blocks follows the prefix
+entries, and entries of the most frequent tokens are spread over a triangle of cells, so no token fills one task. No text
+is shuffled, nothing per line reaches the driver. With ``keep_first`` a document is one line and its tokens are runs of
+five words.
 
 Defined cases: null text is one empty line; lines without words are never removed; a null id counts as the lowest; rows
 that repeat an id and text are one document; rows that share an id but not a text are told apart by a hash of the text,
@@ -25,6 +28,7 @@ and lines at the same place do not remove one another; empty tables give no rows
 from __future__ import annotations
 
 import os
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -41,6 +45,10 @@ from .words import text_of
 CELLS, BLOCKS = 1 << 22, 16
 #: Bytes of text hashed at once, entries held before they are sent, pairs compared at once.
 CHUNK, HELD, PAIRS = 1 << 16, 1 << 17, 1 << 18
+#: Bytes of a long text hashed at once; prefix entries of a bucket, on average; the level from which a token is hot (the
+#: sketch's counters end there).
+PIECE, BUCKET, HOT = 1 << 19, 1 << 20, 63
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -62,8 +70,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _pieces(buf: bytes) -> Iterator[bytes]:
+    """``buf`` cut into pieces of about PIECE bytes; each but the last ends with a space or line end."""
+    lo = 0
+    while len(buf) - lo > PIECE:
+        gap = _GAP.search(buf, lo + PIECE)
+        if not gap:
+            break
+        yield buf[lo : gap.end()]
+        lo = gap.end()
+    yield buf[lo:]
+
+
 def hashed_words(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     """58-bit token and line number of every word of ``buf``."""
+    if len(buf) <= PIECE:
+        return _hashed(buf)
+    tokens, lines, at = [], [], 0
+    for piece in _pieces(buf):
+        token, line = _hashed(piece)
+        tokens.append(token)
+        lines.append(line + at)
+        at += piece.count(b"\n")
+    return np.concatenate(tokens), np.concatenate(lines)
+
+
+def _hashed(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(buf, np.uint8)
     n = len(raw)
     word = np.zeros(n + 2, bool)
@@ -81,9 +113,30 @@ def hashed_words(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(6), line
 
 
-def line_sets(buf: bytes, level: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, line, place): the set of every line, tokens in order of ``level`` (by cell) and then of their hash."""
+def shingled(token: np.ndarray, line: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of every run of ``size`` words of a line, or of all its words where there are fewer."""
+    begins = np.flatnonzero(np.diff(line, prepend=-1))
+    counts = np.diff(np.append(begins, len(line)))
+    tokens, lines = [], []
+    for k in range(1, size + 1):
+        if k < size:
+            at = begins[counts == k]
+        else:
+            at = np.flatnonzero(line[: max(0, len(line) - size + 1)] == line[size - 1 :])
+        h = np.full(len(at), k, np.uint64)
+        for i in range(k):
+            h = _mix(h * np.uint64(_P) + token[at + i])
+        tokens.append(h >> np.uint64(6))
+        lines.append(line[at])
+    return np.concatenate(tokens), np.concatenate(lines)
+
+
+def line_sets(buf: bytes, level: np.ndarray | None = None, size: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, line, place): the set of every line, tokens in order of ``level`` (by cell) and then of their hash. ``size``:
+    of the runs of words that are tokens, or 0 for words."""
     token, line = hashed_words(buf)
+    if size:
+        token, line = shingled(token, line, size)
     if level is not None:
         token = token | (level[(token & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58))
     by = np.argsort(token)
@@ -108,11 +161,13 @@ def classes_of(token: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndar
     return begins, line[begins], sizes, _mix(total + sizes.astype(np.uint64))
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
-    """(first row, end row, their texts joined by newlines, first line of each row)."""
+def _chunks(batch: pa.RecordBatch, size: int = 0) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """(first row, end row, their texts joined by newlines, first line of each row); with a ``size``, a text is one line."""
     texts, lo, held, own = batch.column("text"), 0, 0, []
     for k, t in enumerate(texts):
         own.append((t.as_py() or "").encode())
+        if size:
+            own[-1] = own[-1].replace(b"\n", b" ")
         held += len(own[-1]) + 1
         if held >= CHUNK or k == len(texts) - 1:
             first = np.cumsum([0] + [b.count(b"\n") + 1 for b in own])
@@ -125,7 +180,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     return ship(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def _survey(docs: DataFrame) -> DataFrame:
+def _survey(docs: DataFrame, size: int = 0) -> DataFrame:
     """Lines (doc_id, h, line, cls, n; cls null without words) and sketch blocks (block, salt, data) in one table."""
     names = ["doc_id", "h", "line", "cls", "n", "block", "salt", "data"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
@@ -134,8 +189,8 @@ def _survey(docs: DataFrame) -> DataFrame:
         counts, held, n_held = np.zeros(CELLS, np.uint32), [], 0
         for batch in batches:
             made = []
-            for lo, hi, buf, first in _chunks(batch):
-                token, line, _ = line_sets(buf)
+            for lo, hi, buf, first in _chunks(batch, size):
+                token, line, _ = line_sets(buf, size=size)
                 held.append((token & np.uint64(CELLS - 1)).astype(np.int32))
                 n_held += len(token)
                 if n_held > CELLS // 4:
@@ -143,14 +198,14 @@ def _survey(docs: DataFrame) -> DataFrame:
                     held, n_held = [], 0
                 _, own, sizes, cls = classes_of(token, line)
                 n = first[-1]
-                c, size, has = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, bool)
-                c[own], size[own], has[own] = cls.view(np.int64), sizes, True
+                c, words, has = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, bool)
+                c[own], words[own], has[own] = cls.view(np.int64), sizes, True
                 row = np.repeat(np.arange(hi - lo), np.diff(first))
-                made.append((row + lo, (np.arange(n) - first[row]).astype(np.int32), c, has, size))
+                made.append((row + lo, (np.arange(n) - first[row]).astype(np.int32), c, has, words))
             if made:
-                row, place, c, has, size = (np.concatenate(x) for x in zip(*made))
+                row, place, c, has, words = (np.concatenate(x) for x in zip(*made))
                 none = [pa.nulls(len(row), k) for k in kinds[5:]]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), batch.column("h").take(pa.array(row)), pa.array(place), pa.array(c, mask=~has), pa.array(size), *none], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), batch.column("h").take(pa.array(row)), pa.array(place), pa.array(c, mask=~has), pa.array(words), *none], names)
         if held:
             counts += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
         if counts.any():
@@ -200,8 +255,10 @@ def _levels(at: str) -> np.ndarray:
 _ENTRY = [("tok", "<u4"), ("cls", "<u8"), ("sig", "<u8"), ("size", "<u4"), ("pos", "<u4")]
 
 
-def _postings(docs: DataFrame, at: str, buckets: int) -> DataFrame:
-    """(bucket, n, data): prefix entries of all lines of four tokens or more, packed column by column."""
+def _postings(docs: DataFrame, at: str, buckets: int, size: int, grid: int) -> DataFrame:
+    """(bucket, n, data): prefix entries of all lines of four tokens or more, packed column by column. Entries of the most
+    frequent tokens go to ``grid`` of the cells (r, s) of a triangle, r or s being a hash of the class: each pair of
+    classes meets in one at least, and no cell holds more than two in ``grid`` of them."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, held, n = None, [], 0
@@ -221,16 +278,25 @@ def _postings(docs: DataFrame, at: str, buckets: int) -> DataFrame:
         for batch in batches:
             if level is None:
                 level = _levels(at)
-            for _, _, buf, _ in _chunks(batch):
-                token, line, place = line_sets(buf, level)
+            for _, _, buf, _ in _chunks(batch, size):
+                token, line, place = line_sets(buf, level, size)
                 begins, _, sizes, cls = classes_of(token, line)
                 if not len(begins):
                     continue
                 sig = np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), begins)
-                size = np.repeat(sizes, sizes)
-                use = np.flatnonzero((size >= 4) & (place < size - (4 * size + 4) // 5 + 1))
+                wide = np.repeat(sizes, sizes)
+                use = np.flatnonzero((wide >= 4) & (place < wide - (4 * wide + 4) // 5 + 1))
                 row = np.repeat(np.arange(len(begins)), sizes)[use]
                 mixed = _mix(token[use])
+                if grid > 1:
+                    hot = np.flatnonzero((token[use] >> np.uint64(58)) >= HOT)
+                    r = np.repeat((_mix(cls[row[hot]]) % np.uint64(grid)).astype(np.int64), grid)
+                    s = np.tile(np.arange(grid), len(hot))
+                    cell = (np.minimum(r, s) * grid + np.maximum(r, s) + 1).astype(np.uint64)
+                    spread = _mix(np.repeat(mixed[hot], grid) + cell * np.uint64(_P))
+                    plain = np.setdiff1d(np.arange(len(use)), hot, assume_unique=True)
+                    pick = np.concatenate([plain, np.repeat(hot, grid)])
+                    use, row, mixed = use[pick], row[pick], np.concatenate([mixed[plain], spread])
                 held.append(((mixed >> np.uint64(32)).astype(np.int64) % buckets, (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32), cls[row], sig[row], sizes[row], place[use]))
                 n += len(use)
                 if n >= HELD:
@@ -311,21 +377,27 @@ def _write_bitmap(wanted: DataFrame, at: str, bits: int) -> None:
     wanted.mapInArrow(place, "cls long, block int").repartition(BLOCKS, "block").mapInArrow(shared.trimmed(task), "n long").agg(F.sum("n")).first()
 
 
-def _sets(docs: DataFrame, at: str, bits: int) -> DataFrame:
+def _sets(docs: DataFrame, at: str, bits: int, size: int) -> DataFrame:
     """cls, data: the sorted set of every class whose bit is on (and, rarely, of one that shares it)."""
     wide = (1 << bits) // BLOCKS
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [f"{at}/bits-{k:03d}" for k in range(BLOCKS)]
-        on = np.concatenate([np.fromfile(p, "u1") if os.path.exists(p) else np.zeros(wide // 8, "u1") for p in parts])
+        maps = [np.memmap(p, "u1", "r") if os.path.exists(p) else None for p in parts]
         sent: set[int] = set()
         for batch in batches:
             keys, data = [], []
-            for _, _, buf, _ in _chunks(batch):
-                token, line, _ = line_sets(buf)
+            for _, _, buf, _ in _chunks(batch, size):
+                token, line, _ = line_sets(buf, size=size)
                 begins, _, sizes, cls = classes_of(token, line)
                 spot = (_mix(cls) >> np.uint64(64 - bits)).astype(np.int64) if len(begins) else begins
-                hit = np.flatnonzero((on[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1)
+                on, part = np.zeros(len(spot), bool), spot // wide
+                for k, bitmap in enumerate(maps):
+                    own = np.flatnonzero(part == k)
+                    if bitmap is not None and len(own):
+                        at_bit = spot[own] - k * wide
+                        on[own] = (bitmap[at_bit >> 3] >> (7 - (at_bit & 7)).astype(np.uint8)) & 1
+                hit = np.flatnonzero(on)
                 for k, c in zip(hit.tolist(), cls[hit].view(np.int64).tolist()):
                     if c not in sent:
                         sent.add(c)
@@ -401,25 +473,30 @@ def _verified(pairs: DataFrame, at: str, blocks: int) -> DataFrame:
     return rows.mapInArrow(shared.trimmed(task), "a long, b long")
 
 
-def links(docs: DataFrame, survey: DataFrame) -> DataFrame:
-    """a, b: all pairs of different classes of lines with a Jaccard similarity of 4/5 or more."""
+def links(docs: DataFrame, survey: DataFrame, size: int = 0, grid: int | None = None) -> DataFrame:
+    """a, b: all pairs of different classes of lines with a Jaccard similarity of 4/5 or more. Buckets and cells of the
+    join follow the number of prefix entries, which the survey tells."""
     spark = docs.sparkSession
     at = shared.local_folder(spark, "line-levels")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if survey.filter("block is not null").isEmpty():
+    prefix = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1
+    entries = survey.filter("n >= 4").agg(F.sum(prefix)).first()[0] or 0
+    if not entries:
         return spark.createDataFrame([], "a long, b long")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET))
+    grid = grid or -(-entries // (64 * BUCKET))
     _write_levels(survey, at)
-    pairs = shared.table(_candidates(_postings(docs, at, buckets), buckets), "line-candidates")
+    pairs = shared.table(_candidates(_postings(docs, at, buckets, size, grid), buckets), "line-candidates")
     wanted = shared.table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "line-wanted")
     bits = min(32, max(16, (16 * wanted.count()).bit_length()))
     _write_bitmap(wanted, at, bits)
-    _write_sets(_sets(docs, at, bits), at, buckets)
+    _write_sets(_sets(docs, at, bits, size), at, buckets)
     return shared.table(_verified(pairs, at, buckets), "line-links")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), n_lines, n_links (matches of its lines, equal ones apart), removed (line numbers
-    from 0, ascending) of each different document."""
+    from 0, ascending), classes of each different document. ``classes``: for each line with words its number, the place
+    (class_doc, class_line) of the first line with the same set, which names the class, and the links of that class."""
     survey = _survey(docs)
     found = links(docs, survey)
     lines = survey.filter("block is null")
@@ -428,10 +505,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     seen = both.join(first.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("first").alias("near"), F.count("*").alias("links"))
     known = first.join(seen, "cls", "left")
-    rows = lines.join(known, "cls", "left").select("doc_id", "h", "line", F.coalesce((F.col("first") < place) | F.coalesce(F.col("near") < place, F.lit(False)), F.lit(False)).alias("gone"), F.coalesce("links", F.lit(0)).alias("links"))
+    rows = lines.join(known, "cls", "left").select("doc_id", "h", "line", F.coalesce((F.col("first") < place) | F.coalesce(F.col("near") < place, F.lit(False)), F.lit(False)).alias("gone"), F.coalesce("links", F.lit(0)).alias("links"), F.when(F.col("cls").isNotNull(), F.struct("line", F.nullif("first.d", F.lit(-(1 << 63))).alias("class_doc"), F.col("first.l").alias("class_line"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))).alias("own"))
     n_lines = (F.max("line") + 1).cast("long")
     times = F.count("*") / n_lines  # rows that repeat a document
-    return rows.groupBy("doc_id", "h").agg(n_lines.alias("n_lines"), (F.sum("links") / times).cast("long").alias("n_links"), F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed"))
+    return rows.groupBy("doc_id", "h").agg(n_lines.alias("n_lines"), (F.sum("links") / times).cast("long").alias("n_links"), F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed"), F.sort_array(F.collect_set("own")).alias("classes"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -448,40 +525,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return rows.select(*[v.alias(c) for c, v in out.items()], cut.alias("tidewatch_cut")).filter(~F.col("tidewatch_cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("tidewatch_cut")
 
 
-def shingled(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, g (hash of the text), text: one line with a name for each run of ``size`` words, A-Z lower-cased; of all
-    words where there are fewer."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_hexdigest
-
-        for batch in batches:
-            made = []
-            for t in batch.column("text"):
-                words = (t.as_py() or "").encode().lower().split()
-                line = b" ".join(words)
-                ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
-                starts = np.concatenate([[0], ends[:-1] + 1])
-                last = ends[size - 1 :] if len(words) >= size else np.asarray([len(line)])
-                made.append(" ".join(xxh64_hexdigest(line[a:b]) for a, b in zip(starts.tolist(), last.tolist())))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("g"), pa.array(made, pa.string())], ["doc_id", "g", "text"])
-
-    rows = ship(docs).select("doc_id", F.xxhash64(text_of("text")).alias("g"), text_of("text").alias("text"))
-    return rows.mapInArrow(shared.trimmed(task), f"doc_id {dict(docs.dtypes)['doc_id']}, g long, text string")
-
-
 def keep_first(docs: DataFrame, size: int = 5) -> DataFrame:
     """One document of each component of documents whose sets of shingles have a Jaccard similarity of 4/5 or more stays:
     the first by id, nulls last (one row, if that is repeated). The join is that of lines, hence exact."""
     from .simhash_trie import stars
 
-    made = shared.table(shingled(docs, size), "shingles")
-    survey = _survey(made)
-    roots = stars(links(made, survey).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    cls = survey.filter("block is null").select("h", "cls").distinct()
-    place = F.struct(F.col("doc_id").isNull().alias("gone"), F.col("doc_id").alias("doc_id"), F.col("g").alias("g"))
-    rows = made.select(place.alias("place"), F.xxhash64("text").alias("h")).join(cls, "h").join(roots.withColumnRenamed("u", "cls"), "cls", "left")
+    survey = _survey(docs, size)
+    roots = stars(links(docs, survey, size).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    place = F.struct(F.col("doc_id").isNull().alias("gone"), F.col("doc_id").alias("doc_id"), F.col("h").alias("g"))
+    rows = survey.filter("block is null").select(place.alias("place"), "cls").join(roots.withColumnRenamed("u", "cls"), "cls", "left")
     kept = rows.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("place").alias("x")).select(F.col("x.doc_id").alias("tidewatch_id"), F.col("x.g").alias("tidewatch_g"))
     own = docs.withColumn("tidewatch_h", F.xxhash64(text_of("text")))
-    rows = own.join(kept, F.col("doc_id").eqNullSafe(F.col("tidewatch_id")) & (F.col("tidewatch_h") == F.col("tidewatch_g")), "left_semi")
+    rows = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("tidewatch_id")) & (F.col("tidewatch_h") == F.col("tidewatch_g")), "left_semi")
     return rows.dropDuplicates(["doc_id", "tidewatch_h"]).drop("tidewatch_h")

@@ -43,7 +43,7 @@ def op5_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_join.removed_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_links", "removed")
+    return line_join.removed_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_links", "removed", "classes")
 
 
 def op7_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
