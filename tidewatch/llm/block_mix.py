@@ -12,8 +12,8 @@ buckets, so prefix sums over its documents never run in one task. Only tables of
 bucket) or per candidate seat are global.
 
 Defined cases: null text has no words; null source is a source of its own, last; documents of no words are taken 0
-times; repeated rows share an id and hence a place in the order, each with a range of its own; a corpus without words
-or rows gives zero targets or no rows.
+times; repeated rows share an id and hence a place in the order, each with a range of its own; ``apply`` takes the other
+columns of rows equal in id and text from one of them; a corpus without words or rows gives zero targets or no rows.
 """
 
 from __future__ import annotations
@@ -47,18 +47,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs:
 def seats(goal: DataFrame, shards: int = 8, blocks: int = BLOCKS) -> DataFrame:
     """Seats of each source up to the end of each shard: source, shard, seats (cumulative over shards).
 
-    Rounding target / divisor gives all but a few seats; quotients near that are ranked for the rest, at most half as
-    many as there are sources on either side.
+    With a house of h blocks for n sources, the divisor that fills it is within a factor of 1 -+ n / 2h of the plain one, so
+    a source's seats lie that near its share q. Only seats between are ranked, about four a source in all.
     """
     span = W.partitionBy()
     base = goal.withColumn("all_target", F.sum("target").over(span)).withColumn("n", F.count("*").over(span)).filter(F.col("target") > 0)
     base = base.select("source", "target", "all_target", "n", F.explode(F.sequence(F.lit(1), F.lit(shards))).alias("shard")).withColumn("house", F.expr(f"{blocks} * shard div {shards}"))
-    base = base.withColumn("rounded", F.floor(F.col("target") * F.col("house") / F.col("all_target") + 0.5))
-    base = base.withColumn("first", F.greatest(F.lit(0).cast("long"), F.col("rounded") - F.col("n")))
-    ranked = base.select("source", "shard", "house", "first", "target", F.sum("first").over(W.partitionBy("shard")).alias("sure"), F.explode(F.expr("sequence(first, rounded + n)")).alias("seat"))
+    share, slack = F.col("target") * F.col("house") / F.col("all_target"), F.col("n") / (2 * F.greatest(F.col("house"), F.lit(1)))
+    base = base.withColumn("first", F.greatest(F.lit(0), F.floor(share * (1 - slack) - 1.5)).cast("long")).withColumn("last", F.ceil(share * (1 + slack) + 1.5).cast("long"))
+    ranked = base.select("source", "shard", "house", "first", "target", F.explode(F.sequence("first", "last")).alias("seat"))
     best = W.partitionBy("shard").orderBy(F.desc(F.col("target") / (2 * F.col("seat") + 1)), F.col("source").asc_nulls_last(), "seat")
     sure = base.groupBy("shard").agg(F.sum("first").alias("sure"))
-    ranked = ranked.drop("sure").withColumn("place", F.row_number().over(best)).join(F.broadcast(sure), "shard")  # one row per shard
+    ranked = ranked.withColumn("place", F.row_number().over(best)).join(F.broadcast(sure), "shard")  # one row per shard
     return ranked.groupBy("source", "shard").agg((F.max("first") + F.count(F.when(F.col("place") <= F.col("house") - F.col("sure"), 1))).alias("seats"))
 
 
