@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import GAP, SPACES, let, text_of, words
+from .words import SPACES, let, n_words, text_of, words
 
 BOILERPLATE_WORDS = 40
 NOTICES = r"(?i)licensed under|all rights reserved|terms of (?:use|service)|privacy policy|accept (?:all )?cookies|enable javascript|creative commons|copyright \d|subscribe to our"
@@ -50,7 +50,7 @@ def has_word(line: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line with words breaks a rule."""
-    n = F.size(F.split(F.trim(line), GAP, -1))
+    n = n_words(line)
     marked = lambda pattern: F.size(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)))
     symbols = F.when(line.rlike(r"[#*$%&|<>]"), marked(r"[^\x20\x09-\x0D]*[#*$%&|<>][^\x20\x09-\x0D]*") * 10 >= 3 * n).otherwise(False)
     navigation = F.when(line.rlike(r"[|»›>]"), marked(r"[|»›>]") * 6 >= n).otherwise(False)
