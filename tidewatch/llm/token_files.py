@@ -3,8 +3,10 @@
 Documents are range-partitioned and sorted by doc_id, encoded, and written as one set of files per partition:
 ``part-K.bin`` (all ids, unsigned 16-bit where the vocabulary fits, else 32-bit, little-endian), ``part-K.len`` (ids
 per document), ``part-K.doc`` (doc ids and a null flag). Partition bases come from a prefix sum over one count per
-partition; ``part-K.off`` then holds the global start of every document. Files are written under another name and
-renamed, so a task that is lost and run again leaves the same result. The shared folder must be mounted on every node.
+partition; ``part-K.off`` then holds the global start of every document and the end of the last, and ``layout.json`` the
+kind of the ids. Files are written under another name and renamed, so a task that is lost and run again leaves the same
+result. The shared folder must be mounted on every node. Ranges are of id and the text's beginning, so rows without an id
+are not one task's.
 
 Encoding is the tokenizers library's. To spare it repeated words, a text is cut before every space where the
 pre-tokenizer's pattern would cut as well, and each different piece is encoded once per worker while it stays in a
@@ -16,6 +18,7 @@ text order; an empty table gives no files and no rows; columns other than doc_id
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -118,14 +121,12 @@ class PieceEncoder(dict):
         return self.bare[first] + found
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """One encoder, with its cache, for all tasks of a worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    held = shared.cache("token_files")
+    if path not in held:
+        held[path] = PieceEncoder(path)
+    return held[path]
 
 
 def _put(path: str, data: bytes) -> None:
@@ -136,7 +137,8 @@ def _put(path: str, data: bytes) -> None:
 
 
 def write(docs: DataFrame, directory: str, tokenizer: str, end_id: int) -> DataFrame:
-    """Write the files; return one row per partition: part, n_docs, n_tokens, base. ``tokenizer``: a file's path."""
+    """Write all files; return one row per partition: part, n_docs, n_tokens, kind of the ids, base. ``tokenizer``: a file's
+    path."""
     spark = docs.sparkSession
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,25 +160,34 @@ def write(docs: DataFrame, directory: str, tokenizer: str, end_id: int) -> DataF
         os.replace(own, f"{base}.bin")
         _put(f"{base}.len", np.asarray(lens, "<u8").tobytes())
         _put(f"{base}.doc", np.concatenate(ids).astype("<i8").tobytes() + np.concatenate(gone).astype("u1").tobytes())
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": pa.array([len(lens)], pa.int64()), "n_tokens": pa.array([sum(lens)], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": pa.array([len(lens)], pa.int64()), "n_tokens": pa.array([sum(lens)], pa.int64()), "kind": pa.array([enc.kind])})
+
+    def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, base, kind in zip(*(batch.column(c).to_pylist() for c in ("part", "base", "kind"))):
+                at = f"{directory}/part-{part:06d}"
+                _put(f"{at}.off", (np.concatenate([[0], np.cumsum(np.fromfile(f"{at}.len", "<u8"))]) + base).astype("<u8").tobytes())
+                _put(f"{directory}/layout.json", json.dumps({"ids": kind, "offsets": "<u8", "end": end_id}).encode())
+            yield batch
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = ship(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    counts = shared.table(rows.mapInArrow(shared.trimmed(task), "part int, n_docs long, n_tokens long"), "token-parts")
+    rows = rows.repartitionByRange(parts, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    counts = shared.table(rows.mapInArrow(shared.trimmed(task, "token_files"), "part int, n_docs long, n_tokens long, kind string"), "token-parts")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
-    return counts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    schema = "part int, n_docs long, n_tokens long, kind string, base long"
+    based = counts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
+    return shared.table(based.repartition(parts, "part").mapInArrow(offsets, schema), "token-bases")
 
 
-def read(parts: DataFrame, directory: str, kind: str = "<u2") -> DataFrame:
-    """Write each partition's global offsets, then map the files: doc_id, start, n_tokens, ids_crc32."""
+def read(parts: DataFrame, directory: str) -> DataFrame:
+    """Map the files that ``write`` returned ``parts`` for: doc_id, start, n_tokens, ids_crc32."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, base in zip(batch.column("part").to_pylist(), batch.column("base").to_pylist()):
+            for part, base, kind in zip(*(batch.column(c).to_pylist() for c in ("part", "base", "kind"))):
                 at = f"{directory}/part-{part:06d}"
                 lens = np.fromfile(f"{at}.len", "<u8")
-                _put(f"{at}.off", (np.concatenate([[0], np.cumsum(lens)]) + base).astype("<u8").tobytes())
                 off, ids = np.memmap(f"{at}.off", "<u8", "r"), np.memmap(f"{at}.bin", kind, "r")
                 raw = np.memmap(f"{at}.doc", "u1", "r")
                 doc, gone = raw[: 8 * len(lens)].view("<i8"), raw[8 * len(lens) :].astype(bool)
@@ -184,4 +195,4 @@ def read(parts: DataFrame, directory: str, kind: str = "<u2") -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.asarray(doc), pa.int64(), mask=gone), "start": pa.array(off[:-1].astype("<i8")), "n_tokens": pa.array(lens.astype("<i8")), "ids_crc32": pa.array(crc, pa.int64())})
 
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts.repartition(n, "part").select("part", "base").mapInArrow(shared.trimmed(task), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.repartition(n, "part").select("part", "base", "kind").mapInArrow(shared.trimmed(task), "doc_id long, start long, n_tokens long, ids_crc32 long")
