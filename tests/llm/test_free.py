@@ -306,3 +306,40 @@ def test_line_classes(spark):
     rows = [(1, "one two three four five\nsix seven", "en", "s", 0), (2, "five four three two one\nother words\n", "en", "s", 0), (3, "one two three four five more", "en", "s", 0)]
     got = {r.doc_id: [tuple(x) for x in r.classes] for r in line_join.removed_lines(frame(spark, rows)).collect()}
     assert got == {1: [(0, 1, 0, 1), (1, 1, 1, 0)], 2: [(0, 1, 0, 1), (1, 2, 1, 0)], 3: [(0, 3, 0, 1)]}
+
+
+def test_toxicity_learns_from_unlabelled_documents(spark):
+    """Few labelled rows let chance words pass for toxic ones; the label model, which sees all documents, mends that, and
+    the classifier is trained on its posteriors. Without its rounds the held-out rows get worse."""
+    rng = random.Random(11)
+    name = lambda k: "".join(chr(97 + (k * 7 + j * j + 3 * j) % 26) for j in range(4)) + chr(97 + k // 26) + chr(97 + k % 26)
+    noise, bad = [name(k) for k in range(300)], ["vorak", "mudwit", "gnashel", "brutik", "slobor", "crudon", "fetchal", "dirgot", "krampo", "zelnak"]
+    rows, labels = [], []
+    for k in range(3000):
+        y = k % 6 == 0
+        words = [w for w in noise if rng.random() < 0.06] + (rng.sample(bad, 2) if y else [])
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), "en", "s", 0))
+        if k < 150 or zlib.crc32(str(k).encode()) % 3 == 1:
+            labels.append((k, None, int(y)))
+    df, lab = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    loss = {}
+    for rounds in (0, 6):
+        held = [(r.score, int(r.doc_id % 6 == 0)) for r in toxicity.score(df, lab, rounds=rounds).collect() if r.held_out]
+        loss[rounds] = sum((p - y) ** 2 for p, y in held) / len(held)
+    assert loss[6] < 0.8 * loss[0], loss
+
+
+def test_dependency_tree():
+    rng = np.random.default_rng(3)
+    y = rng.random(4000) < 0.3
+    a = (rng.random(4000) < np.where(y, 0.5, 0.1)).astype(float)
+    b = np.where(rng.random(4000) < 0.05, 1 - a, a)  # nearly a
+    c = (rng.random(4000) < np.where(y, 0.4, 0.2)).astype(float)  # independent given the class
+    x = np.stack([a, b, c], axis=1)
+    model = toxicity.LabelModel(x, y.astype(int))
+    assert sorted(model.parent.tolist()).count(-1) == 2 and model.parent[2] == -1 and {int(model.parent[0]), int(model.parent[1])} <= {-1, 0, 1}
+    p = model.posterior(np.asarray([[1.0, 1, 0], [1, 0, 0], [0, 0, 0], [1, 1, 1]]))
+    alone = toxicity.LabelModel(x[:, [0, 2]], y.astype(int)).posterior(np.asarray([[1.0, 0]]))[0]
+    assert abs(p[0] - alone) < 0.03, "a second voter that says the same adds nothing"
+    assert p[3] > p[0] > p[2]

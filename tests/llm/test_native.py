@@ -239,3 +239,53 @@ def test_sanitise_overlapping_spans(spark):
     got = {r.doc_id: r.text for r in out.collect()}
     assert out.columns == df.columns and len(got) == len(rows)
     assert got[1] == "é +[IP] [...] [EMAIL] [...]" and got[2] is None and got[3] == "" and got[None] == "[...] [EMAIL]"
+
+
+def test_shards_tell_long_sources_apart(spark):
+    """Sources that share their first 40 bytes fall in cells of their own, in byte order; a hot one keeps to one cell."""
+    source = lambda k: f"https://example.org/a/very/long/common/path/{'aé日𝄞'[k % 4]}{k:02d}"
+    rows = [(k, f"text {k}", "en", source(k % 12), 0) for k in range(240)] + [(1000 + k, "hot", "en", source(3), 0) for k in range(120)] + [(5000, "none", "en", None, 0)]
+    df = frame(spark, rows, clash=True)
+    meta = hilbert_shards.assign(df, dims=("source",), bits=4).collect()
+    by = defaultdict(set)
+    for r in meta:
+        by[rows[[x[0] for x in rows].index(r.doc_id)][3]].add(r.curve)
+    cells = [next(iter(by[s])) for s in sorted((x for x in by if x), key=str.encode)]
+    assert all(len(v) == 1 for v in by.values()) and cells == sorted(cells) and len(set(cells)) >= 8
+
+
+def test_shards_as_files_of_awkward_rows(spark, tmp_path):
+    rows = frame(spark, clash=True).withColumn("slot", F.lit(5))
+    placed = hilbert_shards.assign(rows, 5)
+    hilbert_shards.write(rows, placed, str(tmp_path / "s"), 5)
+    out = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter((r.doc_id, r.text, r.lang) for r in out.collect()) == Counter((r.doc_id, r.text, r.lang) for r in rows.collect())
+    assert Counter((r.shard, r.slot) for r in out.collect()) == Counter((r.shard, r.slot) for r in placed.collect())
+
+
+def test_seats_of_many_sources(spark):
+    """2,000 sources of very unequal targets, in houses smaller and larger than their number."""
+    import heapq
+    import random
+
+    rng = random.Random(4)
+    goal = [(f"s{k:04d}", rng.paretovariate(0.7)) for k in range(2000)]
+    df = spark.createDataFrame(goal, "source string, target double")
+    for blocks in (900, 65_536):
+        got = {(r.source, r.shard): r.seats for r in block_mix.seats(df, 4, blocks).collect()}
+        heap, won = [(-t, s) for s, t in goal], Counter()
+        heapq.heapify(heap)
+        target = dict(goal)
+        for house in range(1, blocks + 1):
+            _, s = heapq.heappop(heap)
+            won[s] += 1
+            heapq.heappush(heap, (-target[s] / (2 * won[s] + 1), s))
+            if house * 4 % blocks == 0:
+                shard = house * 4 // blocks
+                assert all(got.get((s, shard), 0) == won[s] for s in target), (blocks, shard)
+
+
+def test_line_rules_count_words_beside_tabs(spark):
+    line = "\ta b c d e f g h #i #j k\t"  # 11 words, 2 with symbols: fewer than three in ten, whatever tabs stand beside
+    assert spark.createDataFrame([(line + "l. ",)], "x string").select(line_quality.line_fails(F.col("x"))).first()[0] is False
+    assert spark.createDataFrame([("\t#a b c.\t",)], "x string").select(line_quality.line_fails(F.col("x"))).first()[0] is True

@@ -36,7 +36,7 @@ from .token_files import _byte_letters
 
 #: Words that a generation of a worker's cache holds before it becomes the older of two, and characters of text that one
 #: index covers.
-CACHED = 250_000
+CACHED = 160_000
 BATCH = 1 << 21
 _EXTRA = "\x1c\x1d\x1e\x1f"  # white space for str.split, not for the tokenizer
 #: The split pattern of the file, and the same spelled out for lower-case text below U+0100.
@@ -206,18 +206,20 @@ class Encoder:
             out.append((b" ".join(map(_IDS, found)), b" ".join(map(_BACK, found))))
         return out
 
+    def rest(self) -> None:
+        """Between tasks only the younger generation stays."""
+        self.stale = {}
+
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.token[i] for i in ids])
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder, with its cache, for all tasks of a worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    held = shared.cache("pair_bpe")
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def _each(path: str, make, names: list[str], kinds: list):
@@ -234,7 +236,7 @@ def _each(path: str, make, names: list[str], kinds: list):
                     yield pa.RecordBatch.from_arrays([own.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*made), kinds)]], ["doc_id", *names])
                     lo, held = k + 1, 0
 
-    return shared.trimmed(task)
+    return shared.trimmed(task, "pair_bpe")
 
 
 def _count(ids: bytes) -> int:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -14,10 +16,15 @@ _OWN: dict[str, str] = {}
 
 
 def root(spark: SparkSession) -> str:
-    """URI of the shared folder: ``spark.checkpoint.dir``, or a temporary folder where that is unset (tests, one machine)."""
+    """URI of the shared folder: ``spark.checkpoint.dir``, or on one machine, where that is unset, a temporary folder that
+    goes with the driver. Elsewhere it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not at:
-        at = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="tidewatch-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = _OWN[spark.sparkContext.applicationId] = "file://" + own
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
@@ -43,15 +50,35 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def trimmed(task):
-    """``task`` over batches that gives freed memory back at its end; a reused worker would else keep its peak."""
+def trimmed(task, owner: str = ""):
+    """``task`` over batches that gives freed memory back at its end; a reused worker would else keep its peak. Caches that
+    tasks of another ``owner`` left in the worker are dropped first."""
 
     def run(batches):
+        release(owner)
         try:
             yield from task(batches)
         finally:
+            release(owner, ended=True)
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
             if trim:
                 trim(0)
 
     return run
+
+
+_CACHES: dict[str, dict] = {}
+
+
+def cache(owner: str) -> dict:
+    """A worker's objects by name, kept from one task of ``owner`` to the next; those with a method ``rest`` are told of a
+    task's end."""
+    return _CACHES.setdefault(owner, {})
+
+
+def release(owner: str, ended: bool = False) -> None:
+    for name in [k for k in _CACHES if k != owner]:
+        del _CACHES[name]
+    if ended:
+        for kept in _CACHES.get(owner, {}).values():
+            getattr(kept, "rest", lambda: None)()
