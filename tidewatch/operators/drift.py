@@ -132,7 +132,9 @@ class CatDrift(_Drift):
         d = METRICS[self.func](ratio(F.col("n"), F.col("nt")), ratio(F.col("o"), F.col("ot")))
         self._fit_thresholds(rows.groupBy("id", "bucket").agg(F.when(F.max("ot") > 0, d).otherwise(0.0).alias("metric")))
         shares = counts.groupBy("id", "x").agg(F.sum("n").alias("n"))
-        total = F.sum("n").over(W.partitionBy() if self.compat else W.partitionBy("id"))
+        total = F.sum("n").over(W.partitionBy("id"))
+        if self.compat:
+            shares, total = shares.crossJoin(F.broadcast(shares.agg(F.sum("n").alias("total")))), F.col("total")  # one row
         self.reference = shares.select("id", "x", F.bround(F.col("n") / total, 4).alias("q"))
         return self
 

@@ -21,14 +21,18 @@ SMALL = 1_000_000
 
 def select_ranks(df: DataFrame, value: str, ranks: list[int], bins: int = 1024) -> dict[int, float]:
     """Exact values at 0-based ranks of a whole column, without sorting it: each round counts ``bins`` cells of the range
-    that holds a rank, per cell with least and greatest value, and goes on inside the cell; a task returns counts only."""
+    that holds a rank, per cell with least and greatest value, and goes on inside the cell; a task returns counts only. NaN
+    and infinity have no place in the range: ValueError."""
     x = F.col(value).cast("double")
     ends = df.filter(x.isNotNull()).agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    if ends["lo"] is not None and not (math.isfinite(ends["lo"]) and math.isfinite(ends["hi"])):
+        raise ValueError(f"{value} holds values that are not finite")
     state = {r: (ends["lo"], ends["hi"], 0) for r in ranks}
     found = {r: lo for r, (lo, hi, _) in state.items() if lo == hi}
     while len(found) < len(ranks):
         spans = sorted({state[r][:2] for r in ranks if r not in found})
-        inside = [F.when((x >= lo) & (x <= hi), F.struct(F.lit(k).alias("k"), F.least(F.lit(bins - 1).cast("long"), F.floor((x - lo) / (hi - lo) * bins)).alias("b"), x.alias("x"))) for k, (lo, hi) in enumerate(spans)]
+        share = lambda lo, hi: (x - lo) / (hi - lo) if math.isfinite(hi - lo) else (x / 2 - lo / 2) / (hi / 2 - lo / 2)
+        inside = [F.when((x >= lo) & (x <= hi), F.struct(F.lit(k).alias("k"), F.least(F.lit(bins - 1).cast("long"), F.floor(share(lo, hi) * bins)).alias("b"), x.alias("x"))) for k, (lo, hi) in enumerate(spans)]
         cells = df.select(F.explode(F.filter(F.array(*inside), lambda c: c.isNotNull())).alias("c")).groupBy("c.k", "c.b").agg(F.count("*").alias("n"), F.min("c.x").alias("lo"), F.max("c.x").alias("hi")).collect()  # spans x bins rows at most
         for r in ranks:
             if r in found:
@@ -63,6 +67,46 @@ def whole_order_statistic(df: DataFrame, value: str, q: float, side: str) -> flo
     return select_ranks(df, value, [rank])[rank]
 
 
+def whole_bounds(df: DataFrame, columns: list[str], method="auto") -> dict[str, tuple[float | None, float | None]]:
+    """interval() of several whole columns, as numbers: moments, quartiles and deviations of all of them in an aggregate
+    each, while a column has at most SMALL values."""
+    if not isinstance(method, str) or not columns:
+        found = {c: interval(df, [], c, method).first() for c in columns}
+        return {c: (b["lower"], b["upper"]) if b else (None, None) for c, b in found.items()}
+    if method not in NAMED:
+        raise ValueError(f"unknown interval method {method!r}")
+    v = {c: F.col(c).cast("double") for c in columns}
+    row = df.agg(*[a.alias(f"{k}{i}") for i, x in enumerate(v.values()) for k, a in (("n", F.count(x)), ("m", F.avg(x)), ("s", F.stddev_pop(x)), ("sk", F.skewness(x)), ("ku", F.kurtosis(x)))]).first()
+    kinds = {c: method for c in columns}
+    if method == "auto":
+        numbers = lambda i: [F.lit(row[f"{k}{i}"]).cast("double") for k in ("m", "s", "sk", "ku")]
+        made = df.sparkSession.range(1).select(*[_auto(*numbers(i)).alias(f"k{i}") for i in range(len(columns))]).first()
+        kinds = {c: made[f"k{i}"] for i, c in enumerate(columns)}
+    ranked = [c for c in columns if kinds[c] != "stddev" and row[f"n{columns.index(c)}"]]
+    small = all(row[f"n{columns.index(c)}"] <= SMALL for c in ranked)
+    q, mads = {}, {}
+    if ranked and small:
+        got = df.agg(*[F.percentile(v[c], F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).alias(f"q{i}") for i, c in enumerate(ranked)]).first()
+        q = {c: got[f"q{i}"] for i, c in enumerate(ranked)}
+        wide = [c for c in ranked if kinds[c] == "mad"]
+        if wide:
+            got = df.agg(*[F.percentile(F.abs(v[c] - q[c][1]), F.lit(0.5)).alias(f"d{i}") for i, c in enumerate(wide)]).first()
+            mads = {c: got[f"d{i}"] for i, c in enumerate(wide)}
+    else:
+        for c in ranked:
+            q[c] = exact_quantiles(df.select(v[c].alias(c)), c, [0.25, 0.5, 0.75])
+            if kinds[c] == "mad":
+                mads[c] = exact_quantiles(df.select(F.abs(v[c] - q[c][1]).alias(c)), c, [0.5])[0]
+    out = {}
+    for i, c in enumerate(columns):
+        if not row[f"n{i}"]:
+            out[c] = (None, None)
+            continue
+        centre, spread = (row[f"m{i}"], 3 * row[f"s{i}"]) if kinds[c] == "stddev" else (q[c][1], 3 * mads[c] if kinds[c] == "mad" else 1.5 * (q[c][2] - q[c][0]))
+        out[c] = (centre - spread, centre + spread)
+    return out
+
+
 def order_statistic(df: DataFrame, by: list[str], value: str, q: float, side: str, name: str) -> DataFrame:
     """The value at 0-based rank floor or ceil of q (n - 1): numpy's ``lower`` and ``higher`` quantiles."""
     w = W.partitionBy(*by)

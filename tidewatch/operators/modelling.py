@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import validate
-from .intervals import interval
+from .intervals import whole_bounds
 
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -60,15 +60,16 @@ class FeatureResidualizer:
     def fit(self, df: DataFrame, features: list[str] | None = None, corrcoef: float = 0.8, corr_type: str = "abs") -> FeatureResidualizer:
         if not 0 <= corrcoef <= 1:
             raise ValueError("corrcoef lies in [0, 1]")
-        if corr_type not in ("abs", "positive", "negative"):
-            raise ValueError("corr_type is abs, positive or negative")
+        if corr_type not in ("abs", "pos", "positive", "negative"):
+            raise ValueError("corr_type is abs, pos, positive or negative")
         names = validate.features(df, features)
+        validate.finite(df, names)
         _, mean, cov = moments(df, names)
         sd = np.sqrt(np.diag(cov))
         corr = cov / np.where(np.outer(sd, sd) > 0, np.outer(sd, sd), np.inf)
         np.fill_diagonal(corr, 1.0)
-        order = np.argsort(-np.abs(corr).sum(axis=1), kind="stable")
-        corr = {"abs": np.abs(corr), "positive": corr, "negative": -corr}[corr_type].copy()
+        corr = {"abs": np.abs, "pos": lambda c: np.clip(c, 0, None), "positive": lambda c: c, "negative": lambda c: -c}[corr_type](corr).copy()
+        order = np.argsort(-(np.abs(corr) if corr_type != "pos" else corr).sum(axis=1), kind="stable")
         np.fill_diagonal(corr, -1.0)
         self.features, self.models, done = names, {}, set()
         for i in order:
@@ -116,10 +117,9 @@ class RobustGaussianScaler:
         if power_method not in ("yeo-johnson", "box-cox", None):
             raise ValueError("power_method is yeo-johnson, box-cox or None")
         names = validate.features(df, features)
-        self.power_method, bounds = power_method, {}
-        for c in names:
-            b = interval(df, [], c, winsorize_method).first() if winsorize_method else {"lower": None, "upper": None}
-            bounds[c] = (b["lower"], b["upper"])
+        validate.finite(df, names)
+        self.power_method = power_method
+        bounds = whole_bounds(df, names, winsorize_method) if winsorize_method else {c: (None, None) for c in names}
         self.winsorization_bounds_ = [bounds[c] for c in names]
         clipped = {c: self._clip(F.col(c).cast("double"), bounds[c]) for c in names}
         lam = self._lambdas(df, clipped) if power_method else {c: None for c in names}

@@ -3,7 +3,7 @@
 fit() runs a few aggregates over all features at once and keeps a small model: edges and densities per feature. Scores
 are row-wise expressions over literal arrays, so scoring is a single narrow stage.
 
-``compat=True`` follows the widely used definition to the letter: all features take the first feature's bin count, and
+``compat=True`` follows the widely used definition to the letter: all features take the bin count of the first feature, of any kind, and
 SPAD's probabilities are those of non-empty bins only, looked up by bin number. ``compat=False`` counts bins for each
 feature and keeps empty ones in place.
 """
@@ -11,13 +11,16 @@ feature and keeps empty ones in place.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from ..sources import validate
-from .intervals import exact_quantiles, interval, whole_order_statistic
+from .intervals import exact_quantiles, whole_bounds, whole_order_statistic
 
 STRATEGIES = ("auto", "fd", "doane", "scott", "stone", "rice", "sturges", "sqrt")
 _TINY = 1e-9
@@ -60,11 +63,24 @@ def bin_counts(df: DataFrame, columns: list[str], nbins: int | str) -> dict[str,
 
 
 def _stone(df: DataFrame, column: str, n: int, lo: float, span: float) -> int:
-    """The count with the least estimated squared error; all candidates are counted in one aggregate."""
+    """The count with the least estimated squared error. A task counts all candidates over its own values and returns the
+    cells that are not empty, at most ``top`` squared over 2, so no row is multiplied in the engine."""
     top = max(100, int(math.sqrt(n)))
-    rows = df.select(F.col(column).cast("double").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(top))).alias("k"))
-    cell = F.least(F.col("k") - 1, F.floor((F.col("x") - lo) / span * F.col("k")).cast("int"))
-    sums = rows.groupBy("k", cell.alias("b")).count().groupBy("k").agg(F.sum((F.col("count") / n) ** 2).alias("p")).collect()  # ``top`` rows
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held = {k: np.zeros(k, np.int64) for k in range(1, top + 1)}
+        for batch in batches:
+            x = (batch.column("x").to_numpy(zero_copy_only=False) - lo) / span
+            for k, own in held.items():
+                own += np.bincount(np.minimum(k - 1, np.floor(x * k)).astype(np.int64), minlength=k)
+        for k, own in held.items():
+            b = np.flatnonzero(own)
+            yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(b), k, np.int64)), "b": pa.array(b), "n": pa.array(own[b])})
+
+    rows = ship(df).select(F.col(column).cast("double").alias("x")).filter("x is not null").mapInArrow(count, "k long, b long, n long")
+    sums = rows.groupBy("k", "b").agg(F.sum("n").alias("n")).groupBy("k").agg(F.sum((F.col("n") / n) ** 2).alias("p")).collect()  # ``top`` rows
     return min((r["k"] / span * (2 - (n + 1) * r["p"]), r["k"]) for r in sums)[1] if n > 1 else 1
 
 
@@ -82,6 +98,15 @@ def edges_below(x: Column, edges) -> Column:
     return F.size(F.filter(_literal(edges), lambda e: e < x))
 
 
+def _score_limit(scores: DataFrame, quantile: float) -> float | None:
+    """The quantile (higher rank) of a column ``score``, which is worked out once for all rounds of the selection."""
+    scores = scores.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return whole_order_statistic(scores, "score", quantile, "higher")
+    finally:
+        scores.unpersist()
+
+
 class _Binned:
     def __init__(self):
         self.fitted = None
@@ -91,8 +116,19 @@ class _Binned:
         unknown = [c for c in categorical if c not in names]
         if unknown:
             raise ValueError(f"categorical columns are no features: {', '.join(unknown)}")
+        validate.finite(df, names)
         return names
 
+    @staticmethod
+    def _bin_counts(df: DataFrame, names: list[str], numeric: list[str], nbins: int | str, compat: bool) -> dict[str, int]:
+        """Bins of the numeric features; with ``compat`` all take the count of the first feature of any kind, unless that
+        one is no number."""
+        if not numeric:
+            return {}
+        first = names[0] if df.schema[names[0]].dataType.typeName() not in ("string", "boolean") else numeric[0]
+        found = bin_counts(df, [first] if compat else numeric, nbins)
+        return {c: found[first] if compat else found[c] for c in numeric}
+
     def _categories(self, df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
         """Laplace-smoothed frequency of each value."""
         out = {}
@@ -144,7 +180,7 @@ class _Binned:
         """decision_function() and outlier: whether the score is over the quantile (higher rank) of training scores."""
         if not self.fitted:
             raise ValueError("fit before predicting")
-        limit = whole_order_statistic(self._training(), "score", quantile, "higher")
+        limit = _score_limit(self._training(), quantile)
         return self.decision_function(df).withColumn("outlier", F.col("score") > F.lit(limit))
 
 
@@ -158,9 +194,7 @@ class HBOS(_Binned):
     def fit(self, df: DataFrame, features: list[str] | None = None, categorical: list[str] = (), nbins: int | str = "auto") -> HBOS:
         names = self._check(df, features, categorical)
         numeric = [c for c in names if c not in categorical]
-        counted = numeric[:1] if self.compat else numeric
-        found = bin_counts(df, counted, nbins) if numeric else {}
-        n = {c: found.get(c, found[numeric[0]]) for c in numeric}
+        n = self._bin_counts(df, names, numeric, nbins, self.compat)
         v = {c: F.col(c).cast("double") for c in numeric}
         if self.dynamic_bins:
             edges = {c: sorted(set(exact_quantiles(df, c, np.linspace(0, 1, n[c] + 1).tolist()))) for c in numeric}
@@ -196,12 +230,10 @@ class SPAD(_Binned):
             df = self.components.transform(df)
             names = names + self.components.names
         numeric = [c for c in names if c not in categorical]
-        found = bin_counts(df, numeric[:1] if self.compat else numeric, nbins) if numeric else {}
+        counts = self._bin_counts(df, names, numeric, nbins, self.compat)
         edges = {}
-        for c in numeric:
-            n = found.get(c, found[numeric[0]])
-            b = interval(df, [], c, method).first()
-            edges[c] = [b["lower"] + k * ((b["upper"] - b["lower"]) / n) for k in range(n)] + [b["upper"]]
+        for c, (lo, hi) in whole_bounds(df, numeric, method).items():
+            edges[c] = [lo + k * ((hi - lo) / counts[c]) for k in range(counts[c])] + [hi]
         totals = self._bin_totals(df, {c: edges_below(F.col(c).cast("double"), edges[c]) for c in numeric})
         bins = {}
         for c in numeric:
@@ -259,6 +291,7 @@ class PCAReconstructionError:
 
     def fit(self, df: DataFrame, features: list[str] | None = None, n_components: int | None = None) -> PCAReconstructionError:
         names = validate.features(df, features)
+        validate.finite(df, names)
         self.kept = len(names) - 1 if n_components is None else n_components
         self.model, self.training = Components().fit(df, names), df
         return self
@@ -275,5 +308,5 @@ class PCAReconstructionError:
     def predict(self, df: DataFrame, quantile: float = 0.99) -> DataFrame:
         if self.model is None:
             raise ValueError("fit before predicting")
-        limit = whole_order_statistic(self.decision_function(self.training).select("score"), "score", quantile, "higher")
+        limit = _score_limit(self.decision_function(self.training).select("score"), quantile)
         return self.decision_function(df).withColumn("outlier", F.col("score") > F.lit(limit))

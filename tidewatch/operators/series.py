@@ -2,13 +2,14 @@
 
 Rows have no order of their own, so every function takes the grouping columns ``by``, the ``order`` column and the
 ``value`` column. Everything is window functions, joins and aggregates per series; only folds over earlier outputs
-(``hfi``, ``rsi``) gather a series as an array.
+(``hfi``, ``rsi``) are kernels over a series.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -104,18 +105,23 @@ def hpi(df: DataFrame, by: list[str], order: str, y_hat: str, w: float) -> DataF
     return df.withColumn("hpi", F.coalesce(w * F.lag(y).over(_w(by, order)) + (1 - w) * y, y))
 
 
-def _folded(df: DataFrame, by: list[str], order: str, value: str, fold: Callable[[Column], Column], name: str) -> DataFrame:
-    """by, order, ``name``: fold maps a series' ordered array of values to an array of as many."""
-    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("y")))).alias("s"))
-    rows = rows.withColumn("r", fold(F.transform("s", lambda x: x["y"])))
-    return rows.select(*by, F.explode(F.arrays_zip(F.transform("s", lambda x: x["o"]).alias("o"), F.col("r").alias("r"))).alias("z")).select(*by, F.col("z.o").alias(order), F.col("z.r").alias(name))
+def _folded(df: DataFrame, by: list[str], order: str, value: str, fold: Callable[[list[float]], list[float]], name: str) -> DataFrame:
+    """by, order, ``name``: fold maps a series' ordered values to as many, in one pass; a series a task. Null is NaN to it."""
+
+    def kernel(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values([order, value])
+        return pd.DataFrame({**{c: pdf[c] for c in [*by, order]}, name: fold(pdf[value].to_list())})
+
+    keys = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in [*by, order])
+    return ship(df).select(*by, order, F.col(value).cast("double").alias(value)).groupBy(*by).applyInPandas(kernel, f"{keys}, `{name}` double")
 
 
 def hfi(df: DataFrame, by: list[str], order: str, y_hat: str, w: float) -> DataFrame:
     """Horizontal full: w times the output before + (1 - w) forecast."""
     _share(w)
-    step = lambda acc, y: F.concat(acc, F.array(F.when(F.size(acc) == 0, y).otherwise(w * F.element_at(acc, -1) + (1 - w) * y)))
-    return _folded(df, by, order, y_hat, lambda a: F.aggregate(a, F.array().cast("array<double>"), step), "hfi")
+    return _folded(df, by, order, y_hat, lambda a: list(accumulate(a, lambda last, y: w * last + (1 - w) * y)), "hfi")
 
 
 # Windows ----------------------------------------------------------------------------------------------------------
@@ -159,20 +165,18 @@ def bollinger_bands(df: DataFrame, by: list[str], order: str, value: str, window
 def rsi(df: DataFrame, by: list[str], order: str, value: str, window: int = 14) -> DataFrame:
     """Relative strength index by Wilder's recursion. The seed takes the first window + 1 differences over ``window``,
     and the first ``window`` outputs are its value; 0 where no loss has been seen."""
-    index = lambda up, down: F.when(down == 0, F.lit(0.0)).otherwise(100 - 100 / (1 + up / F.when(down != 0, down)))
-
-    def fold(a: Column) -> Column:
-        deltas = F.zip_with(F.slice(a, 2, F.greatest(F.lit(1), F.size(a) - 1)), F.slice(a, 1, F.greatest(F.lit(1), F.size(a) - 1)), lambda q, p: q - p)
-        total = lambda d, sign: F.aggregate(F.slice(d, 1, window + 1), F.lit(0.0), lambda s, x: s + F.when(x * sign > 0, x * sign).otherwise(0.0)) / window
-        state = lambda up, down, out: F.struct(up.alias("up"), down.alias("down"), out.alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            up = (acc["up"] * (window - 1) + F.when(x > 0, x).otherwise(0.0)) / window
-            down = (acc["down"] * (window - 1) + F.when(x < 0, -x).otherwise(0.0)) / window
-            return state(up, down, F.concat(acc["out"], F.array(index(up, down))))
 
-        start = lambda d: state(total(d, 1), total(d, -1), F.array_repeat(index(total(d, 1), total(d, -1)), window))
-        return let(deltas, lambda d: F.aggregate(F.slice(d, window, F.greatest(F.lit(0), F.size(d) - window + 1)), start(d), step, lambda acc: acc["out"]))
+    def index(up: float, down: float) -> float:
+        return 0.0 if down == 0 else 100 - 100 / (1 + up / down)
+
+    def fold(a: list[float]) -> list[float]:
+        deltas = [q - p for p, q in zip(a, a[1:])] or [0.0] * len(a)
+        up, down = (sum(max(0.0, sign * d) for d in deltas[: window + 1]) / window for sign in (1, -1))
+        out = [index(up, down)] * window
+        for d in deltas[window - 1 :]:
+            up, down = (up * (window - 1) + max(0.0, d)) / window, (down * (window - 1) + max(0.0, -d)) / window
+            out.append(index(up, down))
+        return out[: len(a)]
 
     return _folded(df, by, order, value, fold, "rsi")
 

@@ -119,9 +119,10 @@ class BootstrapBCA:
         return ship(df).groupBy(*by).applyInPandas(kernel, f"{keys}, lower double, upper double")
 
 
-def poisson_bootstrap(df: DataFrame, value: str, n_resamples: int = 200, seed: int = 42) -> DataFrame:
-    """resample, mean: a distributed bootstrap of the mean, every row drawn Poisson(1) times in each resample."""
-    u = lambda k: (F.abs(F.xxhash64(F.lit(seed), k, F.monotonically_increasing_id())) % 1_000_003) / 1_000_003.0
+def poisson_bootstrap(df: DataFrame, key: str, value: str, n_resamples: int = 200, seed: int = 42) -> DataFrame:
+    """resample, mean: a distributed bootstrap of the mean, every row drawn Poisson(1) times in each resample. The draw
+    is a hash of seed, resample and the row's ``key``, so that it does not depend on the partitioning."""
+    part = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "resample", F.col("key"))), 1, 13), 16, 10).cast("double")
     steps: Column = F.lit(0)
     total, p = 0.0, np.exp(-1)
     cuts = []
@@ -129,8 +130,8 @@ def poisson_bootstrap(df: DataFrame, value: str, n_resamples: int = 200, seed: i
         total += p
         cuts.append(total)
         p /= j
-    rows = df.select(F.col(value).cast("double").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(n_resamples))).alias("resample"))
-    rows = rows.withColumn("u", u(F.col("resample")))
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(n_resamples))).alias("resample"))
+    rows = rows.withColumn("u", part / float(1 << 52))
     for c in cuts:
         steps = steps + F.when(F.col("u") >= c, 1).otherwise(0)
     return rows.groupBy("resample").agg(ratio(F.sum(F.col("x") * steps), F.sum(steps)).alias("mean"))

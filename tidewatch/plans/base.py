@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors share: in spark.checkpoint.dir; on one machine, where that is unset, a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}" if at else tempfile.mkdtemp(prefix=f"tidewatch-{name}-")
+
+
 def R(expression: str, name: str) -> str:
     """A rounded output column; not-a-number becomes NULL."""
     return f"round(nullif({expression}, 'nan'::DOUBLE)::DOUBLE, 6) + 0.0::DOUBLE AS {name}"
@@ -68,3 +78,9 @@ def interval_sql(source: str, by: str, value: str, method: str) -> str:
         SELECT {by}, m, max(sd) AS sd, max(md) AS md, max(q1) AS q1, max(q3) AS q3, median(abs(z.x - md)) AS mad, {skew} AS sk, {kurt} AS ku FROM
         (SELECT {by}, {value}::DOUBLE AS x, avg({value}::DOUBLE) OVER g AS m, stddev_pop({value}) OVER g AS sd, median({value}::DOUBLE) OVER g AS md, quantile_cont({value}::DOUBLE, 0.25) OVER g AS q1, quantile_cont({value}::DOUBLE, 0.75) OVER g AS q3
          FROM {source} WHERE {value} IS NOT NULL WINDOW g AS (PARTITION BY {by})) z GROUP BY {by}, m))"""
+
+
+#: Two-sided tail of Student's t at columns t (not negative) and nu: Simpson's rule over the angle atan(t / sqrt(nu)).
+_ANGLE = "atan(t / sqrt(nu))"
+T_TAILS = f"""2 * exp(lgamma((nu + 1) / 2.0) - lgamma(nu / 2.0)) / sqrt(pi()) * (pi() / 2 - {_ANGLE}) / 6000
+    * list_sum(list_transform(range(2001), lambda k: (CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * power(greatest(0.0, cos({_ANGLE} + (pi() / 2 - {_ANGLE}) * k / 2000)), nu - 1)))"""

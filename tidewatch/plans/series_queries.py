@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics, series
-from .base import DAILY, DAYS, MONTHS, R, daily, monthly, query, table
+from .base import DAILY, DAYS, MONTHS, R, T_TAILS, daily, monthly, query, table
 
 BY = ["unique_id"]
 
@@ -138,7 +138,8 @@ def AGG13_trend_r2(spark, sf):
     return series.trend_significance(daily(spark, sf), BY, "ds", "y").select("unique_id", "r2")
 
 
-@query()
+@query(f"""WITH {DAYS}, f AS (SELECT unique_id, regr_r2(y, i) AS r2, count(*) - 2 AS nu FROM s GROUP BY 1), t AS (SELECT unique_id, r2, nu, sqrt(r2 * nu / (1 - r2)) AS t FROM f)
+SELECT unique_id, {R('r2', 'r2')}, {R(T_TAILS, 'p_value')} FROM t""")
 def AGG13_trend_significance(spark, sf):
     return series.trend_significance(daily(spark, sf), BY, "ds", "y")
 
@@ -185,19 +186,26 @@ def PL5_pami_minima(spark, sf):
     return series.pami_minima(monthly(spark, sf), BY, "ds", "y", 12)
 
 
-@query(f"""WITH {MONTHS}, d AS (SELECT unique_id, y - lag(y) OVER (PARTITION BY unique_id ORDER BY i) AS y, i - 1 AS i, n - 1 AS size FROM s WHERE n >= 30),
+def _hurst(source: str) -> str:
+    """Rescaled ranges rs by series and window w."""
+    return f"""{source}, d AS (SELECT unique_id, y - lag(y) OVER (PARTITION BY unique_id ORDER BY i) AS y, i - 1 AS i, n - 1 AS size FROM s WHERE n >= 30),
 e AS (SELECT *, unnest(list_transform(range(1, 1 + floor(log2(size))::BIGINT), lambda k: (2 ** k)::BIGINT)) AS w FROM d WHERE y IS NOT NULL),
 g AS (SELECT unique_id, w, i, i // w AS g, y FROM e WHERE (i // w + 1) * w <= size),
 z AS (SELECT unique_id, w, g, i, y, y - avg(y) OVER (PARTITION BY unique_id, w, g) AS z FROM g),
 c AS (SELECT unique_id, w, g, y, sum(z) OVER (PARTITION BY unique_id, w, g ORDER BY i) AS c FROM z),
 r AS (SELECT unique_id, w, (max(c) - min(c)) / nullif(stddev_samp(y), 0) AS rs FROM c GROUP BY unique_id, w, g),
-a AS (SELECT unique_id, w, avg(rs) AS rs FROM r GROUP BY ALL HAVING count(rs) = count(*) AND avg(rs) > 0)
+a AS (SELECT unique_id, w, avg(rs) AS rs FROM r GROUP BY ALL HAVING count(rs) = count(*) AND avg(rs) > 0)"""
+
+
+@query(f"""WITH {_hurst(MONTHS)}
 SELECT unique_id, {R('regr_slope(ln(rs), ln(w))', 'hurst')} FROM a GROUP BY 1""")
 def TS7_hurst(spark, sf):
     return series.hurst_exponent(monthly(spark, sf), BY, "ds", "y").select("unique_id", "hurst")
 
 
-@query()
+@query(f"""WITH {_hurst(DAYS)}, f AS (SELECT unique_id, regr_slope(ln(rs), ln(w)) AS h, regr_syy(ln(rs), ln(w)) AS syy, regr_sxx(ln(rs), ln(w)) AS sxx, count(*) - 2 AS nu FROM a GROUP BY 1),
+t AS (SELECT unique_id, h, nu, abs(h - 0.5) / nullif(sqrt(greatest(0.0, (syy - h * h * sxx) / nullif(nu * sxx, 0))), 0) AS t FROM f)
+SELECT unique_id, {R('h', 'hurst')}, {R(T_TAILS, 'p_value')} FROM t""")
 def TS7_hurst_significance(spark, sf):
     return series.hurst_exponent(daily(spark, sf), BY, "ds", "y")
 
@@ -249,7 +257,14 @@ def PL4_residual_analysis(spark, sf):
     return diagnostics.residual_analysis(monthly(spark, sf), BY, "ds", "y")
 
 
-@query()
+#: Standard normal distribution function of x, as a series, and its inverse at u by Newton's method.
+_PHI = "(0.5 + exp(-x * x / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(80), lambda k: power(x, 2 * k + 1) * exp(k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))))"
+_PPF = f"list_reduce(list_prepend(ln(u / (1 - u)) / 1.702, list_transform(range(9), lambda q: 0.0::DOUBLE)), lambda x, q: x - ({_PHI} - u) * sqrt(2 * pi()) * exp(x * x / 2))"
+
+
+@query(f"""WITH {DAYS}, r AS (SELECT unique_id, y, n, row_number() OVER (PARTITION BY unique_id ORDER BY y) AS rank FROM s),
+m AS (SELECT unique_id, y, rank, CASE WHEN rank = n THEN power(0.5, 1.0 / n) WHEN rank = 1 THEN 1 - power(0.5, 1.0 / n) ELSE (rank - 0.3175) / (n + 0.365) END::DOUBLE AS u FROM r)
+SELECT unique_id, rank::INTEGER AS rank, {R(_PPF, 'theoretical')}, {R('y', 'sample')} FROM m""")
 def PL4_qq(spark, sf):
     return diagnostics.qq(daily(spark, sf), BY, "y")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation, intervals, modelling, outlier, stats
 from ..operators.basket import TransactionAnalyzer, TransactionEncoder
 from ..sources import validate
-from .base import R, interval_sql, query, table
+from .base import R, T_TAILS, interval_sql, query, scratch, table
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -85,7 +85,14 @@ def PL1_correlation(spark, sf):
     return stats.correlation(table(spark, sf, "lineitem"), LINE)
 
 
-@query()
+#: Student's t at 97.5 %: an expansion in 1 / nu, then steps of Newton's method.
+_T975 = "1.959963984540054 + 2.372271230298562 / nu + 2.8224986157396112 / (nu * nu) + 2.555849679507722 / power(nu, 3) + 1.5895340533938225 / power(nu, 4)"
+_NEWTON = f"t + (({T_TAILS}) - 0.05) / (2 * exp(lgamma((nu + 1) / 2.0) - lgamma(nu / 2.0)) / sqrt(nu * pi()) * power(1 + t * t / nu, -(nu + 1) / 2.0))"
+
+
+@query(f"""WITH g AS (SELECT c_mktsegment, count(*) AS n, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS sd, (count(*) - 1)::DOUBLE AS nu FROM customer GROUP BY 1),
+t0 AS (SELECT *, {_T975} AS t FROM g), t1 AS (SELECT * REPLACE ({_NEWTON} AS t) FROM t0), t2 AS (SELECT * REPLACE ({_NEWTON} AS t) FROM t1)
+SELECT c_mktsegment, n, {R('m', 'mean')}, {R('m - t * sd / sqrt(n)', 'lower')}, {R('m + t * sd / sqrt(n)', 'upper')} FROM t2""")
 def PL6_forest_interval(spark, sf):
     return stats.mean_interval(table(spark, sf, "customer"), ["c_mktsegment"], "c_acctbal")
 
@@ -106,7 +113,8 @@ def AGG24_acceleration(spark, sf):
     return stats.acceleration(table(spark, sf, "customer"), ["c_mktsegment"], "c_acctbal")
 
 
-@query()
+@query(f"""WITH x AS (SELECT s_nationkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier)
+SELECT a.s_nationkey, a.i, {R('median(b.s_acctbal)', 'jackknife')} FROM x a LEFT JOIN x b ON a.s_nationkey = b.s_nationkey AND a.i <> b.i GROUP BY ALL""")
 def AGG26_jackknife_median(spark, sf):
     return stats.jackknife(table(spark, sf, "supplier"), ["s_nationkey"], "s_suppkey", "s_acctbal", np.median)
 
@@ -116,9 +124,11 @@ def AGG23_bootstrap_bca(spark, sf):
     return stats.BootstrapBCA().compute_interval(table(spark, sf, "customer"), ["c_mktsegment"], "c_acctbal", 0.95, np.mean, 500, 42, "c_custkey")
 
 
-@query()
+@query(f"""WITH d AS (SELECT resample, c_acctbal AS x, ('0x' || substr(md5('42:' || resample || ':' || c_custkey), 1, 13))::BIGINT / 4503599627370496 AS u FROM customer, (SELECT unnest(range(1, 51)) AS resample)),
+n AS (SELECT resample, x, len(list_filter(range(8), lambda j: u >= list_sum(list_transform(range(j + 1), lambda i: exp(-1) / gamma(i + 1))))) AS n FROM d)
+SELECT resample::INTEGER AS resample, {R('sum(x * n) / sum(n)', 'mean')} FROM n GROUP BY 1""")
 def AGG25_poisson_bootstrap(spark, sf):
-    return stats.poisson_bootstrap(table(spark, sf, "customer"), "c_acctbal", 50)
+    return stats.poisson_bootstrap(table(spark, sf, "customer"), "c_custkey", "c_acctbal", 50)
 
 
 # Outliers ---------------------------------------------------------------------------------------------------------
@@ -135,12 +145,13 @@ def _edges(c: str, n: int = _BINS, lo: str | None = None, hi: str | None = None)
     return f"list_append(list_transform(range({n}), lambda k: lo + k * ((hi - lo) / {n})), hi) FROM (SELECT {lo}::DOUBLE AS lo, {hi}::DOUBLE AS hi)"
 
 
-def _hbos_sql() -> str:
+def _hbos_sql(dynamic: bool = False) -> str:
     ctes, parts = [], []
     for c in LINE:
-        ctes.append(f"e_{c} AS (SELECT {_edges(c)})".replace("hi) FROM", "hi) AS e FROM", 1))
-        ctes.append(f"h_{c} AS (SELECT list(coalesce(c.n, 0) / ((SELECT count(*) FROM lineitem) * (e[b + 2] - e[b + 1])) ORDER BY b) AS d FROM (SELECT e, unnest(range({_BINS})) AS b FROM e_{c}) LEFT JOIN (SELECT least(len(list_filter((SELECT e FROM e_{c}), lambda x: x <= {c})) - 1, {_BINS - 1}) AS b, count(*) AS n FROM lineitem GROUP BY 1) c USING (b))")
-        parts.append(f"-ln((SELECT d FROM h_{c})[1 + greatest(0, least(len(list_filter((SELECT e FROM e_{c}), lambda x: x < {c})) - 1, {_BINS - 1}))] + 1e-9)")
+        cuts = ", ".join(repr(float(q)) for q in np.linspace(0, 1, _BINS + 1))
+        ctes.append(f"e_{c} AS (SELECT list_sort(list_distinct(quantile_cont({c}, [{cuts}]))) AS e FROM lineitem)" if dynamic else f"e_{c} AS (SELECT {_edges(c)})".replace("hi) FROM", "hi) AS e FROM", 1))
+        ctes.append(f"h_{c} AS (SELECT list(coalesce(c.n, 0) / ((SELECT count(*) FROM lineitem) * (e[b + 2] - e[b + 1])) ORDER BY b) AS d FROM (SELECT e, unnest(range(len(e) - 1)) AS b FROM e_{c}) LEFT JOIN (SELECT least(len(list_filter((SELECT e FROM e_{c}), lambda x: x <= {c})) - 1, (SELECT len(e) - 2 FROM e_{c})) AS b, count(*) AS n FROM lineitem GROUP BY 1) c USING (b))")
+        parts.append(f"-ln((SELECT d FROM h_{c})[1 + greatest(0, least(len(list_filter((SELECT e FROM e_{c}), lambda x: x < {c})) - 1, (SELECT len(e) - 2 FROM e_{c})))] + 1e-9)")
     ctes.append("f AS (SELECT l_returnflag, (count(*) + 1) / (SELECT count(*) + count(DISTINCT l_returnflag) FROM lineitem)::DOUBLE AS p FROM lineitem GROUP BY 1)")
     return f"{', '.join(ctes)}, scored AS (SELECT {', '.join(LINE)}, l_returnflag, {' + '.join(parts)} - ln(p + 1e-9) AS score FROM lineitem JOIN f USING (l_returnflag))"
 
@@ -157,12 +168,10 @@ _LIMIT = "(SELECT score FROM (SELECT score, row_number() OVER (ORDER BY score) -
 @query(f"WITH {_hbos_sql()} SELECT round(score, 4) > round({_LIMIT}, 4) AS outlier, count(*) AS n FROM scored GROUP BY 1")
 def OU9_hbos_predict(spark, sf):
     rows = _features(spark, sf)
-    scored = outlier.HBOS().fit(rows, categorical=["l_returnflag"], nbins=_BINS).decision_function(rows)
-    limit = F.lit(intervals.whole_order_statistic(scored, "score", 0.99, "higher"))
-    return scored.groupBy((F.round("score", 4) > F.round(limit, 4)).alias("outlier")).agg(F.count("*").alias("n"))
+    return outlier.HBOS().fit(rows, categorical=["l_returnflag"], nbins=_BINS).predict(rows).groupBy("outlier").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {_hbos_sql(True)} SELECT score > {_LIMIT} AS outlier, count(*) AS n FROM scored GROUP BY 1")
 def OU1_hbos_dynamic(spark, sf):
     rows = _features(spark, sf)
     return outlier.HBOS(dynamic_bins=True).fit(rows, categorical=["l_returnflag"], nbins=_BINS).predict(rows).groupBy("outlier").agg(F.count("*").alias("n"))
@@ -201,6 +210,19 @@ def OU8_pca_reconstruction(spark, sf):
     return outlier.PCAReconstructionError().fit(rows).decision_function(rows)
 
 
+_PCA = f"""m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS d FROM ({_XY})),
+v AS (SELECT *, (a + d) / 2 - sqrt(power((a - d) / 2, 2) + b * b) AS l FROM m), w AS (SELECT *, b / sqrt(b * b + power(l - a, 2)) AS vx, (l - a) / sqrt(b * b + power(l - a, 2)) AS vy FROM v),
+scored AS (SELECT round(power((x - mx) * vx + (y - my) * vy, 2), 6) AS score FROM ({_XY}), w)"""
+
+
+@query(f"WITH {_PCA} SELECT score > {_LIMIT} AS outlier, count(*) AS n FROM scored GROUP BY 1")
+def OU9_pca_predict(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("x"), (100 * F.col("l_discount") + F.col("l_quantity") / 10).alias("y"))
+    scored = outlier.PCAReconstructionError().fit(rows).predict(rows)
+    limit = scored.agg(F.max(F.when(~F.col("outlier"), F.round("score", 6))).alias("limit"))  # equal scores differ in the last digits
+    return scored.crossJoin(F.broadcast(limit)).groupBy((F.round("score", 6) > F.col("limit")).alias("outlier")).agg(F.count("*").alias("n"))
+
+
 @query()
 def OU8_pca_predict(spark, sf):
     x = [f"e{k}" for k in range(8)]
@@ -282,7 +304,19 @@ def MO5_scaler_without_power(spark, sf):
     return modelling.RobustGaussianScaler().fit(rows, ["o_totalprice"], "stddev", None).transform(rows)
 
 
-@query()
+def _yeo_johnson_sql() -> str:
+    """Grid refinement of lambda over clipped prices, a CTE a round; then the standardised transform."""
+    shaped = lambda t: f"CASE WHEN x >= 0 THEN CASE WHEN abs({t}) < 1e-12 THEN ln(1 + x) ELSE (power(x + 1, {t}) - 1) / ({t}) END ELSE CASE WHEN abs({t} - 2) < 1e-12 THEN -ln(1 - x) ELSE -(power(1 - x, 2 - ({t})) - 1) / (2 - ({t})) END END"
+    ctes = ["b AS (SELECT avg(o_totalprice) - 3 * stddev_pop(o_totalprice) AS lo, avg(o_totalprice) + 3 * stddev_pop(o_totalprice) AS hi FROM orders)", "c AS (SELECT o_orderkey, least(greatest(o_totalprice, lo), hi) AS x FROM orders, b)", "l AS (SELECT sum(sign(x) * ln(1 + abs(x))) AS l, count(x) AS n FROM c)", "r0 AS (SELECT -3.0::DOUBLE AS a, 5.0::DOUBLE AS z)"]
+    for k in range(5):
+        ctes.append(f"t{k} AS (SELECT a + unnest(range(17)) * ((z - a) / 16) AS t, (z - a) / 16 AS step FROM r{k})")
+        ctes.append(f"f{k} AS (SELECT t, step, -n / 2 * ln(v) + (t - 1) * l AS fit FROM (SELECT t, step, var_pop({shaped('t')}) AS v FROM c, t{k} GROUP BY ALL), l)")
+        ctes.append(f"r{k + 1} AS (SELECT arg_max(t, fit) - max(step) AS a, arg_max(t, fit) + max(step) AS z FROM f{k})")
+    ctes.append(f"y AS (SELECT o_orderkey, {shaped('((a + z) / 2)')} AS y FROM c, r5)")
+    return f"WITH {', '.join(ctes)} SELECT o_orderkey, {R('(y - avg(y) OVER ()) / stddev_pop(y) OVER ()', 'o_totalprice')} FROM y"
+
+
+@query(_yeo_johnson_sql())
 def MO4_scaler_yeo_johnson(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return modelling.RobustGaussianScaler().fit(rows, ["o_totalprice"]).transform(rows)
@@ -321,9 +355,10 @@ def AS4_to_10_association(spark, sf):
     return TransactionAnalyzer().fit(_baskets(spark, sf)).association(*_lists(spark, sf))
 
 
-@query(f"WITH {_COUNTS} SELECT a, c, na, nc, nac, n FROM q")
+@query(f"WITH {_COUNTS.replace('WHERE x.r BETWEEN 1 AND 4 AND y.r BETWEEN 3 AND 6', '')} SELECT a, c, na, nc, nac, n FROM q")
 def JN8_cooccurrence(spark, sf):
-    return TransactionAnalyzer().fit(_baskets(spark, sf)).counts(*_lists(spark, sf))
+    brands = [r[0] for r in table(spark, sf, "part").select("p_brand").distinct().collect()]  # brands, 25 at any size
+    return TransactionAnalyzer().fit(_baskets(spark, sf)).counts(brands, brands)
 
 
 @query(f"WITH {_COUNTS} SELECT a, c, {R('s / (sa * sc)', 'value')} FROM m")
@@ -413,6 +448,55 @@ def PL13_power_vs_allocation(spark, sf):
 # Sources ----------------------------------------------------------------------------------------------------------
 
 
+@query("SELECT event_type AS unique_id, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1")
+def SRC1_panel_validation(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("unique_id"), F.col("ts").alias("ds"), F.col("value").alias("y"))
+    validate.panel(rows, "unique_id", "ds", "y")
+    return rows.groupBy("unique_id").agg(F.count("*").alias("n"), F.min("ds").alias("first"), F.max("ds").alias("last"))
+
+
+@query("SELECT column_name AS feature FROM (DESCRIBE lineitem) WHERE column_name NOT IN ('l_orderkey', 'l_linenumber')")
+def SRC2_feature_names(spark, sf):
+    names = validate.features(table(spark, sf, "lineitem"), keys=["l_orderkey", "l_linenumber"])
+    return spark.createDataFrame([(n,) for n in names], "feature string")
+
+
+@query("SELECT 'l_nothing' AS missing, count(*) AS n FROM region")
+def SRC3_missing_column(spark, sf):
+    rows = table(spark, sf, "region")
+    try:
+        validate.same_columns(rows, ["r_name", "l_nothing"])
+        said = ""
+    except ValueError as e:
+        said = str(e).rsplit(" ", 1)[1]
+    return rows.agg(F.lit(said).alias("missing"), F.count("*").alias("n")).select("missing", "n")
+
+
+@query("SELECT count(*) AS n, sum(l_orderkey)::BIGINT AS keys FROM lineitem")
+def SRC4_keys_carried(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *LINE, "l_returnflag")
+    scored = outlier.HBOS().fit(rows, [*LINE, "l_returnflag"], ["l_returnflag"], _BINS).decision_function(rows)
+    return scored.filter("score is not null").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+@query(f"SELECT unnest(['csv', 'json', 'orc', 'parquet']) AS fmt, count(*) AS n, {R('sum(n_nationkey)', 'total')} FROM nation")
+def SRC6_connectors(spark, sf):
+    found = None
+    for fmt, options in (("csv", {"header": True, "inferSchema": True}), ("json", {}), ("orc", {}), ("parquet", {})):
+        at = scratch(spark, "connectors")
+        table(spark, sf, "nation").write.format(fmt).options(header=True).mode("overwrite").save(at)
+        rows = validate.table(spark, at, fmt, **options).agg(F.lit(fmt).alias("fmt"), F.count("*").alias("n"), F.sum("n_nationkey").cast("double").alias("total"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query(f"WITH {_TX} SELECT item, count(*) AS n, {R('count(*) / (SELECT count(DISTINCT tx) FROM tx)::DOUBLE', 'support')} FROM tx GROUP BY 1")
+def SNK1_save_and_load(spark, sf):
+    at = scratch(spark, "saved")
+    TransactionAnalyzer().fit(_baskets(spark, sf)).save(at)
+    return TransactionAnalyzer.load(spark, at).transform()
+
+
 @query("SELECT DISTINCT user_id AS tx, item FROM (SELECT user_id, unnest([event_type, event_type]) AS item FROM events)")
 def SRC5_transactions(spark, sf):
     rows = table(spark, sf, "events").select("user_id", F.array("event_type", "event_type").alias("items"))

@@ -33,6 +33,18 @@ def same_columns(df: DataFrame, names: list[str]) -> None:
         raise ValueError(f"fitted columns not found: {', '.join(missing)}")
 
 
+def finite(df: DataFrame, columns: list[str]) -> None:
+    """ValueError if a column of numbers holds NaN or infinity (one aggregate); nulls pass."""
+    from pyspark.sql import functions as F
+
+    names = [c for c, kind in df.dtypes if c in columns and kind in ("double", "float")]
+    odd = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    row = df.agg(F.lit(0), *[F.max(odd(F.col(f"`{c}`"))).alias(c) for c in names]).first().asDict() if names else {}
+    wrong = [c for c in names if row[c]]
+    if wrong:
+        raise ValueError(f"values that are not finite in {', '.join(wrong)}")
+
+
 def table(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """Read parquet, csv, json or orc."""
     return spark.read.format(fmt).options(**options).load(path)
