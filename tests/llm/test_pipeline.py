@@ -80,3 +80,27 @@ def test_near_duplicates_at_the_threshold(spark, tmp_path):
                 root = {k: lo if v == hi else v for k, v in root.items()}
     out = corpus_pipeline.near_duplicates(spark, frame(spark, rows), str(tmp_path))
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(root.values()))
+
+
+@pytest.mark.parametrize("rows", ["awkward", "empty", "nulls"])
+def test_stages_on_awkward_tables(spark, tmp_path, rows):
+    """Every stage by itself on nulls, empty and long texts, ties, repeated rows, no rows, and clashing extra columns."""
+    table = {"awkward": None, "empty": [], "nulls": [(None, None, None, None, None)] * 3}[rows]
+    docs = frame(spark, table, clash=True).selectExpr("*", "'x' AS source_size", "1 AS root", "2 AS cls", "3 AS tidewatch", "4 AS g", "5 AS d", "6 AS quota", "7 AS unit")
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        if name == "encode":
+            assert len(got) == n
+        else:
+            assert out.columns == docs.columns and all(r["quota"] == 6 for r in got)
+            assert name == "mix" or len(got) <= n
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() <= 3 * n
+
+
+def test_near_duplicates_of_documents_without_words(spark, tmp_path):
+    rows = [(5, None, "en", "x", 1), (3, "", "en", "x", 1), (4, " \n", "en", "x", 1), (None, "", "en", "x", 1), (7, "a word", "en", "x", 1), (7, "a word", "en", "x", 1), (8, "A  WORD", "en", "x", 1)]
+    out = corpus_pipeline.near_duplicates(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [3, 7]
