@@ -289,3 +289,25 @@ def test_line_rules_count_words_beside_tabs(spark):
     line = "\ta b c d e f g h #i #j k\t"  # 11 words, 2 with symbols: fewer than three in ten, whatever tabs stand beside
     assert spark.createDataFrame([(line + "l. ",)], "x string").select(line_quality.line_fails(F.col("x"))).first()[0] is False
     assert spark.createDataFrame([("\t#a b c.\t",)], "x string").select(line_quality.line_fails(F.col("x"))).first()[0] is True
+
+
+def test_blocks_are_dealt_to_shards_by_quota(spark):
+    """Each shard gets its Sainte-Lague quota of a source's blocks; together the shards are the mix."""
+    rows = [(k, " ".join(f"w{k}x{n}" for n in range(20 + k % 30)), "en", ["a", "b", "c", None][min(3, k % 7)], 0) for k in range(300)] + [(900, "tiny source", "en", "z", 0)]
+    df = frame(spark, rows, clash=True)
+    for options in ({}, {"remainder": True}):
+        out = block_mix.apply(df, shard="part", shards=4, blocks=64, **options).collect()
+        plain = block_mix.apply(df, shards=4, blocks=64, **options).collect()
+        words = lambda found: Counter((r.source, w) for r in found for w in r.text.split())
+        assert words(out) == words(plain) and {r.part for r in out} == {1, 2, 3, 4}
+        docs, deal = block_mix.plan(df, shards=4, blocks=64, **options)
+        quota = {r.source: r.quota for r in docs.select("source", "quota").distinct().collect()}
+        blocks = {(r.source, r.shard): r.blocks for r in deal.collect()}
+        held = Counter()
+        for r in out:
+            held[r.source, r.part] += len(r.text.split())
+        for s in quota:
+            total = sum(blocks.get((s, k), 0) for k in range(1, 5))
+            for k in range(1, 5):
+                assert not total or abs(held[s, k] - quota[s] * blocks[s, k] / total) <= 1
+            assert sum(held[s, k] for k in range(1, 5)) == quota[s]

@@ -5,7 +5,8 @@ at ``max_epochs`` times its source's words and the excess is reshared by weight
 over the table of sources). The corpus is then ``blocks`` equal-token blocks, and every shard receives an integer quota
 of blocks per source: seats go to the highest quotients target / (2 seats + 1). Sainte-Lague is house monotone, so a
 shard's quota is the difference between the seats of two house sizes. Within a source documents stand in seeded order (md5 of seed
-and id), and the quota takes whole epochs plus a run of blocks from a seeded start, wrapping round.
+and id), so that blocks are seeded draws; a source gives whole epochs plus a run of blocks from a seeded start, wrapping
+round, and its blocks go to the shards in that order, to each as many as its quota (``apply`` with ``shard``).
 
 Scale: one text scan; every shuffle carries (source, bucket, id, size). A hot source is split over ``SPLIT`` md5
 buckets, so prefix sums over its documents never run in one task. Only tables of one row per source, per (source,
@@ -18,7 +19,7 @@ columns of rows equal in id and text from one of them; a corpus without words or
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -65,7 +66,8 @@ def seats(goal: DataFrame, shards: int = 8, blocks: int = BLOCKS) -> DataFrame:
 def plan(docs: DataFrame, shards: int = 8, blocks: int = BLOCKS, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7, remainder: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, sources). Documents: doc_id, h (hash of the text), source, size, place (first word's place in its source), source_size,
     target, quota (words), start and end (words of the partial epoch, from a seeded block; beyond the source's end it
-    wraps), epochs (whole ones), late and early (words of the partial epoch before and after it wraps), taken.
+    wraps), epochs (whole ones), late and early (words of the partial epoch before and after it wraps), ends (taken words of the source up to the end of each
+    shard), taken.
     Sources: source, shard, blocks. ``remainder``: words are added to or taken off a source's blocks until its target is
     met, so that one below half a block is not dropped; without, quotas are whole blocks."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
@@ -74,13 +76,18 @@ def plan(docs: DataFrame, shards: int = 8, blocks: int = BLOCKS, weights: tuple[
     meta = shared.table(meta.withColumn("bucket", F.conv(F.substring("key", 1, 2), 16, 10).cast("int")), "mix-meta")
     goal = shared.table(targets(meta.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs), "mix-targets")
     dealt = shared.table(seats(goal, shards, blocks), "mix-seats")
-    quota = dealt.filter(F.col("shard") == shards).select("source", "seats")
+    quota = dealt.groupBy("source").agg(F.max("seats").alias("seats"), F.transform(F.array_sort(F.collect_list(F.struct("shard", "seats"))), lambda x: x["seats"]).alias("upto"))
     goal = goal.join(quota, "source", "left").withColumn("unit", F.greatest(F.lit(1e-9), F.sum("source_size").over(W.partitionBy()) / blocks))  # words in a block
     met = F.when(F.col("target") > 0, F.greatest(F.lit(1.0), F.round("target"))).otherwise(0.0)
     words_due = met if remainder else F.round(F.coalesce("seats", F.lit(0)) * F.col("unit"))
     goal = goal.withColumn("quota", F.least(F.col("source_size") * max_epochs, words_due.cast("long")))
+    # Words of a source up to the end of each shard; one without a block goes to a seeded shard whole.
+    own = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(shards)) + 1
+    even = F.transform("upto", lambda x: F.floor(F.col("quota").cast("double") * x / F.greatest(F.col("seats"), F.lit(1))).cast("long"))
+    whole = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda x: F.when(x >= own, F.col("quota")).otherwise(F.lit(0).cast("long")))
+    goal = goal.withColumn("ends", F.when(F.coalesce("seats", F.lit(0)) > 0, even).otherwise(whole))
     drawn = F.expr(f"cast(conv(substring(md5(concat('{seed}/', source)), 1, 13), 16, 10) as bigint)")
-    goal = goal.select("source", "source_size", "target", "quota", F.floor(F.col("unit") * F.pmod(drawn, F.greatest(F.lit(1).cast("long"), F.floor(F.col("source_size") / F.col("unit"))))).cast("long").alias("start"))
+    goal = goal.select("source", "source_size", "target", "quota", F.floor(F.col("unit") * F.pmod(drawn, F.greatest(F.lit(1).cast("long"), F.floor(F.col("source_size") / F.col("unit"))))).cast("long").alias("start"), "ends")
     sums = meta.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.select("source", "bucket", (F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("base"))
     inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "h").rowsBetween(W.unboundedPreceding, 0)
@@ -91,7 +98,7 @@ def plan(docs: DataFrame, shards: int = 8, blocks: int = BLOCKS, weights: tuple[
     placed = placed.withColumn("late", overlap(F.col("start"), F.least("end", "source_size"))).withColumn("early", overlap(F.lit(0).cast("long"), F.col("end") - F.col("source_size")))
     original = F.when(F.col("source") != "t", F.expr("substring(source, 2)"))
     deal = dealt.select(original.alias("source"), "shard", (F.col("seats") - F.coalesce(F.lag("seats").over(W.partitionBy("source").orderBy("shard")), F.lit(0))).alias("blocks"))
-    return placed.select("doc_id", "h", original.alias("source"), "size", "place", "source_size", "target", "quota", "start", "end", "epochs", "late", "early", (F.col("size") * F.col("epochs") + F.col("late") + F.col("early")).alias("taken")), deal
+    return placed.select("doc_id", "h", original.alias("source"), "size", "place", "source_size", "target", "quota", "start", "end", "epochs", "late", "early", "ends", (F.col("size") * F.col("epochs") + F.col("late") + F.col("early")).alias("taken")), deal
 
 
 def mix(docs: DataFrame, shards: int = 8, blocks: int = BLOCKS, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7) -> DataFrame:
@@ -100,14 +107,29 @@ def mix(docs: DataFrame, shards: int = 8, blocks: int = BLOCKS, weights: tuple[i
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "place")
 
 
-def apply(docs: DataFrame, **options) -> DataFrame:
+def apply(docs: DataFrame, shard: str | None = None, **options) -> DataFrame:
     """The mix itself: ``docs`` with a row per whole epoch of a document and one per part of it, where a block begins or
-    ends inside it; a part's text is its words joined by a space. Documents of no words are not in a mix."""
+    ends inside it; a part's text is its words joined by a space. Documents of no words are not in a mix. ``shard`` names a
+    column to add: the shard (from 1) that the row's block is dealt to; a row that two shards share is cut between them."""
     rows, _ = plan(docs, **options)
-    part = lambda lo, n: F.struct(lo.cast("int").alias("lo"), n.cast("int").alias("n"))
-    whole = F.when(F.col("epochs") > 0, F.array_repeat(part(F.lit(0), F.col("size")), F.col("epochs").cast("int"))).otherwise(F.array().cast("array<struct<lo:int,n:int>>"))
-    late = part(F.greatest(F.lit(0).cast("long"), F.col("start") - F.col("place")), F.col("late"))
-    pieces = F.filter(F.concat(whole, F.array(late, part(F.lit(0), F.col("early")))), lambda x: x["n"] > 0)
+    zero, kind = F.lit(0).cast("long"), "array<struct<lo:int,n:int,u:bigint,shard:int>>"
+    part = lambda lo, n, u: F.struct(lo.cast("int").alias("lo"), n.cast("int").alias("n"), u.cast("long").alias("u"), F.lit(None).cast("int").alias("shard"))
+    whole = F.when(F.col("epochs") > 0, F.transform(F.sequence(zero, F.greatest(zero, F.col("epochs") - 1)), lambda e: part(zero, F.col("size"), e * F.col("source_size") + F.col("place")))).otherwise(F.array().cast(kind))
+    first = F.greatest(zero, F.col("start") - F.col("place"))
+    done = F.col("epochs") * F.col("source_size")
+    late = part(first, F.col("late"), done + F.col("place") + first - F.col("start"))
+    early = part(zero, F.col("early"), done + F.col("source_size") - F.col("start") + F.col("place"))
+    pieces = F.concat(whole, F.array(late, early))
+    if shard:
+
+        def dealt(x: Column) -> Column:
+            """The pieces of one that lie in either shard."""
+            lo = lambda k: F.greatest(x["u"], F.when(k == 0, zero).otherwise(F.get("ends", k - 1)))
+            hi = lambda k: F.least(x["u"] + x["n"], F.get("ends", k))
+            return F.transform(F.sequence(F.lit(0), F.size("ends") - 1), lambda k: F.struct((x["lo"] + lo(k) - x["u"]).cast("int").alias("lo"), (hi(k) - lo(k)).cast("int").alias("n"), lo(k).alias("u"), (k + 1).alias("shard")))
+
+        pieces = F.flatten(F.transform(pieces, dealt))
+    pieces = F.filter(pieces, lambda x: x["n"] > 0)
     rows = rows.select(F.col("doc_id").alias("tidewatch_id"), F.col("h").alias("tidewatch_h"), F.col("size").alias("tidewatch_size"), F.explode(pieces).alias("tidewatch_x"))
     own = docs.withColumn("tidewatch_g", F.xxhash64(text_of("text"))).dropDuplicates(["doc_id", "tidewatch_g"])
     rows = own.join(rows, F.col("doc_id").eqNullSafe(F.col("tidewatch_id")) & (F.col("tidewatch_g") == F.col("tidewatch_h")))
@@ -116,4 +138,4 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     out = {c: F.col(c) for c in docs.columns} | {"text": F.when(cut, text).otherwise(F.col("text"))}
     if "n_chars" in out:
         out["n_chars"] = F.when(cut, F.char_length(text).cast("long")).otherwise(F.col("n_chars").cast("long"))
-    return rows.select(*[v.alias(c) for c, v in out.items()])
+    return rows.select(*[v.alias(c) for c, v in out.items() if c != shard], *([F.col("tidewatch_x.shard").alias(shard)] if shard else []))
