@@ -13,6 +13,7 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
@@ -31,7 +32,20 @@ def root(spark: SparkSession) -> str:
 
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh URI under the shared folder; two calls never give the same one."""
-    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete the folders made since ``since`` (a length of ``made``) but the last, which holds all that is needed on."""
+    for uri in _MADE[since:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _MADE[since:-1]
+
+
+def made() -> int:
+    return len(_MADE)
 
 
 def local_folder(spark: SparkSession, name: str) -> str:
