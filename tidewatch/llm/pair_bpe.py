@@ -36,7 +36,7 @@ from .token_files import _byte_letters
 
 #: Words that a generation of a worker's cache holds before it becomes the older of two, and characters of text that one
 #: index covers.
-CACHED = 160_000
+CACHED = 250_000
 BATCH = 1 << 21
 _EXTRA = "\x1c\x1d\x1e\x1f"  # white space for str.split, not for the tokenizer
 #: The split pattern of the file, and the same spelled out for lower-case text below U+0100.
@@ -134,9 +134,11 @@ class PairIndex:
 class Encoder:
     """Whole texts to ids and back, by the rules of one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED, keep: bool = True):
         import regex
 
+        self.cached, self.keep = cached, keep
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -188,7 +190,7 @@ class Encoder:
 
     def many(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as decimals joined by a space, decoded text in UTF-8) of each text."""
-        if len(self.fresh) > CACHED:
+        if len(self.fresh) > self.cached:
             self.stale, self.fresh = self.fresh, {}
         cut, missing = [], set()
         for text in texts:
@@ -207,24 +209,25 @@ class Encoder:
         return out
 
     def rest(self) -> None:
-        """Between tasks only the younger generation stays."""
-        self.stale = {}
+        """At a task's end the cache goes, unless it is kept for the next task of the worker."""
+        if not self.keep:
+            self.fresh, self.stale = {}, {}
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.token[i] for i in ids])
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cached: int, keep: bool) -> Encoder:
     """One encoder, with its cache, for all tasks of a worker."""
-    held = shared.cache("pair_bpe")
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
+    held, key = shared.cache("pair_bpe"), f"{path} {cached} {keep}"
+    if key not in held:
+        held[key] = Encoder(path, cached, keep)
+    return held[key]
 
 
-def _each(path: str, make, names: list[str], kinds: list):
+def _each(path: str, make, names: list[str], kinds: list, cached: int = CACHED, keep: bool = True):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, cached, keep)
         for batch in batches:
             texts, lo, held = batch.column("text"), 0, 0
             sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
@@ -254,9 +257,10 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     return _rows(docs).mapInArrow(_each(tokenizer, make, ["ids", "decoded"], [pa.list_(pa.int32()), pa.string()]), f"doc_id {kind}, ids array<int>, decoded string")
 
 
-def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the same encoding, without carrying ids through the engine."""
+def digest(docs: DataFrame, tokenizer: str, cached: int = CACHED, keep: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the same encoding, without carrying ids through the engine.
+    ``cached``: words in a generation of a worker's cache; ``keep``: whether it outlives a task. Neither changes results."""
     kind = dict(docs.dtypes)["doc_id"]
     sha = lambda s: hashlib.sha256(s).hexdigest()
     make = lambda ids, back: (_count(ids), sha(ids), sha(back))
-    return _rows(docs).mapInArrow(_each(tokenizer, make, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()]), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _rows(docs).mapInArrow(_each(tokenizer, make, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()], cached, keep), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
