@@ -194,7 +194,7 @@ def _survey(docs: DataFrame, size: int = 0) -> DataFrame:
                 held.append((token & np.uint64(CELLS - 1)).astype(np.int32))
                 n_held += len(token)
                 if n_held > CELLS // 4:
-                    counts += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
+                    np.add.at(counts, np.concatenate(held), np.uint32(1))
                     held, n_held = [], 0
                 _, own, sizes, cls = classes_of(token, line)
                 n = first[-1]
@@ -207,7 +207,7 @@ def _survey(docs: DataFrame, size: int = 0) -> DataFrame:
                 none = [pa.nulls(len(row), k) for k in kinds[5:]]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), batch.column("h").take(pa.array(row)), pa.array(place), pa.array(c, mask=~has), pa.array(words), *none], names)
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
+            np.add.at(counts, np.concatenate(held), np.uint32(1))
         if counts.any():
             salt = TaskContext.get().partitionId()
             wide = CELLS // BLOCKS
