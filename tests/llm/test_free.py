@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -343,3 +344,27 @@ def test_dependency_tree():
     alone = toxicity.LabelModel(x[:, [0, 2]], y.astype(int)).posterior(np.asarray([[1.0, 0]]))[0]
     assert abs(p[0] - alone) < 0.03, "a second voter that says the same adds nothing"
     assert p[3] > p[0] > p[2]
+
+
+def test_only_links_leave_the_buckets(spark, monkeypatch):
+    """Long lines over few words have thousands of candidates, which a 64-bit signature does not tell apart; none but the
+    links is written, and the files of sets are gone then."""
+    rng = random.Random(8)
+    vocab = [f"v{k}" for k in range(400)]
+    lines = [rng.sample(vocab, 150) for _ in range(300)]
+    lines += [[w for w in x if rng.random() > 0.1] + ["v1", f"own{k}"] for k, x in enumerate(lines[:60])]
+    df = frame(spark, [(k, " ".join(x), "en", "s", 0) for k, x in enumerate(lines)])
+    sets = [set(x) for x in lines]
+    want = sum(9 * len(a & b) >= 4 * (len(a) + len(b)) for k, a in enumerate(sets) for b in sets[:k])
+    survey, rows, real = line_join._survey(df), {}, shared.table
+
+    def table(df, name):
+        out = real(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(shared, "table", table)
+    made = shared.made()
+    assert line_join.links(df, survey).count() == want > 30
+    assert rows and max(rows.values()) == want
+    assert not any(Path(uri.removeprefix("file://"), f).exists() for uri in shared._MADE[made:] for f in ("level-000", "bits-000"))

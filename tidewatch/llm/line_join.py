@@ -13,11 +13,14 @@ which identify a token: sets are exact up to a collision of those.
 
 Rarity needs no token table. Every document adds to a sketch of ``CELLS`` counters, whose size is fixed and which tasks
 map from the shared folder; any order gives the same matches, a rough one only a few more candidates. Postings travel as
-packed columns, a row per task and bucket, so the engine moves few rows. The sets of candidate classes are fetched by
-one more scan through a mapped bitmap of those classes and lie once in block files of the shared folder; pairs travel as
-two numbers and are verified against the two blocks a task maps. The number of buckets and blocks follows the prefix
-entries, and entries of the most frequent tokens are spread over a triangle of cells, so no token fills one task. No text
-is shuffled, nothing per line reaches the driver. With ``keep_first`` a document is one line and its tokens are runs of
+packed columns, a row per task and bucket, so the engine moves few rows. The task that sends a line's postings writes its
+set, once a class, to a file of the shared folder; buckets map these files and verify pairs where they find them, by a
+256-bit parity signature and then on the sets, so that only links leave a bucket. In a vocabulary that grows less than
+the corpus candidates grow with its square, links as the copies do. The sets of documents are long and their candidates
+few; these travel as two numbers, and their sets are fetched by one more scan through a mapped bitmap of the classes. The
+number of buckets and blocks follows the prefix entries, and entries of the most frequent tokens are spread over a
+triangle of cells, so no token fills one task. Files go as soon as the links are written. No text is shuffled, nothing
+per line reaches the driver. With ``keep_first`` a document is one line and its tokens are runs of
 five words.
 
 Defined cases: null text is one empty line; lines without words are never removed; a null id counts as the lowest; rows
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -180,6 +184,17 @@ def _scan(docs: DataFrame) -> DataFrame:
     return ship(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
+def _planes(column: np.ndarray) -> bytes:
+    """A column's first bytes, then its second ones and so on: those that hardly differ then compress to nothing."""
+    return column.view(np.uint8).reshape(len(column), -1).T.tobytes()
+
+
+def _column(raw, kind: str, n: int, at: int = 0) -> np.ndarray:
+    """The column that ``_planes`` put into ``raw``."""
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n).T).view(kind)[:, 0]
+
+
 def _survey(docs: DataFrame, size: int = 0) -> DataFrame:
     """Lines (doc_id, h, line, cls, n; cls null without words) and sketch blocks (block, salt, data) in one table."""
     names = ["doc_id", "h", "line", "cls", "n", "block", "salt", "data"]
@@ -211,7 +226,7 @@ def _survey(docs: DataFrame, size: int = 0) -> DataFrame:
         if counts.any():
             salt = TaskContext.get().partitionId()
             wide = CELLS // BLOCKS
-            data = [np.minimum(counts[k * wide : (k + 1) * wide], 0xFFFF).astype("<u2").tobytes() for k in range(BLOCKS)]
+            data = [_planes(np.minimum(counts[k * wide : (k + 1) * wide], 0xFFFF).astype("<u2")) for k in range(BLOCKS)]
             cols = [pa.nulls(BLOCKS, k) for k in kinds[:5]] + [pa.array(range(BLOCKS), pa.int32()), pa.array([salt] * BLOCKS, pa.int32()), pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -226,12 +241,12 @@ def _write_levels(survey: DataFrame, at: str) -> None:
             total: dict[int, np.ndarray] = {}
             for batch in batches:
                 for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
-                    own = np.frombuffer(data.as_py(), "<u2").astype(np.uint32)
+                    own = _column(data.as_buffer(), "<u2", CELLS // BLOCKS).astype(np.uint32)
                     total[block] = np.minimum(total[block] + own, 0xFFFF) if block in total else own
             for block, n in total.items():
                 if last:
                     _save(f"{at}/level-{block:03d}", np.minimum(63, np.floor(4 * np.log2(1 + n))).astype("u1").tobytes())
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "data": pa.array([b"" if last else n.astype("<u2").tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "data": pa.array([b"" if last else _planes(n.astype("<u2"))], pa.binary())})
 
         return task
 
@@ -253,26 +268,43 @@ def _levels(at: str) -> np.ndarray:
 
 
 _ENTRY = [("tok", "<u4"), ("cls", "<u8"), ("sig", "<u8"), ("size", "<u4"), ("pos", "<u4")]
+#: Lines have the place of their set in the files instead: the attempt that wrote it, and from bit 0 the offset in words.
+_KEPT = [("tok", "<u4"), ("cls", "<u8"), ("place", "<u8"), ("size", "<u4"), ("pos", "<u4")]
+_OFFSET, _WIDE = 38, 4
+
+
+def _records(token: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The records of a set file, in one array, and where each begins: a parity signature of 256 bits, then the tokens."""
+    starts = np.cumsum(sizes + _WIDE) - sizes - _WIDE
+    out = np.empty(int(sizes.sum()) + _WIDE * len(sizes), np.uint64)
+    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    own = token[np.repeat(begins, sizes) + within]
+    out[np.repeat(starts + _WIDE, sizes) + within] = own
+    bit, word, first = np.uint64(1) << (own & np.uint64(63)), (own >> np.uint64(6)) & np.uint64(_WIDE - 1), np.cumsum(sizes) - sizes
+    for k in range(_WIDE):
+        out[starts + k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), first)
+    return out, starts
 
 
 def _postings(docs: DataFrame, at: str, buckets: int, size: int, grid: int) -> DataFrame:
-    """(bucket, n, data): prefix entries of all lines of four tokens or more, packed column by column. Entries of the most
-    frequent tokens go to ``grid`` of the cells (r, s) of a triangle, r or s being a hash of the class: each pair of
-    classes meets in one at least, and no cell holds more than two in ``grid`` of them."""
+    """(bucket, n, data): prefix entries of all lines of four tokens or more, packed column by column. Tokens of one line
+    only, as the sketch tells, are none. Entries of the most frequent tokens go to ``grid`` of the cells (r, s) of a
+    triangle, r or s being a hash of the class: each pair of classes meets in one at least, and no cell holds more than two
+    in ``grid`` of them. Lines' sets go to a file of the task beside, once a class."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, held, n = None, [], 0
+        level, held, n, known, end = None, [], 0, set(), 0
+        attempt = TaskContext.get().taskAttemptId()
+        file = None if size else open(f"{at}/sets-{attempt}", "wb")
 
         def send() -> pa.RecordBatch:
             bucket, *cols = (np.concatenate(c) for c in zip(*held))
-            by = np.lexsort((cols[1], (bucket.astype(np.uint64) << np.uint64(32)) | cols[0]))
+            by = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
             bucket, cols = bucket[by], [c[by] for c in cols]
-            new = np.ones(len(bucket), bool)  # copies of a line within a task are sent once
-            new[1:] = (bucket[1:] != bucket[:-1]) | (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
-            bucket, cols = bucket[new], [c[new] for c in cols]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = np.append(cuts[1:], len(bucket))
-            data = [b"".join(c[a:b].astype(k).tobytes() for c, (_, k) in zip(cols, _ENTRY)) for a, b in zip(cuts, ends)]
+            cols = [c.astype(k) for c, (_, k) in zip(cols, _ENTRY if size else _KEPT)]
+            data = [b"".join(_planes(c[a:b]) for c in cols) for a, b in zip(cuts, ends)]
             return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array((ends - cuts).astype(np.int64)), pa.array(data, pa.binary())], ["bucket", "n", "data"])
 
         for batch in batches:
@@ -283,10 +315,28 @@ def _postings(docs: DataFrame, at: str, buckets: int, size: int, grid: int) -> D
                 begins, _, sizes, cls = classes_of(token, line)
                 if not len(begins):
                     continue
-                sig = np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), begins)
                 wide = np.repeat(sizes, sizes)
-                use = np.flatnonzero((wide >= 4) & (place < wide - (4 * wide + 4) // 5 + 1))
+                use = np.flatnonzero((wide >= 4) & (place < wide - (4 * wide + 4) // 5 + 1) & (token >> np.uint64(58) > 4))
                 row = np.repeat(np.arange(len(begins)), sizes)[use]
+                fresh = np.zeros(len(begins), bool)  # copies of a line within a task are sent once
+                fresh[row] = True
+                for k in np.flatnonzero(fresh).tolist():
+                    if (c := int(cls[k])) in known:
+                        fresh[k] = False
+                    known.add(c)
+                if len(known) > 8 * HELD:
+                    known.clear()
+                use, row = use[fresh[row]], row[fresh[row]]
+                if not len(use):
+                    continue
+                if size:
+                    tag = np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), begins)
+                else:
+                    made, starts = _records(token, begins[fresh], sizes[fresh])
+                    file.write(made)
+                    tag = np.zeros(len(begins), np.uint64)
+                    tag[fresh] = (starts + end).astype(np.uint64) | np.uint64(attempt << _OFFSET)
+                    end += len(made)
                 mixed = _mix(token[use])
                 if grid > 1:
                     hot = np.flatnonzero((token[use] >> np.uint64(58)) >= HOT)
@@ -297,57 +347,144 @@ def _postings(docs: DataFrame, at: str, buckets: int, size: int, grid: int) -> D
                     plain = np.setdiff1d(np.arange(len(use)), hot, assume_unique=True)
                     pick = np.concatenate([plain, np.repeat(hot, grid)])
                     use, row, mixed = use[pick], row[pick], np.concatenate([mixed[plain], spread])
-                held.append(((mixed >> np.uint64(32)).astype(np.int64) % buckets, (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32), cls[row], sig[row], sizes[row], place[use]))
+                held.append(((mixed >> np.uint64(32)).astype(np.int64) % buckets, (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32), cls[row], tag[row], sizes[row], place[use]))
                 n += len(use)
                 if n >= HELD:
                     yield send()
                     held, n = [], 0
+        if file:
+            file.close()
         if held:
             yield send()
 
     return _scan(docs).mapInArrow(shared.trimmed(task), "bucket int, n long, data binary")
 
 
+def _partners(tok, cls, size, pos) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The order by token and size, and in that order i < j of entries of different classes that share a token and pass the
+    length and positional filters, with the most tokens that may differ. If the token is the first that two sets share, all
+    before it differ, so an entry at place p of n reaches sizes up to (5 n - 9 p) / 4 only."""
+    short = np.minimum(size, 0xFFFF).astype(np.uint64)
+    key = (tok.astype(np.uint64) << np.uint64(32)) | (short << np.uint64(16)) | (cls & np.uint64(0xFFFF))
+    by = np.argsort(key)
+    key, cls, size, pos = key[by], cls[by], size[by].astype(np.int64), pos[by].astype(np.int64)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        most = np.clip((5 * size - 9 * pos) // 4, 0, 0xFFFF).astype(np.uint64)
+        ends = np.searchsorted(key, (key & np.uint64(0xFFFFFFFF00000000)) | (most << np.uint64(16)) | np.uint64(0xFFFF), side="right")
+        wide = np.maximum(ends - np.arange(len(key)) - 1, 0)  # partners of each entry: later in its group
+        upto = np.concatenate([[0], np.cumsum(wide)])
+        lo = 0
+        while lo < len(key):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PAIRS, side="right")) - 1)
+            for a in range(0, int(upto[hi] - upto[lo]), 4 * PAIRS):  # an entry with many partners takes several steps
+                at = np.arange(upto[lo] + a, min(upto[hi], upto[lo] + a + 4 * PAIRS))
+                i = np.repeat(np.arange(lo, hi), wide[lo:hi])[a : a + 4 * PAIRS]
+                j = i + 1 + at - upto[i]
+                both = size[i] + size[j]
+                least = (4 * both + 8) // 9
+                fit = (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= least) & (pos[i] + pos[j] <= both - 2 * least) & (cls[i] != cls[j])
+                if fit.any():
+                    yield i[fit], j[fit], (both - 2 * least)[fit]
+            lo = hi
+
+    return by, pairs()
+
+
 def bucket_pairs(tok, cls, sig, size, pos) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of classes that share a prefix token and pass the length, positional and signature filters."""
-    by = np.lexsort((size, tok))
-    tok, cls, sig, size, pos = (x[by] for x in (tok, cls, sig, size.astype(np.int64), pos.astype(np.int64)))
-    group = np.cumsum(np.diff(tok, prepend=tok[:1]) != 0).astype(np.int64)
-    key = (group << 32) | size
-    ends = np.searchsorted(key, (group << 32) | (size * 5 // 4), side="right")
-    wide = ends - np.arange(len(tok)) - 1  # partners of each entry: later in its group, at most 5/4 its size
-    upto = np.concatenate([[0], np.cumsum(wide)])
-    lo = 0
-    while lo < len(tok):
-        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PAIRS, side="right")) - 1)
-        for a in range(0, int(upto[hi] - upto[lo]), PAIRS):  # an entry with many partners takes several steps
-            at = np.arange(upto[lo] + a, min(upto[hi], upto[lo] + a + PAIRS))
-            i = np.searchsorted(upto, at, side="right") - 1
-            j = i + 1 + at - upto[i]
-            least = (4 * (size[i] + size[j]) + 8) // 9
-            fit = (1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1 >= least) & (cls[i] != cls[j])
-            i, j, least = i[fit], j[fit], least[fit]
-            fit = np.bitwise_count(sig[i] ^ sig[j]) <= size[i] + size[j] - 2 * least
-            if fit.any():
-                yield np.minimum(cls[i[fit]], cls[j[fit]]), np.maximum(cls[i[fit]], cls[j[fit]])
-        lo = hi
-
-
-def _candidates(postings: DataFrame, buckets: int) -> DataFrame:
-    """a, b: different pairs of classes to verify."""
+    by, found = _partners(tok, cls, size, pos)
+    cls, sig = cls[by], sig[by]
+    for i, j, most in found:
+        fit = np.bitwise_count(sig[i] ^ sig[j]) <= most
+        if fit.any():
+            yield np.minimum(cls[i[fit]], cls[j[fit]]), np.maximum(cls[i[fit]], cls[j[fit]])
+
+
+class _SetFiles:
+    """The mapped set files of a folder."""
+
+    def __init__(self, at: str):
+        self.at, self.maps = at, {}
+
+    def take(self, place: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The ``n`` words from each place on, one after another."""
+        out = np.empty(int(n.sum()), np.uint64)
+        first, file = np.cumsum(n) - n, place >> np.uint64(_OFFSET)
+        offset = (place & np.uint64((1 << _OFFSET) - 1)).astype(np.int64)
+        by = np.argsort(file, kind="stable")
+        cuts = np.flatnonzero(np.diff(file[by], prepend=~file[by[:1]]))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(by))):
+            k, own = int(file[by[lo]]), by[lo:hi]
+            if k not in self.maps:
+                self.maps[k] = np.memmap(f"{self.at}/sets-{k}", "<u8", "r")
+            within = np.arange(int(n[own].sum())) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+            out[np.repeat(first[own], n[own]) + within] = self.maps[k][np.repeat(offset[own], n[own]) + within]
+        return out
+
+
+def bucket_links(files: _SetFiles, tok, cls, place, size, pos) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of classes that share a prefix token and reach the threshold, verified on their sets. Where the tokens before
+    the shared one are the same too, the pair belongs to those."""
+    by, found = _partners(tok, cls, size, pos)
+    cls, place, size, pos = cls[by], place[by], size[by].astype(np.int64), pos[by].astype(np.int64)
+
+    def verified(i: np.ndarray, j: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        on = np.zeros(len(place), bool)
+        on[i] = on[j] = True
+        used, at = np.flatnonzero(on), np.cumsum(on) - 1
+        sig = files.take(place[used], np.full(len(used), _WIDE)).reshape(-1, _WIDE)
+        fit = np.bitwise_count(sig[at[i]] ^ sig[at[j]]).sum(axis=1) <= most
+        i, j = i[fit], j[fit]
+        word = lambda k, back: files.take(place[k] + (_WIDE + pos[k] - back).astype(np.uint64), np.ones(len(k), np.int64))
+        new = word(i, 0) == word(j, 0)
+        later = np.flatnonzero(new & (pos[i] > 0) & (pos[j] > 0))
+        new[later] = word(i[later], 1) != word(j[later], 1)
+        i, j = i[new], j[new]
+        keep, upto, lo = np.zeros(len(i), bool), np.concatenate([[0], np.cumsum(size[j])]), 0
+        while lo < len(i):  # sets of so many words at once
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PIECE, side="right")) - 1)
+            theirs, own = files.take(place[j[lo:hi]] + np.uint64(_WIDE), size[j[lo:hi]]), upto[lo:hi] - upto[lo]
+            heads = np.flatnonzero(np.diff(i[lo:hi], prepend=-1))
+            mine = files.take(place[i[lo + heads]] + np.uint64(_WIDE), size[i[lo + heads]])
+            hit, a, ends = np.zeros(len(theirs), bool), 0, np.append(own[heads[1:]], len(theirs))
+            for s, e, n in zip(own[heads].tolist(), ends.tolist(), size[i[lo + heads]].tolist()):
+                x, y = mine[a : a + n], theirs[s:e]
+                hit[s:e] = x.take(x.searchsorted(y), mode="clip") == y
+                a += n
+            keep[lo:hi] = 9 * np.add.reduceat(hit, own, dtype=np.int64) >= 4 * (size[i[lo:hi]] + size[j[lo:hi]])
+            lo = hi
+        return cls[i[keep]], cls[j[keep]]
+
+    held, n = [], 0
+    for x in found:
+        held.append(x)
+        n += len(x[0])
+        if n >= PAIRS:
+            yield verified(*(np.concatenate(c) for c in zip(*held)))
+            held, n = [], 0
+    if held:
+        yield verified(*(np.concatenate(c) for c in zip(*held)))
+
+
+def _pairs(postings: DataFrame, at: str, buckets: int, size: int) -> DataFrame:
+    """a, b: different pairs of classes; those of documents are to be verified."""
+    entry = _ENTRY if size else _KEPT
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = defaultdict(list)
         for batch in batches:
             for bucket, n, data in zip(batch.column("bucket").to_pylist(), batch.column("n").to_pylist(), batch.column("data")):
-                raw, at, cols = data.as_buffer(), 0, []
-                for _, kind in _ENTRY:
-                    cols.append(np.frombuffer(raw, kind, n, at).copy())
-                    at += n * np.dtype(kind).itemsize
+                raw, lo, cols = data.as_buffer(), 0, []
+                for _, kind in entry:
+                    cols.append(_column(raw, kind, n, lo))
+                    lo += n * np.dtype(kind).itemsize
                 held[bucket].append(cols)
+        files = _SetFiles(at)
         for bucket in list(held):
-            for a, b in bucket_pairs(*(np.concatenate(c) for c in zip(*held.pop(bucket)))):
-                both = np.unique(np.stack([a, b], axis=1), axis=0).view(np.int64)
+            cols = [np.concatenate(c) for c in zip(*held.pop(bucket))]
+            for a, b in bucket_pairs(*cols) if size else bucket_links(files, *cols):
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     return postings.repartition(buckets, "bucket").mapInArrow(shared.trimmed(task), "a long, b long").distinct()
@@ -485,12 +622,15 @@ def links(docs: DataFrame, survey: DataFrame, size: int = 0, grid: int | None =
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET))
     grid = grid or -(-entries // (64 * BUCKET))
     _write_levels(survey, at)
-    pairs = shared.table(_candidates(_postings(docs, at, buckets, size, grid), buckets), "line-candidates")
-    wanted = shared.table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "line-wanted")
-    bits = min(32, max(16, (16 * wanted.count()).bit_length()))
-    _write_bitmap(wanted, at, bits)
-    _write_sets(_sets(docs, at, bits, size), at, buckets)
-    return shared.table(_verified(pairs, at, buckets), "line-links")
+    pairs = shared.table(_pairs(_postings(docs, at, buckets, size, grid), at, buckets, size), "line-pairs")
+    if size:
+        wanted = shared.table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "line-wanted")
+        bits = min(32, max(16, (16 * wanted.count()).bit_length()))
+        _write_bitmap(wanted, at, bits)
+        _write_sets(_sets(docs, at, bits, size), at, buckets)
+        pairs = shared.table(_verified(pairs, at, buckets), "line-links")
+    shutil.rmtree(at)  # all that is needed on is in the table
+    return pairs
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
