@@ -12,7 +12,7 @@ from compare import rows_of
 from helpers import frame
 
 import corpus_pipeline
-from tidewatch.llm import line_quality, queries
+from tidewatch.llm import line_join, line_quality, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,3 +104,19 @@ def test_near_duplicates_of_documents_without_words(spark, tmp_path):
     rows = [(5, None, "en", "x", 1), (3, "", "en", "x", 1), (4, " \n", "en", "x", 1), (None, "", "en", "x", 1), (7, "a word", "en", "x", 1), (7, "a word", "en", "x", 1), (8, "A  WORD", "en", "x", 1)]
     out = corpus_pipeline.near_duplicates(spark, frame(spark, rows), str(tmp_path))
     assert sorted(r.doc_id for r in out.collect()) == [3, 7]
+
+
+@pytest.mark.parametrize("step", ["trie", "join", "both"])
+def test_near_duplicates_by_trie_and_join(spark, tmp_path, monkeypatch, step):
+    """The SimHash trie alone finds copies with a word or two changed, the join alone finds all, both give what the join
+    gives; what is alike in its fingerprint only is kept."""
+    base = [[f"b{k}w{n}" for n in range(400)] for k in range(3)]
+    near, far = [*base[0][:200], "zz", *base[0][201:]], [("zz" if n % 50 == 7 else w) for n, w in enumerate(base[1])]
+    rows = [(k, " ".join(w), "en", "x", 1) for k, w in enumerate([*base, near, far])]
+    empty = lambda *a: spark.createDataFrame([], "a long, b long")
+    if step == "trie":
+        monkeypatch.setattr(line_join, "_pairs", empty)
+    if step == "join":
+        monkeypatch.setattr(line_join, "_trie_pairs", empty)
+    out = corpus_pipeline.near_duplicates(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == ([0, 1, 2, 4] if step == "trie" else [0, 1, 2])

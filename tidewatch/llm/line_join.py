@@ -21,7 +21,7 @@ few; these travel as two numbers, and their sets are fetched by one more scan th
 number of buckets and blocks follows the prefix entries, and entries of the most frequent tokens are spread over a
 triangle of cells, so no token fills one task. Files go as soon as the links are written. No text is shuffled, nothing
 per line reaches the driver. With ``keep_first`` a document is one line and its tokens are runs of
-five words.
+five words; pairs that a SimHash trie finds are verified beside those of the join.
 
 Defined cases: null text is one empty line; lines without words are never removed; a null id counts as the lowest; rows
 that repeat an id and text are one document; rows that share an id but not a text are told apart by a hash of the text,
@@ -184,6 +184,17 @@ def _scan(docs: DataFrame) -> DataFrame:
     return ship(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
+def _simhash(token: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The fingerprint of each set, as a signed long: a bit is set where over half of the tokens' hashes have it."""
+    ones, row = np.zeros((len(sizes), 64), np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    for lo in range(0, len(token), HELD // 4):
+        own = row[lo : lo + HELD // 4]
+        heads = np.flatnonzero(np.diff(own, prepend=-1))
+        bits = np.unpackbits(_mix(token[lo : lo + HELD // 4] + np.uint64(_P)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[own[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+
+
 def _planes(column: np.ndarray) -> bytes:
     """A column's first bytes, then its second ones and so on: those that hardly differ then compress to nothing."""
     return column.view(np.uint8).reshape(len(column), -1).T.tobytes()
@@ -196,9 +207,10 @@ def _column(raw, kind: str, n: int, at: int = 0) -> np.ndarray:
 
 
 def _survey(docs: DataFrame, size: int = 0) -> DataFrame:
-    """Lines (doc_id, h, line, cls, n; cls null without words) and sketch blocks (block, salt, data) in one table."""
-    names = ["doc_id", "h", "line", "cls", "n", "block", "salt", "data"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    """Lines (doc_id, h, line, cls, n, fp; cls null without words; fp, the SimHash of its set, of documents only) and sketch
+    blocks (block, salt, data) in one table."""
+    names = ["doc_id", "h", "line", "cls", "n", "fp", "block", "salt", "data"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, n_held = np.zeros(CELLS, np.uint32), [], 0
@@ -213,24 +225,26 @@ def _survey(docs: DataFrame, size: int = 0) -> DataFrame:
                     held, n_held = [], 0
                 _, own, sizes, cls = classes_of(token, line)
                 n = first[-1]
-                c, words, has = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, bool)
+                c, words, has, fp = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, bool), np.zeros(n, np.int64)
                 c[own], words[own], has[own] = cls.view(np.int64), sizes, True
+                if size:
+                    fp[own] = _simhash(token, sizes)
                 row = np.repeat(np.arange(hi - lo), np.diff(first))
-                made.append((row + lo, (np.arange(n) - first[row]).astype(np.int32), c, has, words))
+                made.append((row + lo, (np.arange(n) - first[row]).astype(np.int32), c, has, words, fp))
             if made:
-                row, place, c, has, words = (np.concatenate(x) for x in zip(*made))
-                none = [pa.nulls(len(row), k) for k in kinds[5:]]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), batch.column("h").take(pa.array(row)), pa.array(place), pa.array(c, mask=~has), pa.array(words), *none], names)
+                row, place, c, has, words, fp = (np.concatenate(x) for x in zip(*made))
+                none = [pa.nulls(len(row), k) for k in kinds[6:]]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), batch.column("h").take(pa.array(row)), pa.array(place), pa.array(c, mask=~has), pa.array(words), pa.array(fp, mask=~has | (not size)), *none], names)
         if held:
             np.add.at(counts, np.concatenate(held), np.uint32(1))
         if counts.any():
             salt = TaskContext.get().partitionId()
             wide = CELLS // BLOCKS
             data = [_planes(np.minimum(counts[k * wide : (k + 1) * wide], 0xFFFF).astype("<u2")) for k in range(BLOCKS)]
-            cols = [pa.nulls(BLOCKS, k) for k in kinds[:5]] + [pa.array(range(BLOCKS), pa.int32()), pa.array([salt] * BLOCKS, pa.int32()), pa.array(data, pa.binary())]
+            cols = [pa.nulls(BLOCKS, k) for k in kinds[:6]] + [pa.array(range(BLOCKS), pa.int32()), pa.array([salt] * BLOCKS, pa.int32()), pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return shared.table(_scan(docs).mapInArrow(shared.trimmed(task), "doc_id long, h long, line int, cls long, n int, block int, salt int, data binary"), "line-survey")
+    return shared.table(_scan(docs).mapInArrow(shared.trimmed(task), "doc_id long, h long, line int, cls long, n int, fp long, block int, salt int, data binary"), "line-survey")
 
 
 def _write_levels(survey: DataFrame, at: str) -> None:
@@ -610,6 +624,18 @@ def _verified(pairs: DataFrame, at: str, blocks: int) -> DataFrame:
     return rows.mapInArrow(shared.trimmed(task), "a long, b long")
 
 
+def _trie_pairs(survey: DataFrame, budget: int = 4) -> DataFrame:
+    """a, b: pairs of classes of documents to verify that the SimHash trie links, as a forest; those of one fingerprint are
+    paired with one of them."""
+    from . import simhash_trie
+
+    rows = survey.filter("cls is not null").select("cls", "fp")
+    lead = shared.table(rows.groupBy("fp").agg(F.min("cls").alias("lead")), "simhash")
+    near = simhash_trie.links(lead.select("fp"), lead.count(), budget)
+    near = near.join(lead.select(F.col("fp").alias("u"), F.col("lead").alias("a")), "u").join(lead.select(F.col("fp").alias("v"), F.col("lead").alias("b")), "v").select("a", "b")
+    return near.unionByName(rows.join(lead, "fp").filter("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b"))).distinct()
+
+
 def links(docs: DataFrame, survey: DataFrame, size: int = 0, grid: int | None = None) -> DataFrame:
     """a, b: all pairs of different classes of lines with a Jaccard similarity of 4/5 or more. Buckets and cells of the
     join follow the number of prefix entries, which the survey tells."""
@@ -624,6 +650,7 @@ def links(docs: DataFrame, survey: DataFrame, size: int = 0, grid: int | None =
     _write_levels(survey, at)
     pairs = shared.table(_pairs(_postings(docs, at, buckets, size, grid), at, buckets, size), "line-pairs")
     if size:
+        pairs = shared.table(pairs.unionByName(_trie_pairs(survey)).distinct(), "document-pairs")
         wanted = shared.table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "line-wanted")
         bits = min(32, max(16, (16 * wanted.count()).bit_length()))
         _write_bitmap(wanted, at, bits)
@@ -667,7 +694,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, size: int = 5) -> DataFrame:
     """One document of each component of documents whose sets of shingles have a Jaccard similarity of 4/5 or more stays:
-    the first by id, nulls last (one row, if that is repeated). The join is that of lines, hence exact."""
+    the first by id, nulls last (one row, if that is repeated). The SimHash trie pairs documents whose fingerprints, over
+    the same shingles, differ in 4 bits or fewer; the join of lines adds all others; both are verified, hence exact."""
     from .simhash_trie import stars
 
     survey = _survey(docs, size)
