@@ -12,7 +12,7 @@ from compare import rows_of
 from helpers import frame
 
 import corpus_pipeline
-from tidewatch.llm import line_join, line_quality, queries
+from tidewatch.llm import line_join, line_quality, queries, shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,3 +120,20 @@ def test_near_duplicates_by_trie_and_join(spark, tmp_path, monkeypatch, step):
         monkeypatch.setattr(line_join, "_trie_pairs", empty)
     out = corpus_pipeline.near_duplicates(spark, frame(spark, rows), str(tmp_path))
     assert sorted(r.doc_id for r in out.collect()) == ([0, 1, 2, 4] if step == "trie" else [0, 1, 2])
+
+
+def test_lines_stage_writes_links_only(spark, tmp_path, monkeypatch):
+    """What `lines` writes for itself follows the lines and their links, not the pairs that share a rare word."""
+    rng = random.Random(8)
+    lines = [rng.sample([f"v{k}" for k in range(400)], 150) for _ in range(300)]
+    df = frame(spark, [(k, " ".join(x), "en", "x", 0) for k, x in enumerate([*lines, [*lines[0], "more"]])])
+    most, real = [], shared.table
+
+    def table(df, name):
+        out = real(df, name)
+        most.append(out.filter("block is null").count() if name == "line-survey" else out.count())
+        return out
+
+    monkeypatch.setattr(shared, "table", table)
+    assert sorted(r.doc_id for r in corpus_pipeline.lines(spark, df, str(tmp_path)).collect()) == list(range(300))
+    assert max(most) == 301 and min(most) == 1
