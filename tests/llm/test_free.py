@@ -368,3 +368,11 @@ def test_only_links_leave_the_buckets(spark, monkeypatch):
     assert line_join.links(df, survey).count() == want > 30
     assert rows and max(rows.values()) == want
     assert not any(Path(uri.removeprefix("file://"), f).exists() for uri in shared._MADE[made:] for f in ("level-000", "bits-000"))
+
+
+def test_marked_words_share_ids():
+    """A word with a mark behind is made of the word's ids and the mark's, kept once each."""
+    enc, lib = token_files.PieceEncoder(BYTES), library(BYTES)
+    for text in ("an oddwordx, oddwordx; oddwordx. oddwordx", "Strangüß; no", "oneword,", " oneword, two.\nthree; \n four,"):
+        assert enc.encode(text) == enc.pack(lib.encode(text, add_special_tokens=False).ids)
+    assert {"oddwordx", "oddwordx,", "two"} <= enc.keys() and "Strangüß" in enc.bare

@@ -23,6 +23,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from . import shared
 
 #: Pieces that a worker's cache holds at most.
 CACHED = 700_000
-_MARKS = (",", ".", ";")
+_MARKS, _ID = (",", ".", ";"), attrgetter("id")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -84,7 +85,7 @@ class PieceEncoder(dict):
         """Ids of what the pre-tokenizer leaves in one."""
         if not word.isascii():
             word = word.encode().decode("latin-1")
-        return [t.id for t in self.model.tokenize(word.translate(self.letters))]
+        return list(map(_ID, self.model.tokenize(word.translate(self.letters))))
 
     def pieces(self, space: str, piece: str) -> bytes:
         """Ids of a piece after ``space``; letters, and letters with a mark behind, need no pre-tokenizer."""
@@ -92,10 +93,16 @@ class PieceEncoder(dict):
             if piece.isalpha():
                 return self.pack(self._word(space + piece))
             if piece[-1:] in _MARKS and piece[:-1].isalpha():
-                return self.pack(self._word(space + piece[:-1]) + self._word(piece[-1]))
+                return (self if space else self.bare)[piece[:-1]] + self.bare[piece[-1]]  # the word is kept without its mark too
         return self.whole(space + piece)
 
     def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha():
+            if len(self) > CACHED:
+                self.clear()
+                self.odd.clear()
+            found = self[piece] = self.pieces(" ", piece)
+            return found
         if piece.count("\n") == 1:
             left, right = piece.split("\n")
             if left and right and not left[-1].isspace() and not right[0].isspace() and not piece[0].isspace() and not piece[-1].isspace():
