@@ -137,3 +137,62 @@ def test_lines_stage_writes_links_only(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(shared, "table", table)
     assert sorted(r.doc_id for r in corpus_pipeline.lines(spark, df, str(tmp_path)).collect()) == list(range(300))
     assert max(most) == 301 and min(most) == 1
+
+
+def test_lines_stage_of_a_family(spark, tmp_path, monkeypatch):
+    """Near copies of one line cost `lines` a row each and not one for each pair of them, whatever the order of the rows."""
+    rng = random.Random(5)
+    base = [f"v{k}" for k in range(60)]
+    rows = [(k, " ".join(base if k == 3 else [w if rng.random() > 0.02 else f"own{k}" for w in base]), "en", "x", 0) for k in range(3, 123)]
+    df, most, real = frame(spark, rows[::-1]), [], shared.table
+
+    def table(df, name):
+        out = real(df, name)
+        most.append(out.filter("block is null").count() if name == "line-survey" else out.count())
+        return out
+
+    monkeypatch.setattr(shared, "table", table)
+    assert [r.doc_id for r in corpus_pipeline.lines(spark, df, str(tmp_path)).collect()] == [3]
+    assert max(most) == 120
+
+
+@pytest.mark.parametrize("grid", [1, 3])
+def test_late_classes_are_those_of_the_links(spark, monkeypatch, grid):
+    """A class is late if one of its links is to a class that begins earlier: random families, ids out of order, nulls and
+    copies, rows of one id, with hot tokens in cells and without."""
+    rng = random.Random(grid)
+    rows = []
+    for f in range(12):
+        base = [f"f{f % 4}w{n}" for n in range(rng.choice([5, 12, 40]))] + [f"own{f}"]
+        for _ in range(9):
+            line = lambda: " ".join(w for w in base if rng.random() > 0.07)  # noqa: B023, E731
+            rows.append((rng.choice([None, *range(-40, 40)]), "\n".join([line(), "w of it", line()]), "en", "x", 0))
+    rows += rng.sample(rows, 30)
+    rng.shuffle(rows)
+    df = frame(spark, rows).repartition(3)
+    survey = line_join._survey(df)
+    first = {r.cls: (r.d, r.l) for r in survey.filter("cls is not null").selectExpr("cls", f"struct(coalesce(doc_id, {-(1 << 63)}) d, line l) p").groupBy("cls").agg({"p": "min"}).selectExpr("cls", "`min(p)`.d d", "`min(p)`.l l").collect()}
+    both = [(r.a, r.b) for r in line_join.links(df, survey).collect()]
+    if grid > 1:
+        monkeypatch.setattr(line_join, "HOT", 0)
+    want = {x for a, b in both for x, y in ((a, b), (b, a)) if first[y] < first[x]}
+    assert {r.cls for r in line_join.late_classes(df, survey, grid=grid).collect()} == want and 20 < len(want) < len(first)
+
+
+def test_document_candidates_stay_in_their_buckets(spark, tmp_path, monkeypatch):
+    """Documents that share passages only are no candidates beyond the bucket that finds them; a near copy is found."""
+    rng = random.Random(6)
+    pool = [" ".join(f"p{k}w{n}" for n in range(40)) for k in range(30)]
+    texts = [" ".join(rng.sample(pool, 10)) for _ in range(60)]
+    rows = [(k, t, "en", "x", 0) for k, t in enumerate([*texts, texts[0].replace("w20", "zz", 3)])]
+    counts, real = {}, shared.table
+
+    def table(df, name):
+        out = real(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(shared, "table", table)
+    out = corpus_pipeline.near_duplicates(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(60))
+    assert counts["line-pairs"] == 1

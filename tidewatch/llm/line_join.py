@@ -16,12 +16,15 @@ map from the shared folder; any order gives the same matches, a rough one only a
 packed columns, a row per task and bucket, so the engine moves few rows. The task that sends a line's postings writes its
 set, once a class, to a file of the shared folder; buckets map these files and verify pairs where they find them, by a
 256-bit parity signature and then on the sets, so that only links leave a bucket. In a vocabulary that grows less than
-the corpus candidates grow with its square, links as the copies do. The sets of documents are long and their candidates
-few; these travel as two numbers, and their sets are fetched by one more scan through a mapped bitmap of the classes. The
-number of buckets and blocks follows the prefix entries, and entries of the most frequent tokens are spread over a
-triangle of cells, so no token fills one task. Files go as soon as the links are written. No text is shuffled, nothing
-per line reaches the driver. With ``keep_first`` a document is one line and its tokens are runs of
-five words; pairs that a SimHash trie finds are verified beside those of the join.
+the corpus candidates grow with its square, links as the copies do: those of a family of near copies with its square.
+``dedup_lines`` needs no links, only which lines have one to an earlier line; there buckets stop at a class's first such
+link, and one number a class leaves them. The sets of documents are long; their files have a 1,024-bit signature only, by
+which a bucket drops nearly all candidates that are none. The rest travel as two numbers, and the sets of the documents
+named are fetched by one more scan through a mapped bitmap of their texts. The number of buckets and blocks follows the
+prefix entries, and entries of the most frequent tokens are spread over a triangle of cells, so no token fills one task.
+Files go as soon as the links are written. No text is shuffled, nothing per line reaches the driver. With ``keep_first``
+a document is one line and its tokens are runs of five words; pairs that a SimHash trie finds are verified beside those
+of the join.
 
 Defined cases: null text is one empty line; lines without words are never removed; a null id counts as the lowest; rows
 that repeat an id and text are one document; rows that share an id but not a text are told apart by a hash of the text,
@@ -34,7 +37,7 @@ import os
 import re
 import shutil
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -281,35 +284,42 @@ def _levels(at: str) -> np.ndarray:
     return np.concatenate([np.fromfile(f"{at}/level-{k:03d}", "u1") for k in range(BLOCKS)])
 
 
-_ENTRY = [("tok", "<u4"), ("cls", "<u8"), ("sig", "<u8"), ("size", "<u4"), ("pos", "<u4")]
-#: Lines have the place of their set in the files instead: the attempt that wrote it, and from bit 0 the offset in words.
-_KEPT = [("tok", "<u4"), ("cls", "<u8"), ("place", "<u8"), ("size", "<u4"), ("pos", "<u4")]
-_OFFSET, _WIDE = 38, 4
+#: Entries of a bucket. The place is that of the class's record in the files: the attempt that wrote it, and from bit 0 the
+#: offset in words.
+_ENTRY = [("tok", "<u4"), ("cls", "<u8"), ("place", "<u8"), ("size", "<u4"), ("pos", "<u4")]
+#: Words of a record's signature, of lines and of documents.
+_OFFSET, _WIDE, _WIDER = 38, 4, 16
 
 
-def _records(token: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The records of a set file, in one array, and where each begins: a parity signature of 256 bits, then the tokens."""
-    starts = np.cumsum(sizes + _WIDE) - sizes - _WIDE
-    out = np.empty(int(sizes.sum()) + _WIDE * len(sizes), np.uint64)
-    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+def _records(token: np.ndarray, begins: np.ndarray, sizes: np.ndarray, wide: int, whole: bool, before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The records of a set file, in one array, and where each begins: a parity signature of ``wide`` words, then, if
+    ``whole``, the tokens; the words ``before`` stand in front of that."""
+    kept = sizes if whole else np.zeros_like(sizes)
+    starts, n = np.cumsum(kept + wide + len(before)) - kept - wide, int(sizes.sum())
+    out = np.empty(int(kept.sum()) + (wide + len(before)) * len(sizes), np.uint64)
+    for k, x in enumerate(before):
+        out[starts - len(before) + k] = x
+    within = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     own = token[np.repeat(begins, sizes) + within]
-    out[np.repeat(starts + _WIDE, sizes) + within] = own
-    bit, word, first = np.uint64(1) << (own & np.uint64(63)), (own >> np.uint64(6)) & np.uint64(_WIDE - 1), np.cumsum(sizes) - sizes
-    for k in range(_WIDE):
-        out[starts + k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), first)
+    if whole:
+        out[np.repeat(starts + wide, sizes) + within] = own
+    spot = np.repeat(np.arange(len(sizes)) * 64 * wide, sizes) + (own & np.uint64(64 * wide - 1)).astype(np.int64)
+    odd = (np.bincount(spot, minlength=64 * wide * len(sizes)) & 1).astype(bool)
+    out[starts[:, None] + np.arange(wide)] = np.packbits(odd, bitorder="little").view("<u8").reshape(-1, wide)
     return out, starts
 
 
-def _postings(docs: DataFrame, at: str, buckets: int, size: int, grid: int) -> DataFrame:
+def _postings(docs: DataFrame, at: str, buckets: int, size: int, grid: int, ordered: bool = False) -> DataFrame:
     """(bucket, n, data): prefix entries of all lines of four tokens or more, packed column by column. Tokens of one line
     only, as the sketch tells, are none. Entries of the most frequent tokens go to ``grid`` of the cells (r, s) of a
     triangle, r or s being a hash of the class: each pair of classes meets in one at least, and no cell holds more than two
-    in ``grid`` of them. Lines' sets go to a file of the task beside, once a class."""
+    in ``grid`` of them. Lines' sets, and signatures of documents' sets, go to a file of the task beside, once a class; if
+    ``ordered``, with its place in the corpus before it, and again where the class stands at an earlier one."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, held, n, known, end = None, [], 0, set(), 0
+        level, held, n, known, end = None, [], 0, {}, 0
         attempt = TaskContext.get().taskAttemptId()
-        file = None if size else open(f"{at}/sets-{attempt}", "wb")
+        file = open(f"{at}/sets-{attempt}", "wb")
 
         def send() -> pa.RecordBatch:
             bucket, *cols = (np.concatenate(c) for c in zip(*held))
@@ -317,16 +327,17 @@ def _postings(docs: DataFrame, at: str, buckets: int, size: int, grid: int) -> D
             bucket, cols = bucket[by], [c[by] for c in cols]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = np.append(cuts[1:], len(bucket))
-            cols = [c.astype(k) for c, (_, k) in zip(cols, _ENTRY if size else _KEPT)]
+            cols = [c.astype(k) for c, (_, k) in zip(cols, _ENTRY)]
             data = [b"".join(_planes(c[a:b]) for c in cols) for a, b in zip(cuts, ends)]
             return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array((ends - cuts).astype(np.int64)), pa.array(data, pa.binary())], ["bucket", "n", "data"])
 
         for batch in batches:
             if level is None:
                 level = _levels(at)
-            for _, _, buf, _ in _chunks(batch, size):
+            ids = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()
+            for lo, _, buf, first in _chunks(batch, size):
                 token, line, place = line_sets(buf, level, size)
-                begins, _, sizes, cls = classes_of(token, line)
+                begins, own, sizes, cls = classes_of(token, line)
                 if not len(begins):
                     continue
                 wide = np.repeat(sizes, sizes)
@@ -334,23 +345,24 @@ def _postings(docs: DataFrame, at: str, buckets: int, size: int, grid: int) -> D
                 row = np.repeat(np.arange(len(begins)), sizes)[use]
                 fresh = np.zeros(len(begins), bool)  # copies of a line within a task are sent once
                 fresh[row] = True
+                at_row = np.searchsorted(first, own, side="right") - 1
+                stands = [ids[lo + at_row].view(np.uint64), (own - first[at_row]).astype(np.uint64)] if ordered else []
                 for k in np.flatnonzero(fresh).tolist():
-                    if (c := int(cls[k])) in known:
+                    when = (int(ids[lo + at_row[k]]) << 32) + int(stands[1][k]) if ordered else 0
+                    if known.get(c := int(cls[k]), when + 1) <= when:
                         fresh[k] = False
-                    known.add(c)
+                    else:
+                        known[c] = when
                 if len(known) > 8 * HELD:
                     known.clear()
                 use, row = use[fresh[row]], row[fresh[row]]
                 if not len(use):
                     continue
-                if size:
-                    tag = np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), begins)
-                else:
-                    made, starts = _records(token, begins[fresh], sizes[fresh])
-                    file.write(made)
-                    tag = np.zeros(len(begins), np.uint64)
-                    tag[fresh] = (starts + end).astype(np.uint64) | np.uint64(attempt << _OFFSET)
-                    end += len(made)
+                made, starts = _records(token, begins[fresh], sizes[fresh], _WIDER if size else _WIDE, not size, [x[fresh] for x in stands])
+                file.write(made)
+                tag = np.zeros(len(begins), np.uint64)
+                tag[fresh] = (starts + end).astype(np.uint64) | np.uint64(attempt << _OFFSET)
+                end += len(made)
                 mixed = _mix(token[use])
                 if grid > 1:
                     hot = np.flatnonzero((token[use] >> np.uint64(58)) >= HOT)
@@ -366,18 +378,18 @@ def _postings(docs: DataFrame, at: str, buckets: int, size: int, grid: int) -> D
                 if n >= HELD:
                     yield send()
                     held, n = [], 0
-        if file:
-            file.close()
+        file.close()
         if held:
             yield send()
 
     return _scan(docs).mapInArrow(shared.trimmed(task), "bucket int, n long, data binary")
 
 
-def _partners(tok, cls, size, pos) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def _partners(tok, cls, size, pos, lost: Callable[[int, int], np.ndarray] | None = None) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """The order by token and size, and in that order i < j of entries of different classes that share a token and pass the
     length and positional filters, with the most tokens that may differ. If the token is the first that two sets share, all
-    before it differ, so an entry at place p of n reaches sizes up to (5 n - 9 p) / 4 only."""
+    before it differ, so an entry at place p of n reaches sizes up to (5 n - 9 p) / 4 only. ``lost`` tells, of a range in that
+    order, which entries are; pairs of two such are left out."""
     short = np.minimum(size, 0xFFFF).astype(np.uint64)
     key = (tok.astype(np.uint64) << np.uint64(32)) | (short << np.uint64(16)) | (cls & np.uint64(0xFFFF))
     by = np.argsort(key)
@@ -391,10 +403,20 @@ def _partners(tok, cls, size, pos) -> tuple[np.ndarray, Iterator[tuple[np.ndarra
         lo = 0
         while lo < len(key):
             hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PAIRS, side="right")) - 1)
-            for a in range(0, int(upto[hi] - upto[lo]), 4 * PAIRS):  # an entry with many partners takes several steps
-                at = np.arange(upto[lo] + a, min(upto[hi], upto[lo] + a + 4 * PAIRS))
-                i = np.repeat(np.arange(lo, hi), wide[lo:hi])[a : a + 4 * PAIRS]
-                j = i + 1 + at - upto[i]
+            n, live, skip = wide[lo:hi], None, None
+            if lost:
+                dead = lost(lo, max(hi, int(ends[lo:hi].max())))
+                live, dead, near = lo + np.flatnonzero(~dead), dead[: hi - lo], np.arange(lo, hi)
+                skip = np.searchsorted(live, near + 1)
+                n = np.where(dead, np.maximum(np.searchsorted(live, ends[lo:hi]) - skip, 0), n)
+            past = np.concatenate([[0], np.cumsum(n)])
+            for a in range(0, int(past[-1]), 4 * PAIRS):  # an entry with many partners takes several steps
+                k = np.repeat(np.arange(hi - lo), n)[a : a + 4 * PAIRS]
+                off = np.arange(a, a + len(k)) - past[k]
+                i, j = k + lo, k + lo + 1 + off
+                if lost:
+                    few = np.flatnonzero(dead[k])
+                    j[few] = live[skip[k[few]] + off[few]]
                 both = size[i] + size[j]
                 least = (4 * both + 8) // 9
                 fit = (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= least) & (pos[i] + pos[j] <= both - 2 * least) & (cls[i] != cls[j])
@@ -405,16 +427,6 @@ def _partners(tok, cls, size, pos) -> tuple[np.ndarray, Iterator[tuple[np.ndarra
     return by, pairs()
 
 
-def bucket_pairs(tok, cls, sig, size, pos) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of classes that share a prefix token and pass the length, positional and signature filters."""
-    by, found = _partners(tok, cls, size, pos)
-    cls, sig = cls[by], sig[by]
-    for i, j, most in found:
-        fit = np.bitwise_count(sig[i] ^ sig[j]) <= most
-        if fit.any():
-            yield np.minimum(cls[i[fit]], cls[j[fit]]), np.maximum(cls[i[fit]], cls[j[fit]])
-
-
 class _SetFiles:
     """The mapped set files of a folder."""
 
@@ -437,6 +449,56 @@ class _SetFiles:
         return out
 
 
+def _alike(files: _SetFiles, place, wide: int, i, j, most) -> np.ndarray:
+    """Which pairs' signatures do not already differ in more than ``most`` bits."""
+    on = np.zeros(len(place), bool)
+    on[i] = on[j] = True
+    used, at = np.flatnonzero(on), np.cumsum(on) - 1
+    sig = files.take(place[used], np.full(len(used), wide)).reshape(-1, wide)
+    return np.bitwise_count(sig[at[i]] ^ sig[at[j]]).sum(axis=1) <= most
+
+
+def _opens(files: _SetFiles, place, pos, i, j) -> np.ndarray:
+    """Which pairs meet at the first token that they share, as far as the tokens before tell."""
+    word = lambda k, back: files.take(place[k] + (_WIDE + pos[k] - back).astype(np.uint64), np.ones(len(k), np.int64))
+    new = word(i, 0) == word(j, 0)
+    later = np.flatnonzero(new & (pos[i] > 0) & (pos[j] > 0))
+    new[later] = word(i[later], 1) != word(j[later], 1)
+    return new
+
+
+def _reach(files: _SetFiles, place, size, i, j) -> np.ndarray:
+    """Which pairs reach the threshold, by their sets; those of one i should follow one another."""
+    keep, upto, lo = np.zeros(len(i), bool), np.concatenate([[0], np.cumsum(size[j])]), 0
+    while lo < len(i):  # sets of so many words at once
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PIECE, side="right")) - 1)
+        theirs, own = files.take(place[j[lo:hi]] + np.uint64(_WIDE), size[j[lo:hi]]), upto[lo:hi] - upto[lo]
+        heads = np.flatnonzero(np.diff(i[lo:hi], prepend=-1))
+        mine = files.take(place[i[lo + heads]] + np.uint64(_WIDE), size[i[lo + heads]])
+        hit, a, ends = np.zeros(len(theirs), bool), 0, np.append(own[heads[1:]], len(theirs))
+        for s, e, n in zip(own[heads].tolist(), ends.tolist(), size[i[lo + heads]].tolist()):
+            x, y = mine[a : a + n], theirs[s:e]
+            hit[s:e] = x.take(x.searchsorted(y), mode="clip") == y
+            a += n
+        keep[lo:hi] = 9 * np.add.reduceat(hit, own, dtype=np.int64) >= 4 * (size[i[lo:hi]] + size[j[lo:hi]])
+        lo = hi
+    return keep
+
+
+def bucket_pairs(tok, cls, sig, size, pos, files: _SetFiles | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of classes that share a prefix token and pass the length, positional and signature filters. ``sig``: of 64 bits,
+    or with ``files`` its place there."""
+    by, found = _partners(tok, cls, size, pos)
+    cls, sig = cls[by], sig[by]
+    for i, j, most in found:
+        if files:
+            fit = np.concatenate([_alike(files, sig, _WIDER, *(x[lo : lo + PAIRS // 4] for x in (i, j, most))) for lo in range(0, len(i), PAIRS // 4)])
+        else:
+            fit = np.bitwise_count(sig[i] ^ sig[j]) <= most
+        if fit.any():
+            yield np.minimum(cls[i[fit]], cls[j[fit]]), np.maximum(cls[i[fit]], cls[j[fit]])
+
+
 def bucket_links(files: _SetFiles, tok, cls, place, size, pos) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of classes that share a prefix token and reach the threshold, verified on their sets. Where the tokens before
     the shared one are the same too, the pair belongs to those."""
@@ -444,30 +506,11 @@ def bucket_links(files: _SetFiles, tok, cls, place, size, pos) -> Iterator[tuple
     cls, place, size, pos = cls[by], place[by], size[by].astype(np.int64), pos[by].astype(np.int64)
 
     def verified(i: np.ndarray, j: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        on = np.zeros(len(place), bool)
-        on[i] = on[j] = True
-        used, at = np.flatnonzero(on), np.cumsum(on) - 1
-        sig = files.take(place[used], np.full(len(used), _WIDE)).reshape(-1, _WIDE)
-        fit = np.bitwise_count(sig[at[i]] ^ sig[at[j]]).sum(axis=1) <= most
+        fit = _alike(files, place, _WIDE, i, j, most)
         i, j = i[fit], j[fit]
-        word = lambda k, back: files.take(place[k] + (_WIDE + pos[k] - back).astype(np.uint64), np.ones(len(k), np.int64))
-        new = word(i, 0) == word(j, 0)
-        later = np.flatnonzero(new & (pos[i] > 0) & (pos[j] > 0))
-        new[later] = word(i[later], 1) != word(j[later], 1)
+        new = _opens(files, place, pos, i, j)
         i, j = i[new], j[new]
-        keep, upto, lo = np.zeros(len(i), bool), np.concatenate([[0], np.cumsum(size[j])]), 0
-        while lo < len(i):  # sets of so many words at once
-            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PIECE, side="right")) - 1)
-            theirs, own = files.take(place[j[lo:hi]] + np.uint64(_WIDE), size[j[lo:hi]]), upto[lo:hi] - upto[lo]
-            heads = np.flatnonzero(np.diff(i[lo:hi], prepend=-1))
-            mine = files.take(place[i[lo + heads]] + np.uint64(_WIDE), size[i[lo + heads]])
-            hit, a, ends = np.zeros(len(theirs), bool), 0, np.append(own[heads[1:]], len(theirs))
-            for s, e, n in zip(own[heads].tolist(), ends.tolist(), size[i[lo + heads]].tolist()):
-                x, y = mine[a : a + n], theirs[s:e]
-                hit[s:e] = x.take(x.searchsorted(y), mode="clip") == y
-                a += n
-            keep[lo:hi] = 9 * np.add.reduceat(hit, own, dtype=np.int64) >= 4 * (size[i[lo:hi]] + size[j[lo:hi]])
-            lo = hi
+        keep = _reach(files, place, size, i, j)
         return cls[i[keep]], cls[j[keep]]
 
     held, n = [], 0
@@ -481,37 +524,88 @@ def bucket_links(files: _SetFiles, tok, cls, place, size, pos) -> Iterator[tuple
         yield verified(*(np.concatenate(c) for c in zip(*held)))
 
 
+def bucket_late(files: _SetFiles, tok, cls, place, size, pos) -> np.ndarray:
+    """Classes that a bucket shows to be linked with one whose first line is earlier. One link is enough: a class is compared
+    no more once it has one, so a family of n classes costs about n comparisons of sets and not their square."""
+    kinds, own = np.unique(cls, return_inverse=True)
+    one = np.ones(len(place), np.int64)
+    doc, line = files.take(place - np.uint64(2), one).view(np.int64), files.take(place - np.uint64(1), one)
+    order = np.lexsort((line, doc))
+    when = np.empty(len(order), np.int64)
+    when[order] = np.cumsum((np.diff(doc[order], prepend=doc[order[:1]]) != 0) | (np.diff(line[order].astype(np.int64), prepend=-1) != 0))
+    first = np.full(len(kinds), len(order) + 1)
+    np.minimum.at(first, own, when)
+    once = np.unique((tok.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64), return_index=True)[1]  # of copies in several tasks
+    tok, cls, place, size, pos, own = (x[once] for x in (tok, cls, place, size, pos, own))
+    del one, doc, line, order, when, once
+    gone = np.zeros(len(kinds), bool)
+    by, found = _partners(tok, cls, size, pos, lambda lo, hi: gone[own[lo:hi]])
+    place, size, pos, own = place[by], size[by].astype(np.int64), pos[by].astype(np.int64), own[by]
+    for i, j, most in found:
+        swap = first[own[i]] > first[own[j]]
+        early, late = np.where(swap, j, i), np.where(swap, i, j)
+        fit = np.flatnonzero((first[own[i]] != first[own[j]]) & ~gone[own[late]])
+        fit = fit[_alike(files, place, _WIDE, early[fit], late[fit], most[fit])]
+        fit = fit[_opens(files, place, pos, early[fit], late[fit])]
+        early, late = early[fit], late[fit]
+        by = np.lexsort((first[own[early]], own[late]))
+        early, late = early[by], late[by]
+        heads = np.flatnonzero(np.diff(own[late], prepend=-1))
+        turn, lo, n = np.arange(len(late)) - np.repeat(heads, np.diff(np.append(heads, len(late)))), 0, 1
+        while len(pick := np.flatnonzero((turn >= lo) & ~gone[own[late]])):  # each class with its first, its next few, and so on
+            pick = pick[turn[pick] < lo + n]
+            pick = pick[np.argsort(early[pick], kind="stable")]
+            gone[own[late[pick[_reach(files, place, size, early[pick], late[pick])]]]] = True
+            lo, n = lo + n, 4 * n
+    return kinds[gone]
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of one bucket after another."""
+    held = defaultdict(list)
+    for batch in batches:
+        for bucket, n, data in zip(batch.column("bucket").to_pylist(), batch.column("n").to_pylist(), batch.column("data")):
+            raw, lo, cols = data.as_buffer(), 0, []
+            for _, kind in _ENTRY:
+                cols.append(_column(raw, kind, n, lo))
+                lo += n * np.dtype(kind).itemsize
+            held[bucket].append(cols)
+    for bucket in list(held):
+        yield [np.concatenate(c) for c in zip(*held.pop(bucket))]
+
+
 def _pairs(postings: DataFrame, at: str, buckets: int, size: int) -> DataFrame:
     """a, b: different pairs of classes; those of documents are to be verified."""
-    entry = _ENTRY if size else _KEPT
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = defaultdict(list)
-        for batch in batches:
-            for bucket, n, data in zip(batch.column("bucket").to_pylist(), batch.column("n").to_pylist(), batch.column("data")):
-                raw, lo, cols = data.as_buffer(), 0, []
-                for _, kind in entry:
-                    cols.append(_column(raw, kind, n, lo))
-                    lo += n * np.dtype(kind).itemsize
-                held[bucket].append(cols)
         files = _SetFiles(at)
-        for bucket in list(held):
-            cols = [np.concatenate(c) for c in zip(*held.pop(bucket))]
-            for a, b in bucket_pairs(*cols) if size else bucket_links(files, *cols):
+        for cols in _unpacked(batches):
+            for a, b in bucket_pairs(*cols, files) if size else bucket_links(files, *cols):
                 both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     return postings.repartition(buckets, "bucket").mapInArrow(shared.trimmed(task), "a long, b long").distinct()
 
 
+def _late(postings: DataFrame, at: str, buckets: int) -> DataFrame:
+    """cls: the classes of lines that are linked with one whose first line is earlier."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = _SetFiles(at)
+        for cols in _unpacked(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_late(files, *cols).view(np.int64))], ["cls"])
+
+    return postings.repartition(buckets, "bucket").mapInArrow(shared.trimmed(task), "cls long").distinct()
+
+
 def _write_bitmap(wanted: DataFrame, at: str, bits: int) -> None:
-    """Set a bit per class in files of the shared folder; each of BLOCKS tasks writes the part that it alone has."""
+    """Set a bit per ``h`` in files of the shared folder; each of BLOCKS tasks writes the part that it alone has."""
     wide = (1 << bits) // BLOCKS
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            spot = _mix(batch.column("cls").to_numpy().view(np.uint64)) >> np.uint64(64 - bits)
+            spot = _mix(batch.column("h").to_numpy().view(np.uint64)) >> np.uint64(64 - bits)
             for block in np.unique(batch.column("block").to_numpy()):
                 own = held.setdefault(int(block), np.zeros(wide, bool))
                 mine = spot[batch.column("block").to_numpy() == block].astype(np.int64)
@@ -522,42 +616,35 @@ def _write_bitmap(wanted: DataFrame, at: str, bits: int) -> None:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spot = _mix(batch.column("cls").to_numpy().view(np.uint64)) >> np.uint64(64 - bits)
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array((spot // np.uint64(wide)).astype(np.int32))], ["cls", "block"])
+            spot = _mix(batch.column("h").to_numpy().view(np.uint64)) >> np.uint64(64 - bits)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array((spot // np.uint64(wide)).astype(np.int32))], ["h", "block"])
 
-    wanted.mapInArrow(place, "cls long, block int").repartition(BLOCKS, "block").mapInArrow(shared.trimmed(task), "n long").agg(F.sum("n")).first()
+    wanted.mapInArrow(place, "h long, block int").repartition(BLOCKS, "block").mapInArrow(shared.trimmed(task), "n long").agg(F.sum("n")).first()
 
 
 def _sets(docs: DataFrame, at: str, bits: int, size: int) -> DataFrame:
-    """cls, data: the sorted set of every class whose bit is on (and, rarely, of one that shares it)."""
+    """cls, data: the sorted set of every document whose bit is on; other texts are not cut into words."""
     wide = (1 << bits) // BLOCKS
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [f"{at}/bits-{k:03d}" for k in range(BLOCKS)]
         maps = [np.memmap(p, "u1", "r") if os.path.exists(p) else None for p in parts]
-        sent: set[int] = set()
         for batch in batches:
+            spot = (_mix(batch.column("h").to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+            on, part = np.zeros(len(spot), bool), spot // wide
+            for k, bitmap in enumerate(maps):
+                own = np.flatnonzero(part == k)
+                if bitmap is not None and len(own):
+                    at_bit = spot[own] - k * wide
+                    on[own] = (bitmap[at_bit >> 3] >> (7 - (at_bit & 7)).astype(np.uint8)) & 1
             keys, data = [], []
-            for _, _, buf, _ in _chunks(batch, size):
+            for _, _, buf, _ in _chunks(batch.filter(pa.array(on)), size):
                 token, line, _ = line_sets(buf, size=size)
                 begins, _, sizes, cls = classes_of(token, line)
-                spot = (_mix(cls) >> np.uint64(64 - bits)).astype(np.int64) if len(begins) else begins
-                on, part = np.zeros(len(spot), bool), spot // wide
-                for k, bitmap in enumerate(maps):
-                    own = np.flatnonzero(part == k)
-                    if bitmap is not None and len(own):
-                        at_bit = spot[own] - k * wide
-                        on[own] = (bitmap[at_bit >> 3] >> (7 - (at_bit & 7)).astype(np.uint8)) & 1
-                hit = np.flatnonzero(on)
-                for k, c in zip(hit.tolist(), cls[hit].view(np.int64).tolist()):
-                    if c not in sent:
-                        sent.add(c)
-                        keys.append(c)
-                        data.append(token[begins[k] : begins[k] + sizes[k]].tobytes())
+                keys += cls.view(np.int64).tolist()
+                data += [token[a : a + n].tobytes() for a, n in zip(begins.tolist(), sizes.tolist())]
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["cls", "data"])
-            if len(sent) > HELD:
-                sent.clear()
 
     return _scan(docs).mapInArrow(shared.trimmed(task), "cls long, data binary")
 
@@ -636,22 +723,28 @@ def _trie_pairs(survey: DataFrame, budget: int = 4) -> DataFrame:
     return near.unionByName(rows.join(lead, "fp").filter("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b"))).distinct()
 
 
-def links(docs: DataFrame, survey: DataFrame, size: int = 0, grid: int | None = None) -> DataFrame:
-    """a, b: all pairs of different classes of lines with a Jaccard similarity of 4/5 or more. Buckets and cells of the
-    join follow the number of prefix entries, which the survey tells."""
-    spark = docs.sparkSession
-    at = shared.local_folder(spark, "line-levels")
+def _grid(survey: DataFrame, grid: int | None = None) -> tuple[int, int]:
+    """The buckets and cells of the join; they follow the number of prefix entries, which the survey tells. No buckets
+    without entries."""
     prefix = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1
     entries = survey.filter("n >= 4").agg(F.sum(prefix)).first()[0] or 0
-    if not entries:
+    buckets = max(int(survey.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET))
+    return buckets if entries else 0, grid or -(-entries // (64 * BUCKET))
+
+
+def links(docs: DataFrame, survey: DataFrame, size: int = 0, grid: int | None = None) -> DataFrame:
+    """a, b: all pairs of different classes of lines with a Jaccard similarity of 4/5 or more."""
+    spark = docs.sparkSession
+    buckets, grid = _grid(survey, grid)
+    if not buckets:
         return spark.createDataFrame([], "a long, b long")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET))
-    grid = grid or -(-entries // (64 * BUCKET))
+    at = shared.local_folder(spark, "line-levels")
     _write_levels(survey, at)
     pairs = shared.table(_pairs(_postings(docs, at, buckets, size, grid), at, buckets, size), "line-pairs")
     if size:
         pairs = shared.table(pairs.unionByName(_trie_pairs(survey)).distinct(), "document-pairs")
-        wanted = shared.table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "line-wanted")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        wanted = shared.table(survey.select("cls", "h").join(wanted, "cls").groupBy("cls").agg(F.min("h").alias("h")).select("h").distinct(), "line-wanted")
         bits = min(32, max(16, (16 * wanted.count()).bit_length()))
         _write_bitmap(wanted, at, bits)
         _write_sets(_sets(docs, at, bits, size), at, buckets)
@@ -660,6 +753,19 @@ def links(docs: DataFrame, survey: DataFrame, size: int = 0, grid: int | None =
     return pairs
 
 
+def late_classes(docs: DataFrame, survey: DataFrame, grid: int | None = None) -> DataFrame:
+    """cls: each class of lines with a link to one whose first line is earlier, without the links themselves."""
+    spark = docs.sparkSession
+    buckets, grid = _grid(survey, grid)
+    if not buckets:
+        return spark.createDataFrame([], "cls long")
+    at = shared.local_folder(spark, "line-levels")
+    _write_levels(survey, at)
+    found = shared.table(_late(_postings(docs, at, buckets, 0, grid, True), at, buckets), "line-late")
+    shutil.rmtree(at)
+    return found
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), n_lines, n_links (matches of its lines, equal ones apart), removed (line numbers
     from 0, ascending), classes of each different document. ``classes``: for each line with words its number, the place
@@ -680,8 +786,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that an earlier line matches; a document left without a word goes."""
-    gone = removed_lines(docs).filter(F.size("removed") > 0).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"), "removed")
-    gone = gone.withColumnsRenamed({"gone_id": "tidewatch_id", "gone_h": "tidewatch_g", "removed": "tidewatch_gone"})
+    survey = _survey(docs)
+    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("line").alias("l"))
+    lines = survey.filter("cls is not null").select("doc_id", "h", "line", "cls", place.alias("place"))
+    known = lines.groupBy("cls").agg(F.min("place").alias("first")).join(late_classes(docs, survey).withColumn("late", F.lit(True)), "cls", "left")
+    gone = lines.join(known, "cls").filter((F.col("first") < F.col("place")) | F.col("late")).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    gone = gone.withColumnsRenamed({"doc_id": "tidewatch_id", "h": "tidewatch_g", "removed": "tidewatch_gone"})
     rows = docs.withColumn("tidewatch_h", F.xxhash64(text_of("text")))
     rows = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("tidewatch_id")) & (F.col("tidewatch_h") == F.col("tidewatch_g")), "left")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("tidewatch_gone", i)), "\n")
