@@ -81,6 +81,14 @@ def test_vif_and_residuals(df, matrix):
         modelling.filter_features_by_vif(df, ["a"], 5.0)
 
 
+def test_scores_equal_in_the_digits_asked_for_are_no_outliers(spark):
+    rows = spark.createDataFrame([(0.0,)] * 20000 + [(1.0,)] * 20001 + [(2.0,)] * 20002, "x double")
+    model = outlier.HBOS().fit(rows, nbins=3)
+    assert model.predict(rows, 0.5).filter("outlier").count() == 20000  # scores differ by 5e-5
+    assert model.predict(rows, 0.5, digits=3).filter("outlier").count() == 0
+    assert model.predict(rows.limit(0), 0.5, digits=3).count() == 0
+
+
 @pytest.mark.parametrize("power", ["yeo-johnson", "box-cox", None])
 def test_scaler(spark, power):
     rows = spark.createDataFrame([(float(np.exp(v)),) for v in np.random.default_rng(0).normal(size=400)], "x double")

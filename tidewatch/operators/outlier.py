@@ -107,6 +107,11 @@ def _score_limit(scores: DataFrame, quantile: float) -> float | None:
         scores.unpersist()
 
 
+def _over(score: Column, limit: float | None, digits: int | None) -> Column:
+    at = F.lit(limit).cast("double")
+    return score > at if digits is None else F.round(score, digits) > F.round(at, digits)
+
+
 class _Binned:
     def __init__(self):
         self.fitted = None
@@ -176,12 +181,13 @@ class _Binned:
     def _training(self) -> DataFrame:
         return self.decision_function(self.fitted["training"]).select("score")
 
-    def predict(self, df: DataFrame, quantile: float = 0.99) -> DataFrame:
-        """decision_function() and outlier: whether the score is over the quantile (higher rank) of training scores."""
+    def predict(self, df: DataFrame, quantile: float = 0.99, digits: int | None = None) -> DataFrame:
+        """decision_function() and outlier: whether the score is over the quantile (higher rank) of training scores.
+        ``digits``: scores that are equal so far count as equal."""
         if not self.fitted:
             raise ValueError("fit before predicting")
         limit = _score_limit(self._training(), quantile)
-        return self.decision_function(df).withColumn("outlier", F.col("score") > F.lit(limit))
+        return self.decision_function(df).withColumn("outlier", _over(F.col("score"), limit, digits))
 
 
 class HBOS(_Binned):

@@ -168,7 +168,7 @@ _LIMIT = "(SELECT score FROM (SELECT score, row_number() OVER (ORDER BY score) -
 @query(f"WITH {_hbos_sql()} SELECT round(score, 4) > round({_LIMIT}, 4) AS outlier, count(*) AS n FROM scored GROUP BY 1")
 def OU9_hbos_predict(spark, sf):
     rows = _features(spark, sf)
-    return outlier.HBOS().fit(rows, categorical=["l_returnflag"], nbins=_BINS).predict(rows).groupBy("outlier").agg(F.count("*").alias("n"))
+    return outlier.HBOS().fit(rows, categorical=["l_returnflag"], nbins=_BINS).predict(rows, digits=4).groupBy("outlier").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_hbos_sql(True)} SELECT score > {_LIMIT} AS outlier, count(*) AS n FROM scored GROUP BY 1")
