@@ -8,7 +8,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewatch.operators.drift import CatDrift, ConDrift, bucket, wasserstein
+from tidewatch.operators.drift import CatDrift, ConDrift, bucket, wasserstein, weights
+from tidewatch.plans.catalogue import QUERIES
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -69,6 +70,19 @@ def test_wasserstein_against_quantiles(spark, a, b):
     assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_weights_are_of_distinct_values_without_a_window_of_rows(spark, tmp_path):
+    rows = [("a", 1.0, 4.0)] * 3 + [("a", 2.0, None), (None, 5.0, 7.0), (None, None, 8.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {(r.k, r.x): r.w for r in weights(df, ["k"], "x", -1).collect()}
+    assert got == pytest.approx({("a", 1.0): -0.75, ("a", 2.0): -0.25, (None, 5.0): -0.5, (None, None): -0.5})
+    both = weights(df, ["k"], "x").unionByName(weights(df, ["k"], "y", -1))
+    assert {r.k: r.d for r in wasserstein(both, ["k"], "x", "w", "d").collect()} == pytest.approx({"a": 2.75, None: 1.0})
+    spark.createDataFrame([("A", 1.0, 0.0), ("A", 2.0, 0.01)], "l_returnflag string, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = QUERIES["DR11_wasserstein"](spark, str(tmp_path))
+    assert plan.first()["ws"] == 1.0
+    assert "count(1) windowspecdefinition" not in plan._jdf.queryExecution().toString()
+
+
 def test_condrift_jackknife_by_hand(spark):
     rows = spark.createDataFrame([("a", DAY, 0.0), ("a", DAY + dt.timedelta(days=1), 2.0), ("a", DAY + dt.timedelta(days=2), 4.0)], "unique_id string, ds timestamp_ntz, y double")
     got = [r.metric for r in ConDrift("D", method="jackknife", drift_limit="iqr").fit(rows).distances.orderBy("bucket").collect()]

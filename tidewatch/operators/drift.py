@@ -60,10 +60,26 @@ def jensenshannon(p: Column, q: Column) -> Column:
 METRICS = {"chebyshev": chebyshev, "psi": psi, "jensenshannon": jensenshannon}
 
 
+def shares(counts: DataFrame, keys: list[str], sign: int = 1) -> DataFrame:
+    """keys, x and ``w``: the share of ``n`` in its key's sum, times ``sign``. The sums are joined: a window would hold all
+    rows of a key in one task."""
+    sums = counts.groupBy(*[F.col(c).alias(f"_{c}") for c in keys]).agg(F.sum("n").alias("_sum"))
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return counts.join(sums, on).select(*keys, "x", (sign * F.col("n") / F.col("_sum")).alias("w"))
+
+
+def weights(rows: DataFrame, keys: list[str], value: str, sign: int = 1) -> DataFrame:
+    """keys, x, w: a sample's distinct values, each with its share of the key's rows, times ``sign``."""
+    return shares(rows.groupBy(*keys, F.col(value).alias("x")).agg(F.count("*").alias("n")), keys, sign)
+
+
 def wasserstein(rows: DataFrame, keys: list[str], value: str, weight: str, name: str) -> DataFrame:
-    """Wasserstein-1 distance per key of two samples given as signed weights that sum to 1 and to -1."""
+    """Wasserstein-1 distance per key of two samples given as signed weights that sum to 1 and to -1. A task holds the
+    distinct values of a key; nulls keep their weight and have no place."""
     merged = rows.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    w = W.partitionBy(*keys).orderBy(value)
+    w = W.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
     steps = merged.select(*keys, F.sum("_w").over(w).alias("_f"), (F.lead(value).over(w) - F.col(value)).alias("_gap"))
     return steps.groupBy(*keys).agg(F.coalesce(F.sum(F.abs("_f") * F.col("_gap")), F.lit(0.0)).alias(name))
 
@@ -183,7 +199,7 @@ class ConDrift(_Drift):
         rest = periods.select("id", "bucket").join(d, ["id", "bucket"], "left")
         self._fit_thresholds(rest.select("id", "bucket", F.coalesce("metric", F.lit(0.0)).alias("metric")))
         small = values.groupBy("id", F.col("x").cast("float").cast("double").alias("x")).agg(F.sum("n").alias("n"))
-        self.reference = small.withColumn("w", F.col("n") / F.sum("n").over(W.partitionBy("id"))).select("id", "x", "w")
+        self.reference = shares(small, ["id"])
         return self
 
     def score(self, df: DataFrame, id_col: str = "unique_id", time_col: str = "ds", target_col: str = "y") -> DataFrame:
@@ -191,7 +207,7 @@ class ConDrift(_Drift):
         if self.threshold_frame is None:
             raise ValueError("fit first")
         values = self._values(df, id_col, time_col, target_col)
-        now = values.select("id", "bucket", "x", (-F.col("n") / F.sum("n").over(W.partitionBy("id", "bucket"))).alias("w"))
+        now = shares(values, ["id", "bucket"], -1)
         past = values.select("id", "bucket").distinct().join(self.reference, "id").select("id", "bucket", "x", "w")
         both = now.join(past.select("id").distinct(), "id", "left_semi").unionByName(past)
         return wasserstein(both, ["id", "bucket"], "x", "w", "metric").select(F.col("id").alias(id_col), F.col("bucket").alias(time_col), "metric")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.drift import CatDrift, ConDrift, bucket, wasserstein
+from ..operators.drift import CatDrift, ConDrift, bucket, wasserstein, weights
 from .base import R, interval_sql, query, table
 
 CUT, OLD = "2024-01-16", "1999-01-01"
@@ -198,11 +198,8 @@ def DR12_condrift_expanding_entity(spark, sf):
     UNION ALL SELECT l_returnflag, l_discount * 100, -1.0::DOUBLE / count(*) OVER (PARTITION BY l_returnflag) FROM lineitem) GROUP BY ALL),
     f AS (SELECT k, sum(w) OVER g AS f, lead(x) OVER g - x AS gap FROM u WINDOW g AS (PARTITION BY k ORDER BY x)) SELECT k, """ + R("sum(abs(f) * gap)", "ws") + " FROM f GROUP BY k")
 def DR11_wasserstein(spark, sf):
-    from pyspark.sql import Window as W
-
     rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("k"), "l_quantity", (F.col("l_discount") * 100).alias("d"))
-    n = 1 / F.count("*").over(W.partitionBy("k"))
-    both = rows.select("k", F.col("l_quantity").alias("x"), n.alias("w")).unionByName(rows.select("k", F.col("d").alias("x"), (-n).alias("w")))
+    both = weights(rows, ["k"], "l_quantity").unionByName(weights(rows, ["k"], "d", -1))
     return wasserstein(both, ["k"], "x", "w", "ws")
 
 
