@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -81,6 +82,29 @@ def test_vif_and_residuals(df, matrix):
         modelling.filter_features_by_vif(df, ["a"], 5.0)
 
 
+@pytest.mark.parametrize("held", [10_000, 2, 1])
+def test_rows_of_a_frequent_category_are_not_shuffled_to_one_task(spark, held, monkeypatch):
+    monkeypatch.setattr(outlier, "HELD", held)
+    day = [dt.datetime(2024, 3, 31, k) for k in range(4)]
+    rows = [(k, "a", day[0]) for k in range(90)] + [(90, "b", day[1]), (91, "b", day[2]), (92, "c", day[3]), (93, None, None)]
+    df = spark.createDataFrame(rows, "id int, c string, t timestamp").repartition(4)
+    new = df.unionByName(spark.createDataFrame([(94, "zz", None)], df.schema))
+    model = outlier.HBOS().fit(df, ["c", "t"], ["c", "t"])
+    scored = model.decision_function(new)
+    assert scored.columns == ["id", "c", "t", "score"]
+    p = lambda n, k: -math.log((n + 1) / (93 + k) + 1e-9)
+    none = -math.log(2e-9)
+    want = {k: p(90, 3) + p(90, 4) for k in range(90)} | {90: p(2, 3) + p(1, 4), 91: p(2, 3) + p(1, 4), 92: p(1, 3) + p(1, 4), 93: 2 * none, 94: 2 * none}
+    assert {r.id: r.score for r in scored.collect()} == pytest.approx(want)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = model.decision_function(new)
+        sizes = plan.select(F.spark_partition_id().alias("p"), "c").filter("c = 'a'").groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 60
+
+
 def test_scores_equal_in_the_digits_asked_for_are_no_outliers(spark):
     rows = spark.createDataFrame([(0.0,)] * 20000 + [(1.0,)] * 20001 + [(2.0,)] * 20002, "x double")
     model = outlier.HBOS().fit(rows, nbins=3)

@@ -24,6 +24,10 @@ from .intervals import exact_quantiles, whole_bounds, whole_order_statistic
 
 STRATEGIES = ("auto", "fd", "doane", "scott", "stone", "rice", "sturges", "sqrt")
 _TINY = 1e-9
+#: So many values of a categorical feature, the most frequent ones, are sent to all executors; rows of others are joined by a
+#: shuffle, where none of them is frequent.
+HELD = 10_000
+_SALTS = 1024
 
 
 def bin_counts(df: DataFrame, columns: list[str], nbins: int | str) -> dict[str, int]:
@@ -134,15 +138,33 @@ class _Binned:
         found = bin_counts(df, [first] if compat else numeric, nbins)
         return {c: found[first] if compat else found[c] for c in numeric}
 
-    def _categories(self, df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
-        """Laplace-smoothed frequency of each value."""
+    def _categories(self, df: DataFrame, columns: list[str]) -> dict[str, tuple[DataFrame, DataFrame | None]]:
+        """Laplace-smoothed frequency of each value: of the HELD most frequent ones, and of the rest, if there is any."""
         out = {}
         for c in columns:
-            counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-            total = counts.agg(F.sum("n").alias("t"), F.count("*").alias("k"))
-            out[c] = counts.crossJoin(F.broadcast(total)).select(F.col(c).alias("_v"), ((F.col("n") + 1) / (F.col("t") + F.col("k"))).alias("_p"))  # the right side is one row
+            counts = df.select(F.col(c).alias("_v")).filter("_v is not null").groupBy("_v").agg(F.count("*").alias("n"))
+            top = counts.orderBy(F.desc("n"), "_v").limit(HELD + 1).toArrow()  # keeps types as they are
+            whole = top.num_rows <= HELD
+            held = df.sparkSession.createDataFrame(top.slice(0, HELD), counts.schema)
+            t, k = (sum(top["n"].to_pylist()), top.num_rows) if whole else counts.agg(F.sum("n"), F.count("*")).first()
+            smooth = lambda rows: rows.select("_v", ((F.col("n") + 1) / F.lit(t + k)).alias("_p"))  # noqa: B023, E731
+            out[c] = smooth(held), None if whole else smooth(counts.join(F.broadcast(held.select("_v")), "_v", "left_anti"))
         return out
 
+    def _with_probability(self, df: DataFrame, c: str, name: str) -> DataFrame:
+        """``df`` with the frequency of its value of ``c``, NULL where that is unknown. All rows of a frequent value would
+        meet in one task of a shuffled join, so these take theirs from a broadcast of at most HELD rows, and keys that
+        need no join are spread."""
+        held, rest = self.fitted["categories"][c]
+        out = df.join(F.broadcast(held.withColumnsRenamed({"_v": f"{name}v", "_p": name})), F.col(c) == F.col(f"{name}v"), "left")
+        if rest is None:
+            return out.drop(f"{name}v")
+        cold = F.col(name).isNull() & F.col(c).isNotNull()
+        out = out.withColumns({f"{name}c": F.when(cold, F.col(c)), f"{name}s": F.when(cold, F.lit(-1).cast("long")).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)))})
+        rest = rest.select(F.col("_v").alias(f"{name}w"), F.col("_p").alias(f"{name}q"), F.lit(-1).cast("long").alias(f"{name}t"))
+        out = out.join(rest, (F.col(f"{name}c") == F.col(f"{name}w")) & (F.col(f"{name}s") == F.col(f"{name}t")), "left")
+        return out.withColumn(name, F.coalesce(name, f"{name}q")).drop(*[name + x for x in "vcswqt"])
+
     def _bin_totals(self, df: DataFrame, cells: dict[str, Column]) -> dict[str, dict[int, int]]:
         """Rows per bin of every numeric feature, in one aggregate of at most features x bins rows."""
         if not cells:
@@ -167,10 +189,9 @@ class _Binned:
         out, parts, extra = df, [], []
         for k, c in enumerate(self.fitted["features"]):
             if c in self.fitted["categories"]:
-                p = self.fitted["categories"][c].withColumnsRenamed({"_v": f"_v{k}", "_p": f"_p{k}"})
-                out = out.join(p, F.col(c) == F.col(f"_v{k}"), "left")
+                out = self._with_probability(out, c, f"_p{k}")
                 parts.append(-F.log(F.coalesce(F.col(f"_p{k}"), F.lit(_TINY)) + _TINY))
-                extra += [f"_v{k}", f"_p{k}"]
+                extra.append(f"_p{k}")
             else:
                 parts.append(self._numeric_score(c))
         total = parts[0]
