@@ -6,10 +6,11 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.operators import intervals, series
 from tidewatch.operators.modelling import FeatureResidualizer, RobustGaussianScaler
-from tidewatch.operators.outlier import HBOS, SPAD, PCAReconstructionError, bin_counts
+from tidewatch.operators.outlier import HBOS, SPAD, PCAReconstructionError, bin_counts, histogram_bin
 from tidewatch.operators.stats import poisson_bootstrap
 
 
@@ -29,6 +30,41 @@ def test_ranks_over_the_whole_range_of_doubles(spark):
     assert intervals.select_ranks(df.limit(0), "x", []) == {}
 
 
+@pytest.mark.parametrize("compiled", [64, 3])
+def test_places_between_edges(spark, compiled, monkeypatch):
+    monkeypatch.setattr(intervals, "COMPILED", compiled)
+    edges = [-2.5, -1.0, 0.0, 0.1, 0.2, 1.0, 7.0]
+    x = [-9.0, -2.5, -2.0, -1.0, -0.0, 0.1, np.nextafter(0.1, 1), 0.15, 0.2, 7.0, 8.0]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    plan = df.select("x", intervals.count_below(F.col("x"), edges).alias("a"), intervals.count_below(F.col("x"), edges, True).alias("b"), histogram_bin(F.col("x"), edges).alias("c"))
+    assert ("lambda" in plan._jdf.queryExecution().toString()) == (compiled < len(edges))
+    rows = plan.collect()
+    assert (rows[-1]["a"], rows[-1]["b"], rows[-1]["c"]) == (0, 0, -1)
+    for v, r in zip(x, rows):
+        assert (r["a"], r["b"]) == (np.searchsorted(edges, v, "left"), np.searchsorted(edges, v, "right"))
+        assert r["c"] == min(r["b"] - 1, len(edges) - 2)
+
+
+def test_no_row_is_multiplied_for_ranks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = [np.concatenate([rng.normal(size=900), [-1e308, 1e308]]), rng.integers(0, 9, 902).astype(float)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*values)], "x double, y double")
+    ranks = list(range(0, 902, 9))
+    want = HBOS(dynamic_bins=True, compat=False).fit(df, nbins=6).fitted["bins"]
+    monkeypatch.setattr(intervals, "SMALL", 100)
+    monkeypatch.setattr("tidewatch.operators.outlier.COMBINATIONS", 0)
+    many = HBOS(dynamic_bins=True, compat=False).fit(df, nbins=6).fitted["bins"]
+    monkeypatch.setattr("tidewatch.operators.outlier.COMBINATIONS", 100_000)
+    exploded = []
+    monkeypatch.setattr(F, "explode", lambda c, own=F.explode: exploded.append(c) or own(c))
+    assert intervals.select_ranks(df, "x", ranks, 16) == dict(zip(ranks, np.sort(values[0])[ranks]))
+    assert not exploded
+    few = HBOS(dynamic_bins=True, compat=False).fit(df, nbins=6).fitted["bins"]
+    for got in (many, few):
+        for c in "xy":
+            assert got[c][0] == pytest.approx(want[c][0]) and got[c][1] == pytest.approx(want[c][1])
+
+
 def test_bins_follow_the_first_feature_of_any_kind(spark):
     rng = np.random.default_rng(1)
     rows = [(int(a), float(b)) for a, b in zip(rng.integers(0, 12, 400), rng.normal(size=400))]

@@ -17,6 +17,35 @@ NAMED = ("auto", "stddev", "mad", "iqr")
 
 #: Up to so many rows a whole table's percentiles are one aggregate; beyond, ranks are found by refined histograms.
 SMALL = 1_000_000
+#: Up to so many edges a bin is found by compiled comparisons.
+COMPILED = 64
+
+
+def count_below(x: Column, edges: list[float], equal: bool = False) -> Column:
+    """Number of sorted edges below x, or up to x if ``equal``; 0 for NULL. Up to COMPILED edges are nested comparisons,
+    which are compiled, while a filter of an array calls its function for each edge of each row."""
+    if len(edges) > COMPILED:
+        return F.size(F.filter(F.lit([float(e) for e in edges]), (lambda e: e <= x) if equal else (lambda e: e < x)))
+
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x >= edges[mid] if equal else x > edges[mid], among(mid + 1, hi)).otherwise(among(lo, mid))
+
+    return among(0, len(edges))
+
+
+def _cells(df: DataFrame, x: Column, spans: list[tuple[float, float]], bins: int) -> DataFrame:
+    """x and ``c``: the number of the span that holds x, times ``bins``, plus the cell in it; NULL where none does. The spans
+    are sorted and don't overlap."""
+    rows = df.select(x.alias("x"), (count_below(x, [lo for lo, _ in spans], True) - 1).alias("k"))
+    v, k = F.col("x"), F.col("k")
+    lo, hi, width = (F.get(F.lit([float(e) for e in z]), k) for z in zip(*[(lo, hi, hi - lo) for lo, hi in spans]))
+    share = (v - lo) / width
+    if not all(math.isfinite(hi - lo) for lo, hi in spans):
+        share = F.when(width < float("inf"), share).otherwise((v / 2 - lo / 2) / (hi / 2 - lo / 2))
+    return rows.select("x", F.when(v <= hi, k.cast("long") * bins + F.least(F.lit(bins - 1).cast("long"), F.floor(share * bins))).alias("c"))
 
 
 def select_ranks(df: DataFrame, value: str, ranks: list[int], bins: int = 1024) -> dict[int, float]:
@@ -30,15 +59,16 @@ def select_ranks(df: DataFrame, value: str, ranks: list[int], bins: int = 1024)
     state = {r: (ends["lo"], ends["hi"], 0) for r in ranks}
     found = {r: lo for r, (lo, hi, _) in state.items() if lo == hi}
     while len(found) < len(ranks):
-        spans = sorted({state[r][:2] for r in ranks if r not in found})
-        share = lambda lo, hi: (x - lo) / (hi - lo) if math.isfinite(hi - lo) else (x / 2 - lo / 2) / (hi / 2 - lo / 2)
-        inside = [F.when((x >= lo) & (x <= hi), F.struct(F.lit(k).alias("k"), F.least(F.lit(bins - 1).cast("long"), F.floor(share(lo, hi) * bins)).alias("b"), x.alias("x"))) for k, (lo, hi) in enumerate(spans)]
-        cells = df.select(F.explode(F.filter(F.array(*inside), lambda c: c.isNotNull())).alias("c")).groupBy("c.k", "c.b").agg(F.count("*").alias("n"), F.min("c.x").alias("lo"), F.max("c.x").alias("hi")).collect()  # spans x bins rows at most
+        spans = sorted({state[r][:2] for r in ranks if r not in found})  # cells of one round, so they don't overlap
+        cells: list[list] = [[] for _ in spans]
+        for c in _cells(df, x, spans, bins).groupBy("c").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():  # spans x bins rows at most
+            if c["c"] is not None:
+                cells[c["c"] // bins].append(c)
         for r in ranks:
             if r in found:
                 continue
             lo, hi, below = state[r]
-            for c in sorted((c for c in cells if c["k"] == spans.index((lo, hi))), key=lambda c: c["b"]):
+            for c in sorted(cells[spans.index((lo, hi))], key=lambda c: c["c"]):
                 if r < below + c["n"]:
                     state[r] = (c["lo"], c["hi"], below)
                     if c["lo"] == c["hi"]:

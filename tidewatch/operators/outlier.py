@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ship import ship
 from ..sources import validate
-from .intervals import exact_quantiles, whole_bounds, whole_order_statistic
+from .intervals import count_below, exact_quantiles, whole_bounds, whole_order_statistic
 
 STRATEGIES = ("auto", "fd", "doane", "scott", "stone", "rice", "sturges", "sqrt")
 _TINY = 1e-9
@@ -28,6 +28,8 @@ _TINY = 1e-9
 #: shuffle, where none of them is frequent.
 HELD = 10_000
 _SALTS = 1024
+#: Up to so many combinations of bins are counted as such.
+COMBINATIONS = 100_000
 
 
 def bin_counts(df: DataFrame, columns: list[str], nbins: int | str) -> dict[str, int]:
@@ -94,12 +96,12 @@ def _literal(values) -> Column:
 
 def histogram_bin(x: Column, edges) -> Column:
     """0-based bin by half-open bins, the last one closed."""
-    return F.least(F.size(F.filter(_literal(edges), lambda e: e <= x)) - 1, F.lit(len(edges) - 2))
+    return F.least(count_below(x, edges, True) - 1, F.lit(len(edges) - 2))
 
 
 def edges_below(x: Column, edges) -> Column:
     """Number of edges strictly below x."""
-    return F.size(F.filter(_literal(edges), lambda e: e < x))
+    return count_below(x, edges)
 
 
 def _score_limit(scores: DataFrame, quantile: float) -> float | None:
@@ -165,14 +167,18 @@ class _Binned:
         out = out.join(rest, (F.col(f"{name}c") == F.col(f"{name}w")) & (F.col(f"{name}s") == F.col(f"{name}t")), "left")
         return out.withColumn(name, F.coalesce(name, f"{name}q")).drop(*[name + x for x in "vcswqt"])
 
-    def _bin_totals(self, df: DataFrame, cells: dict[str, Column]) -> dict[str, dict[int, int]]:
-        """Rows per bin of every numeric feature, in one aggregate of at most features x bins rows."""
+    def _bin_totals(self, df: DataFrame, cells: dict[str, Column], edges: dict[str, list]) -> dict[str, dict[int, int]]:
+        """Rows per bin of every numeric feature, features x bins rows at most. Where there are few combinations of bins,
+        these are counted first, so that no row is multiplied."""
         if not cells:
             return {}
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), b.alias("b")) for c, b in cells.items()])).alias("z"))
+        few = math.prod(len(edges[c]) + 1 for c in cells) <= COMBINATIONS
+        rows = df.select(*[b.alias(f"b{i}") for i, b in enumerate(cells.values())])
+        rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")) if few else rows.withColumn("n", F.lit(1))
+        long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(f"b{i}").alias("b")) for i, c in enumerate(cells)])).alias("z"), "n")
         out: dict[str, dict[int, int]] = {c: {} for c in cells}
-        for r in long.groupBy("z.f", "z.b").count().collect():
-            out[r["f"]][r["b"]] = r["count"]
+        for r in long.groupBy("z.f", "z.b").agg(F.sum("n").alias("n")).collect():
+            out[r["f"]][r["b"]] = r["n"]
         return out
 
     def _numeric_score(self, c: str) -> Column:
@@ -233,7 +239,7 @@ class HBOS(_Binned):
                 lo, hi = (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
                 edges[c] = [lo + k * ((hi - lo) / n[c]) for k in range(n[c])] + [hi]
         edges = {c: e if len(e) > 1 else [e[0] - 0.5, e[0] + 0.5] for c, e in edges.items()}
-        totals = self._bin_totals(df, {c: histogram_bin(v[c], edges[c]) for c in numeric})
+        totals = self._bin_totals(df, {c: histogram_bin(v[c], edges[c]) for c in numeric}, edges)
         bins = {}
         for c in numeric:
             size = sum(totals[c].values())
@@ -261,7 +267,7 @@ class SPAD(_Binned):
         edges = {}
         for c, (lo, hi) in whole_bounds(df, numeric, method).items():
             edges[c] = [lo + k * ((hi - lo) / counts[c]) for k in range(counts[c])] + [hi]
-        totals = self._bin_totals(df, {c: edges_below(F.col(c).cast("double"), edges[c]) for c in numeric})
+        totals = self._bin_totals(df, {c: edges_below(F.col(c).cast("double"), edges[c]) for c in numeric}, edges)
         bins = {}
         for c in numeric:
             got = totals[c]
