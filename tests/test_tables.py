@@ -90,6 +90,8 @@ def test_rows_of_a_frequent_category_are_not_shuffled_to_one_task(spark, held, m
     df = spark.createDataFrame(rows, "id int, c string, t timestamp").repartition(4)
     new = df.unionByName(spark.createDataFrame([(94, "zz", None)], df.schema))
     model = outlier.HBOS().fit(df, ["c", "t"], ["c", "t"])
+    counted, rest = model.fitted["categories"]["c"]
+    assert (rest is None) == (held >= 3) and counted.count() + (rest.count() if rest else 0) == 3
     scored = model.decision_function(new)
     assert scored.columns == ["id", "c", "t", "score"]
     p = lambda n, k: -math.log((n + 1) / (93 + k) + 1e-9)

@@ -262,7 +262,8 @@ def AGG18_bin_rules(spark, sf):
 @query("SELECT l_returnflag, (count(*) + 1) / (SELECT count(*) + count(DISTINCT l_returnflag) FROM lineitem)::DOUBLE AS p0 FROM lineitem GROUP BY 1".replace("(count(*) + 1)", "round((count(*) + 1)").replace("::DOUBLE AS p0", "::DOUBLE, 6) AS p"))
 def AGG15_laplace_frequency(spark, sf):
     rows = table(spark, sf, "lineitem")
-    return outlier.HBOS()._categories(rows, ["l_returnflag"])["l_returnflag"].select(F.col("_v").alias("l_returnflag"), F.col("_p").alias("p"))
+    held, rest = outlier.HBOS()._categories(rows, ["l_returnflag"])["l_returnflag"]
+    return (held if rest is None else held.unionByName(rest)).select(F.col("_v").alias("l_returnflag"), F.col("_p").alias("p"))
 
 
 # Modelling --------------------------------------------------------------------------------------------------------
